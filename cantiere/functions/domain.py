@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cantiere.functions import presets as P
 from cantiere.functions import rules as R
-from cantiere.functions.text import blank_to_null, lower_text, squeeze
+from cantiere.functions.text import blank_to_null, squeeze
 from cantiere.functions.values import has_text
 
 # -- predicates and simple classes -------------------------------------------
@@ -70,15 +70,15 @@ def segments(text: Column, category_: Column, terms: R.Rules = P.SEGMENT_TERMS,
              weights: Mapping[str, int] = P.SEGMENT_WEIGHTS, reduced: bool = False) -> Column:
     """Ranked segment array from text terms and category rules.
 
-    The full rule set picks one label for the environment category by its text and
-    falls back to building works for urban redevelopment without other hits; the
-    reduced set adds both unconditionally.
+    ``text`` and ``category_`` are lower-case plain columns (see ``with_segments``).  The full rule
+    set picks one label for the environment category by its text and falls back to building works for
+    urban redevelopment without other hits; the reduced set adds both unconditionally.
     """
     flags = {label: R.contains_any(text, words) for label, words in terms.items()}
-    cat = F.coalesce(F.lower(squeeze(category_)), F.lit(""))
+    cat = F.coalesce(category_, F.lit(""))
 
     def add(label: str, condition: Column) -> None:
-        flags[label] = flags.get(label, F.lit(False)) | condition
+        flags[label] = condition | flags[label] if label in flags else condition
 
     for part, label in P.CATEGORY_SEGMENTS_CONTAINED.items():
         add(label, F.contains(cat, F.lit(part)))
@@ -86,15 +86,14 @@ def segments(text: Column, category_: Column, terms: R.Rules = P.SEGMENT_TERMS,
     urban = F.contains(cat, F.lit(P.URBAN_CATEGORY))
     if reduced:
         add("Impiantisti sottoservizi", environment)
-        add("Edilizia", R.any_of([F.contains(cat, F.lit(c)) for c in P.BUILDING_CATEGORIES if c != "sanità / rsa"])
-            | (cat == "sanità / rsa") | urban)
-    else:
-        utility = R.contains_any(text, P.ENVIRONMENT_UTILITY_TERMS)
-        add("Impiantisti sottoservizi", environment & utility)
-        add("Bonifiche e gestione rifiuti", environment & ~utility)
-        add("Edilizia", cat.isin(*P.BUILDING_CATEGORIES))
-        add("Edilizia", urban & ~R.any_of(list(flags.values())))
-    return R.ranked_labels(flags, weights, P.OTHER)
+        contained = [c for c in (*P.BUILDING_CATEGORIES, P.URBAN_CATEGORY) if c != "sanità / rsa"]
+        add("Edilizia", R.contains_any(cat, contained) | (cat == "sanità / rsa"))
+        return R.ranked_labels(flags, weights, P.OTHER)
+    utility = R.contains_any(text, P.ENVIRONMENT_UTILITY_TERMS)
+    add("Impiantisti sottoservizi", environment & utility)
+    add("Bonifiche e gestione rifiuti", environment & ~utility)
+    add("Edilizia", cat.isin(*P.BUILDING_CATEGORIES))
+    return R.ranked_labels(flags, weights, F.when(urban, F.lit("Edilizia")).otherwise(F.lit(P.OTHER)))
 
 
 # -- scores ------------------------------------------------------------------
@@ -137,28 +136,30 @@ def commercial_score_v2(category_: Column, value: Column, phase_: Column, interv
 
 
 def client_points(client: Column) -> Column:
-    c = F.upper(squeeze(client))
+    """Points by kind of public client; ``client`` is an upper-case plain column."""
     tiers = (
-        F.when(c.startswith("COMUNE"), 15)
-        .when(R.contains_any(c, ["PROVINCIA", "CITTA", "CITTÀ"]), 12)
-        .when(R.contains_any(c, ["REGIONE", "AZIENDA USL", "ASL", "AZIENDA OSPEDALIERA"]), 10)
+        F.when(client.startswith("COMUNE"), 15)
+        .when(R.contains_any(client, ["PROVINCIA", "CITTA", "CITTÀ"]), 12)
+        .when(R.contains_any(client, ["REGIONE", "AZIENDA USL", "ASL", "AZIENDA OSPEDALIERA"]), 10)
         .otherwise(8)
     )
-    return F.when(is_local_client(client), tiers).otherwise(0)
+    return F.when(R.contains_any(client, P.LOCAL_CLIENT_MARKERS), tiers).otherwise(0)
 
 
-def operational_score(primary: Column, value: Column, client: Column, municipality: Column, category_: Column,
+def operational_score(primary: Column, value: Column, client: Column, place: Column, category_: Column,
                       macro: Column, project_code: Column, source_url: Column, year: Column | None = None,
                       status: Column | None = None, weights: Mapping[str, int] = P.SEGMENT_WEIGHTS,
                       value_steps=P.OPERATIONAL_VALUE_STEPS, year_steps=P.YEAR_STEPS) -> Column:
-    """Sales score of a project.  Without ``year`` and ``status`` this is the reduced variant."""
-    place = F.upper(blank_to_null(municipality))
+    """Sales score of a project.  Without ``year`` and ``status`` this is the reduced variant.
+
+    ``client``, ``place`` and ``status`` are upper-case plain columns (see ``with_operational_score``).
+    """
     terms = [
         R.lookup(primary, dict(weights), -10),
         R.steps(F.coalesce(value, F.lit(0.0)), value_steps, P.OPERATIONAL_VALUE_BELOW),
         client_points(client),
-        R.points(F.coalesce(~place.isin(*P.GENERIC_PLACES), F.lit(False)), 10, -12),
-        R.points(squeeze(category_) == P.OTHER, -10),
+        R.points(F.coalesce(~place.isin("", *P.GENERIC_PLACES), F.lit(False)), 10, -12),
+        R.points(category_ == P.OTHER, -10),
         R.points(macro, -25),
         R.points(has_text(project_code), 2),
         R.points(has_text(source_url), 2),
@@ -166,10 +167,9 @@ def operational_score(primary: Column, value: Column, client: Column, municipali
     if year is not None:
         terms.append(F.when(year.isNull(), 0).otherwise(R.steps(year, year_steps, P.YEAR_BELOW)))
     if status is not None:
-        s = F.upper(squeeze(status))
         terms.append(
-            F.when(R.contains_any(s, ["CHIUSO", "REVOCATO", "CANCELLATO"]), -40)
-            .when(R.contains_any(s, ["ATTIVO"]), 8).otherwise(0)
+            F.when(R.contains_any(status, ["CHIUSO", "REVOCATO", "CANCELLATO"]), -40)
+            .when(R.contains_any(status, ["ATTIVO"]), 8).otherwise(0)
         )
     return R.score(*terms)
 
@@ -266,7 +266,3 @@ def quality(title: Column, code_year: Column, has_award: Column, awards_count: C
         total.alias("commercial_score"),
         R.steps(total, ((75, "ALTA"), (50, "MEDIA")), "BASSA").alias("data_reliability"),
     )
-
-
-def project_text(*cols: Column) -> Column:
-    return lower_text(*cols)

@@ -17,18 +17,28 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly expression once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(text: Column, terms: Sequence[str], word_boundary: bool = False) -> Column:
     """Substring test against a term list; ``text`` must already be in the terms' case.
 
-    The plain form is a chain of ``contains`` calls, which stays inside generated
-    code and stops at the first hit.  Terms that contain another term of the list
-    cannot change the answer and are left out.
+    Terms that contain another term of the list cannot change the answer and are left out.  Short
+    lists are a chain of ``contains`` inside generated code; longer ones loop over a
+    constant array, which measured faster than the chain and than a regex alternation.
     """
     if word_boundary:
         pattern = "|".join(re.escape(t) for t in terms)
         return F.coalesce(text.rlike(rf"(?U)(?<!\w)(?:{pattern})(?!\w)"), F.lit(False))
-    needed = [t for t in terms if not any(o != t and o in t for o in terms)]
-    return F.coalesce(any_of([F.contains(text, F.lit(t)) for t in dict.fromkeys(needed)]), F.lit(False))
+    needed = list(dict.fromkeys(t for t in terms if not any(o != t and o in t for o in terms)))
+    if len(needed) <= 3:
+        found = any_of([F.contains(text, F.lit(t)) for t in needed])
+    else:
+        words = F.array(*[F.lit(t) for t in needed])
+        found = F.exists(F.array(text), lambda t: F.exists(words, lambda w: F.contains(t, w)))
+    return F.coalesce(found, F.lit(False))
 
 
 def first_match(text: Column, rules: Rules, default: str | None = None) -> Column:
@@ -40,19 +50,21 @@ def first_match(text: Column, rules: Rules, default: str | None = None) -> Colum
     return out.otherwise(F.lit(default).cast("string"))
 
 
-def ranked_labels(flags: Mapping[str, Column], weights: Mapping[str, int], fallback: str = "Altro") -> Column:
+def ranked_labels(flags: Mapping[str, Column], weights: Mapping[str, int], fallback: str | Column = "Altro") -> Column:
     """Array of the labels whose flag holds, heaviest first (name breaks ties)."""
     order = sorted(flags, key=lambda name: (-weights.get(name, -10), name))
     found = F.array_compact(F.array(*[F.when(flags[n], F.lit(n)) for n in order]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fallback)))
+    none = F.array(F.lit(fallback) if isinstance(fallback, str) else fallback)
+    return let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(none))
 
 
 def lookup(c: Column, table: Mapping, default=None) -> Column:
-    """Small literal dictionary as a CASE expression."""
-    out = None
-    for key, value in table.items():
-        out = F.when(c == F.lit(key), F.lit(value)) if out is None else out.when(c == F.lit(key), F.lit(value))
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+    """Small literal dictionary."""
+    if not table:
+        return F.lit(default)
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.try_element_at(entries, c)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def steps(c: Column, table: Sequence[tuple[float, object]], below) -> Column:

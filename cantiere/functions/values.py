@@ -122,4 +122,4 @@ def gated(cols: Sequence[str], evidence: Column) -> dict[str, Column]:
 
 def has_text(c: Column) -> Column:
     """True when the column holds something other than blanks."""
-    return blank_to_null(c.cast("string")).isNotNull()
+    return F.coalesce(c.cast("string").rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))

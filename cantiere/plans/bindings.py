@@ -10,6 +10,7 @@ from cantiere.functions import presets as P
 from cantiere.functions import rules as R
 from cantiere.functions.text import geo_key, lower_text
 from cantiere.functions.values import zero_pad
+from cantiere.operators.classify import with_operational_score, with_segments
 
 # -- fixed values of the bound preset ----------------------------------------
 
@@ -87,19 +88,12 @@ def macro_project() -> "F.Column":
 
 def segmented(df: DataFrame) -> DataFrame:
     """Add segment tags and the primary segment."""
-    text = lower_text(F.col("title"), F.col("category"), F.col("client"))
-    tags = D.segments(text, F.col("category"), SEGMENT_TERMS, SEGMENT_WEIGHTS)
-    return df.withColumn("segment_tags", tags).withColumn("primary_segment", F.get("segment_tags", F.lit(0)))
+    return with_segments(df, ["title", "category", "client"], "category", SEGMENT_TERMS, SEGMENT_WEIGHTS)
 
 
 def scored(df: DataFrame, full: bool = True) -> DataFrame:
     """Add the operational score (without year and status terms when not ``full``)."""
-    extra = dict(year=F.col("year"), status=F.col("status")) if full else {}
-    return df.withColumn("operational_score", D.operational_score(
-        F.col("primary_segment"), F.col("value_eur"), F.col("client"), F.col("municipality"), F.col("category"),
-        macro_project(), F.col("cup"), F.col("source_url"), weights=SEGMENT_WEIGHTS, value_steps=VALUE_STEPS,
-        year_steps=YEAR_STEPS, **extra,
-    ))
+    return with_operational_score(df, macro_project(), full, weights=SEGMENT_WEIGHTS, value_steps=VALUE_STEPS, year_steps=YEAR_STEPS)
 
 
 def with_commercial_score(df: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.plans import catalog_text
+from cantiere.plans import catalog_link, catalog_score, catalog_text
 
-_GROUPS = (catalog_text,)
+_GROUPS = (catalog_score, catalog_text, catalog_link)
 
 
 def _entries() -> dict:
