@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.plans import catalog_geo, catalog_link, catalog_score, catalog_text
+from cantiere.plans import catalog_geo, catalog_io, catalog_link, catalog_score, catalog_text
 
-_GROUPS = (catalog_score, catalog_text, catalog_link, catalog_geo)
+_GROUPS = (catalog_score, catalog_text, catalog_link, catalog_geo, catalog_io)
 
 
 def _entries() -> dict:
