@@ -29,9 +29,8 @@ def blank_to_null(c: Column) -> Column:
 
 def known(c: Column, sentinels: Sequence[str] = presets.MISSING_TOKENS) -> Column:
     """Squeezed value, or NULL for blanks, sentinel words and runs of asterisks."""
-    v = squeeze(c)
-    missing = (v == "") | F.upper(v).isin(*sentinels) | v.rlike(r"^\*+$")
-    return F.when(~missing, v)
+    words = "|".join([r"\*+", *(re.escape(s) for s in sentinels)])
+    return F.nullif(F.regexp_replace(squeeze(c), rf"(?i)^(?:{words})$", ""), F.lit(""))
 
 
 def repair(c: Column, table: Sequence[tuple[str, str]] = presets.GLYPH_REPAIRS) -> Column:
@@ -67,6 +66,11 @@ def lower_text(*cols: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[blank_to_null(c) for c in cols]))
 
 
+def lower_joined(*cols: Column) -> Column:
+    """Like :func:`lower_text` for columns that are clean already."""
+    return F.lower(F.concat_ws(" ", *cols))
+
+
 def person_name(c: Column) -> Column:
     """True for values that can be a person: not a number, two words with letters."""
     v = squeeze(c)

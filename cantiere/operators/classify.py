@@ -16,6 +16,7 @@ from cantiere.functions import domain as D
 from cantiere.functions import presets as P
 from cantiere.functions import rules as R
 from cantiere.functions.text import lower_text, squeeze
+from cantiere.operators.scale import computed_once
 
 
 def with_segments(df: DataFrame, text_columns: Sequence[str], category: str = "category",
@@ -41,13 +42,13 @@ def with_operational_score(df: DataFrame, macro: Column, full: bool = True, **st
         extra = dict(year=F.col("year"), status=F.col("_status"))
     score = D.operational_score(F.col("primary_segment"), F.col("value_eur"), F.col("_client"), F.col("_place"),
                                 F.col("_category"), F.col("_macro"), F.col("cup"), F.col("source_url"), **extra, **steps)
-    out = staged.withColumn("operational_score", score)
+    out = computed_once(staged, {"operational_score": score})
     return out.drop("_client", "_place", "_category", "_macro", "_status")
 
 
 def with_categories(df: DataFrame, text_columns: Sequence[str], rules: R.Rules = P.NATIONAL_CATEGORIES) -> DataFrame:
     """Add ``category`` and ``intervention_type`` from the joined text."""
-    staged = df.withColumn("_text", lower_text(*[F.col(c) for c in text_columns]))
+    staged = computed_once(df, {"_text": lower_text(*[F.col(c) for c in text_columns])})
     return staged.withColumns({
         "category": D.category(F.col("_text"), rules), "intervention_type": D.intervention_type(F.col("_text")),
     }).drop("_text")

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CONTAINER = r"^(OBJECT|ARRAY)<.+>$"
+def _is_box() -> "F.Column":
+    """True for non-empty objects and arrays."""
+    kind = F.col("kind")
+    return (kind.startswith("OBJECT<") | kind.startswith("ARRAY<")) & ~_is_empty()
+
+
+def _is_empty() -> "F.Column":
+    return F.col("kind").isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>")
 
 
 def flatten_json(df: DataFrame, column: str, keep: Sequence[str], max_depth: int | None = None) -> DataFrame:
@@ -19,21 +26,20 @@ def flatten_json(df: DataFrame, column: str, keep: Sequence[str], max_depth: int
     state = df.select(*keep, F.lit("").alias("key"), F.try_parse_json(F.col(column)).alias("v")).filter("v is not null")
     level = 0
     while True:
-        inner = F.schema_of_variant(F.col("v")).rlike(_CONTAINER)
+        state = state.withColumn("kind", F.schema_of_variant(F.col("v")))
         if max_depth is None:
-            if state.filter(inner).isEmpty():
+            if state.filter(_is_box()).isEmpty():
                 break
         elif level >= max_depth:
             break
         state = _expand(state, keep)
         level += 1
     # containers that are left are empty ones (or beyond an explicit depth)
-    empty = F.schema_of_variant(F.col("v")).rlike(r"^(OBJECT|ARRAY)<(VOID)?>$")
-    return state.filter(~empty).select(*keep, "key", F.col("v").cast("string").alias("value"))
+    return state.filter(~_is_empty()).select(*keep, "key", F.col("v").cast("string").alias("value"))
 
 
 def _expand(state: DataFrame, keep: Sequence[str]) -> DataFrame:
-    view = state.withColumn("is_box", F.schema_of_variant(F.col("v")).rlike(_CONTAINER))
+    view = state.withColumn("is_box", _is_box()).drop("kind")
     child = F.coalesce(F.col("k"), F.col("pos").cast("string"))
     path = F.when(F.col("key") == "", child).otherwise(F.concat_ws("_", "key", child))
     spark = state.sparkSession

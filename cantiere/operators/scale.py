@@ -1,4 +1,4 @@
-"""Guards that keep plans sound when one key holds a large share of the rows."""
+"""Guards that keep plans sound and cheap at scale: broadcasts, hot keys, repeated evaluation."""
 
 from __future__ import annotations
 
@@ -20,6 +20,18 @@ def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(dim) if rows <= max_rows else dim
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that later filters on them do not evaluate them again.
+
+    The optimizer moves a filter below a projection by inlining the projected expression, staged
+    helper columns included.  It does not do that for a generator, here one that
+    emits exactly one row.
+    """
+    extra = F.struct(*[c.alias(name) for name, c in columns.items()])
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(extra)))
+
+
 def lists_per_key(df: DataFrame, keys: Sequence[str], item: Column, items: str = "items",
                   limit: int = LIST_LIMIT) -> DataFrame:
     """Sorted distinct items per key, in rows of bounded size.
@@ -35,11 +47,11 @@ def lists_per_key(df: DataFrame, keys: Sequence[str], item: Column, items: str =
     heavy = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
     if heavy.isEmpty():
         return src.groupBy(*keys).agg(collected).select(*keys, F.lit(0).alias("part"), items)
-    heavy = broadcast_if_small(heavy)
-    same = [src[k].eqNullSafe(heavy[k]) for k in keys]
+    heavy = broadcast_if_small(heavy.select("_rows", *[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     spread = F.ceil(F.col("_rows") / F.lit(limit))
     part = F.when(F.col("_rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("_item"), spread)).cast("int")
-    marked = src.join(heavy, same, "left").select(*[src[k] for k in keys], "_item", part.alias("part"))
+    marked = src.join(heavy, same, "left").select(*keys, "_item", part.alias("part"))
     return marked.groupBy(*keys, "part").agg(collected)
 
 

@@ -10,6 +10,7 @@ from cantiere.functions import presets as P
 from cantiere.functions import rules as R
 from cantiere.functions.text import geo_key, lower_text
 from cantiere.functions.values import zero_pad
+from cantiere.session import scratch_dir
 from cantiere.operators.classify import with_operational_score, with_segments
 
 # -- fixed values of the bound preset ----------------------------------------
@@ -172,7 +173,14 @@ def branch_map(spark: SparkSession, sf: str) -> DataFrame:
     from cantiere.operators.geo import municipality_branches
 
     rows = municipality_branches(cap_places(spark, sf))
-    return rows.withColumn("province_code", F.lit(None).cast("string"))
+    return land(rows.withColumn("province_code", F.lit(None).cast("string")), "branch-map")
+
+
+def land(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a reference table to the shared folder and read it back, so its users do not rebuild it."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def offices(spark: SparkSession, sf: str) -> DataFrame:

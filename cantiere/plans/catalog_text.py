@@ -11,6 +11,7 @@ from cantiere.functions import rules as R
 from cantiere.functions import text as T
 from cantiere.functions import values as V
 from cantiere.operators import jsonflat, pages
+from cantiere.operators.scale import computed_once
 from cantiere.plans import bindings as B
 from cantiere.plans import sqltext as S
 from cantiere.sources.files import peek
@@ -64,8 +65,8 @@ def code_extract_and_year(spark, sf) -> DataFrame:
     raw = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("x-"), F.col("o_orderkey"))).otherwise(
         F.concat(F.lit("codice  "), code, F.lit(" fine")))
     notes = F.concat(F.lit("Settore: x | Anno Decisione:  "), F.year("o_orderdate"))
-    return o.select("o_orderkey", V.code(raw).alias("code"), V.code_year(V.code(raw)).alias("code_year"),
-                    V.labelled_year(notes).alias("label_year"))
+    o = o.withColumn("raw", raw).withColumn("code", V.code(F.col("raw")))
+    return o.select("o_orderkey", "code", V.code_year(F.col("code")).alias("code_year"), V.labelled_year(notes).alias("label_year"))
 
 
 CODE_SQL = """WITH c AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderstatus = 'P' THEN 'x-' || CAST(o_orderkey AS VARCHAR)
@@ -199,15 +200,16 @@ UNION ALL SELECT "row", 'c_mktsegment', m FROM h"""
 # -- classification ----------------------------------------------------------
 
 
-def _doc_text() -> "F.Column":
-    return T.lower_text(F.col("text"))
+def _docs(spark, sf) -> DataFrame:
+    """Documents with their normalised text ``t``, computed once per row."""
+    return computed_once(B.table(spark, sf, "documents"), {"t": T.lower_text(F.col("text"))})
 
 
 _DOC = f"(SELECT doc_id, source, lang, lower({S.squeeze('text')}) AS t FROM documents)"
 
 
 def taxonomy_first_match(spark, sf) -> DataFrame:
-    d = B.table(spark, sf, "documents").withColumn("t", _doc_text())
+    d = _docs(spark, sf)
     return d.select("doc_id", R.first_match(F.col("t"), DOC_RULES, P.OTHER).alias("label"),
                     D.category(F.col("t")).alias("category"), D.category(F.col("t"), P.CATEGORIES).alias("regional_category"),
                     D.intervention_type(F.col("t")).alias("intervention_type"),
@@ -222,11 +224,11 @@ TAXONOMY_SQL = f"""SELECT doc_id, {S.case_rules('t', DOC_RULES, "'Altro'")} AS l
 
 
 def segments_multi_label(spark, sf) -> DataFrame:
-    d = B.table(spark, sf, "documents").withColumn("t", _doc_text())
+    d = _docs(spark, sf)
     own = R.ranked_labels({k: R.contains_any(F.col("t"), v) for k, v in DOC_RULES.items()}, DOC_WEIGHTS)
-    preset = D.segments(F.col("t"), F.col("source"))
-    return d.select("doc_id", F.get(own, F.lit(0)).alias("primary_segment"), V.pipe_text(own).alias("segment_tags"),
-                    V.pipe_text(preset).alias("preset_tags"))
+    tagged = d.select("doc_id", own.alias("own"), D.segments(F.col("t"), F.col("source")).alias("preset"))
+    return tagged.select("doc_id", F.get("own", F.lit(0)).alias("primary_segment"), V.pipe_text(F.col("own")).alias("segment_tags"),
+                         V.pipe_text(F.col("preset")).alias("preset_tags"))
 
 
 def _label_list(rules, weights) -> str:
@@ -241,7 +243,7 @@ SELECT doc_id, split_part(segment_tags, ' | ', 1) AS primary_segment, segment_ta
 
 
 def noise_and_candidate_filter(spark, sf) -> DataFrame:
-    d = B.table(spark, sf, "documents").withColumn("t", _doc_text())
+    d = _docs(spark, sf)
     t = F.col("t")
     return d.filter(~D.is_noise(t, DOC_NOISE) & R.contains_any(t, DOC_CANDIDATES)).select(
         "doc_id", D.is_noise(t).alias("national_noise"), D.is_candidate(t).alias("national_candidate"),

@@ -16,6 +16,7 @@ from cantiere.functions import values as V
 from cantiere.operators import awards as A
 from cantiere.operators import dedupe, geo, link, shards, topk
 from cantiere.operators.classify import with_categories, with_operational_score, with_segments
+from cantiere.operators.scale import computed_once
 from cantiere.sources import files
 
 # Position of the register columns (fixed values of the published file layout).
@@ -96,10 +97,10 @@ def parse_positional(raw: DataFrame, url_prefix: str = "", min_value: float = P.
         (F.coalesce(F.col("value_eur"), F.lit(min_value)) >= min_value) & T.known(columns["cup_raw"]).isNotNull()
     )
     named = {n: T.known(c) for n, c in columns.items() if n not in ("cost", "composite")}
-    parts = V.composite(T.known(columns["composite"]))
     funding = V.first_flagged([F.col(f"_c{i}") for i in range(*FUNDING_RANGE)], P.FUNDING_WORDS)
-    clean = rows.select("value_eur", *keep, *[c.alias(n) for n, c in named.items()], parts.alias("parts"), funding.alias("funding"))
-    clean = clean.withColumns({
+    clean = rows.select("value_eur", *keep, *[c.alias(n) for n, c in named.items()],
+                        T.known(columns["composite"]).alias("composite"), funding.alias("funding"))
+    clean = clean.withColumn("parts", V.composite(F.col("composite"))).withColumns({
         "cup": V.code(F.col("cup_raw")),
         "description": F.coalesce("description_raw", "parts.description"),
         "address": V.joined_or([F.col("street_type"), F.col("street_name"), F.col("street_number")], F.col("parts.location")),
@@ -109,7 +110,7 @@ def parse_positional(raw: DataFrame, url_prefix: str = "", min_value: float = P.
     clean = clean.withColumn("title", title)
     text = ["title", "description", "location_hint", "classification", "nature", "typology", "area", "sector_raw", "subsector", "register_category"]
     noise = [c for c in text if c != "location_hint"]
-    staged = clean.withColumns({"_all": T.lower_text(*[F.col(c) for c in text]), "_noise": T.lower_text(*[F.col(c) for c in noise])})
+    staged = computed_once(clean, {"_all": T.lower_joined(*text), "_noise": T.lower_joined(*noise)})
     kept = staged.filter(~D.is_noise(F.col("_noise")) & D.is_candidate(F.col("_all"))).drop("_noise")
     out = kept.withColumns({
         "category": D.category(F.col("_all")), "intervention_type": D.intervention_type(F.col("_all")),
@@ -122,7 +123,7 @@ def parse_positional(raw: DataFrame, url_prefix: str = "", min_value: float = P.
     })
     score = D.commercial_score_v2(*[F.col(c) for c in ("category", "value_eur", "phase", "intervention_type", "client", "region", "province", "municipality")])
     return out.withColumn("commercial_score", score).drop(
-        "_all", "parts", "cup_raw", "description_raw", "title_raw", "status_raw", "sector_raw", "province_name", "province_code",
+        "_all", "parts", "composite", "cup_raw", "description_raw", "title_raw", "status_raw", "sector_raw", "province_name", "province_code",
         "street_name", "street_type", "street_number")
 
 
@@ -150,7 +151,7 @@ def parse_named(raw: DataFrame, url_prefix: str = "", min_value: float = P.MIN_P
     rows = rows.withColumns(V.gated(["contact_role", "contact_email", "contact_phone"], F.col("rup").isNotNull() | F.col("contact_name").isNotNull()))
     rows = rows.withColumn("title", F.coalesce("title_raw", F.concat_ws(" ", F.lit("Progetto"), F.col("cup"))))
     text = ["title", "description", "classification", "typology", "area", "sector_raw", "subsector", "register_category"]
-    staged = rows.withColumn("_all", T.lower_text(*[F.col(c) for c in text]))
+    staged = computed_once(rows, {"_all": T.lower_joined(*text)})
     kept = staged.filter(~D.is_noise(F.col("_all"), P.NON_CONSTRUCTION_NOISE) & D.is_regional_candidate(F.col("_all"))).drop("_all")
     out = with_categories(kept, text, P.CATEGORIES).withColumns({
         "phase": D.phase(F.col("status")), "province": F.col("province_name"), "year": F.col("year_text").try_cast("int"),
@@ -178,8 +179,9 @@ def first_projects(projects: DataFrame, position: Sequence[str] = ("_file", "_me
 def operational(projects: DataFrame) -> DataFrame:
     """Operational shortlist with the full rule set."""
     text = [c for c in ("title", "description", "category", "sector", "client", "notes") if c in projects.columns]
-    staged = with_segments(projects, text).withColumn("_text", T.lower_text(*[F.col(c) for c in text]))
-    staged = staged.withColumn("macro", D.is_macro(F.col("value_eur"), F.col("_text"))).drop("_text")
+    staged = with_segments(projects, text)
+    macro = D.is_macro(F.col("value_eur"), T.lower_text(*[F.col(c) for c in text]))
+    staged = computed_once(staged, {"macro": macro})
     rows = with_operational_score(staged, F.col("macro"))
     band, order = R.labelled_bands(P.NARROW_BANDS, P.LOWEST_BAND)(F.col("value_eur"))
     return topk.shortlist(rows, F.col("macro")).withColumns({"value_band": band, "band_order": order})

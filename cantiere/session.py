@@ -15,6 +15,8 @@ DEFAULTS = {
     # let a skewed join be split even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # wide cleaning projections: do not generate methods that the JVM refuses to compile
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
