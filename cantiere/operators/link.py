@@ -96,14 +96,19 @@ def representative_project(links: DataFrame, meta: DataFrame) -> DataFrame:
 
 def coverage(targets: DataFrame, links: DataFrame, matched: DataFrame) -> DataFrame:
     """One-row summary of the project-to-tender match."""
-    t = targets.agg(F.count_distinct("cup").alias("target_cups"))
-    raw = links.agg(F.count(F.lit(1)).alias("rows_scanned"))
-    m = matched.agg(
-        F.count(F.lit(1)).alias("match_rows"),
-        F.count_distinct("cup").alias("matched_target_cups"),
-        F.count_distinct("cig").alias("matched_unique_cigs"),
+    # one tall table and one aggregate; the raw side enters as a single counted row
+    none = F.lit(None).cast("string")
+    raw = links.agg(F.count(F.lit(1)).alias("n")).select(F.lit("raw").alias("kind"), none.alias("cup"), none.alias("cig"), "n")
+    rows = lambda df, kind, cig: df.select(F.lit(kind).alias("kind"), "cup", cig.alias("cig"), F.lit(0).cast("long").alias("n"))
+    tall = raw.unionByName(rows(targets, "target", none)).unionByName(rows(matched, "match", F.col("cig")))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    one = tall.agg(
+        F.count_distinct(of("target", "cup")).alias("target_cups"),
+        F.sum("n").alias("rows_scanned"),
+        F.count_if(F.col("kind") == "match").alias("match_rows"),
+        F.count_distinct(of("match", "cup")).alias("matched_target_cups"),
+        F.count_distinct(of("match", "cig")).alias("matched_unique_cigs"),
     )
-    one = t.join(raw, F.lit(True)).join(m, F.lit(True))  # single rows
     return one.withColumns({
         "unmatched_target_cups": F.col("target_cups") - F.col("matched_target_cups"),
         "coverage_target_cups_pct": percentage(F.col("matched_target_cups"), F.col("target_cups")),

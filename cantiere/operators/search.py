@@ -84,14 +84,15 @@ def facets(df: DataFrame, request: SearchRequest = SearchRequest(), territory: D
         v = blank_to_null(F.col(name))
         return F.when(condition & v.isNotNull(), F.struct(F.lit(name).alias("facet"), v.alias("value")))
 
+    names = branch_list(F.col("branch"), F.col("branch_candidates"), False)
+    listed = F.transform(names, lambda b: F.struct(F.lit("branch").alias("facet"), b.alias("value")))
     geo = [entry("region", F.lit(True)), entry("province", same("region")),
            entry("municipality", same("region") & same("province"))]
     own = [entry("segment", F.lit(True))]
-    spread = lambda d, es: d.select(F.explode(F.array_compact(F.array(*es))).alias("e")).select("e.*")
-    branches = df.select(F.lit("branch").alias("facet"),
-                         F.explode(branch_list(F.col("branch"), F.col("branch_candidates"), False)).alias("value"))
+    entries = lambda es: F.array_compact(F.array(*es))
     if request.branch and territory is not None:
-        parts = spread(df, own).unionByName(spread(territory.filter(F.col("branch") == request.branch), geo))
+        chosen = territory.filter(F.col("branch") == request.branch)
+        parts = df.select(F.inline(F.concat(entries(own), listed))).unionByName(chosen.select(F.inline(entries(geo))))
     else:
-        parts = spread(df, own + geo)
-    return parts.unionByName(branches).distinct()
+        parts = df.select(F.inline(F.concat(entries(own + geo), listed)))
+    return parts.distinct()

@@ -222,8 +222,6 @@ def register_as_of(spark: SparkSession, sf: str, day: str) -> DataFrame:
 
     Closed projects leave the register four years after their decision.
     """
-    from cantiere.operators.awards import award_lists  # noqa: F401  (same nesting as the master)
-
     when = F.lit(day).cast("date")
     p = projects(spark, sf).filter(F.col("decided_on") <= when)
     p = p.filter(~((F.col("status") == "CHIUSO") & (F.add_months("decided_on", 48) < when)) | F.col("status").isNull())

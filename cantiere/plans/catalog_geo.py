@@ -147,7 +147,7 @@ FROM kpi_unique WHERE region <> 'MIDDLE EAST' GROUP BY 1, 2"""
 
 def home_rankings(spark, sf) -> DataFrame:
     fan = geo.fan_out(_kpi_rows(spark, sf)).drop("branch").withColumnRenamed("listed_branch", "branch")
-    return report.branch_rankings(report.kpis(fan, ["branch"]), top=5, min_count=500)
+    return report.branch_rankings(B.land(report.kpis(fan, ["branch"]), "branch-stats"), top=5, min_count=500)
 
 
 RANKING_SQL = f"""WITH {_KPI}, s AS (SELECT listed_branch AS branch, {_KPI_COLUMNS} FROM kpi GROUP BY 1)

@@ -134,7 +134,8 @@ def duplicate_codes(spark, sf) -> DataFrame:
 
 
 def _targets(spark, sf) -> DataFrame:
-    return B.shortlisted(spark, sf).select("cup")
+    """Target codes as a landed one-column table: several joins read it, the scores are computed once."""
+    return B.land(B.shortlisted(spark, sf).select("cup"), "targets")
 
 
 def link_semi_join(spark, sf) -> DataFrame:
@@ -293,7 +294,7 @@ def _levels(spark, sf) -> DataFrame:
     value = B.projects(spark, sf).select("cup", "value_eur")
     enriched = B.awards(spark, sf, with_contractor=False).filter(F.col("contractor_role") == "R")
     enriched = enriched.select("cup", "cig", "award_result", "award_amount_eur").join(value, "cup").join(targets, "cup", "left_semi")
-    c = B.consolidated(spark, sf)
+    c = B.land(B.consolidated(spark, sf), "consolidated")
     evidence = link.project_evidence(links, enriched, A.relevant(c), A.anomalies(c), B.MIN_AWARD, B.RATIO_WINDOW)
     return link.evidence_level(B.projects(spark, sf).select("cup"), evidence)
 
@@ -339,9 +340,10 @@ def _master(spark, sf) -> DataFrame:
     text = ["cup", "title", "category", "region", "province", "municipality", "client", "branch", "branch_candidates", "year", "source_url"]
     relevant = A.relevant(B.consolidated(spark, sf)).select(
         "cup", "cig", "value_eur", "award_amount_eur", "award_date", "award_result", "award_share_pct", "award_weight", "ratio_note", "contractors")
+    relevant = B.land(relevant, "relevant")
     rows = relevant.join(p.select(*text), "cup").withColumn("id", F.concat_ws("::", F.lit("AWARD"), "cup", "cig"))
     register = p.select(*text, "value_eur").withColumn("id", F.concat_ws("::", F.lit("REGISTER"), "cup"))
-    raw = A.raw_master(rows, register)
+    raw = B.land(A.raw_master(rows, register), "raw-master")
     grouped = A.group_projects(raw, [*text, "value_eur", "id", "source"])
     return A.with_quality(grouped.withColumn("code_year", F.col("year")), **B.QUALITY)
 

@@ -28,7 +28,8 @@ def write_zip_csv(df: DataFrame, folder: str, delimiter: str = ";", members: int
         from pyarrow import fs
         from pyspark import TaskContext
 
-        filesystem, plain = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        local = folder.removeprefix("file:")
+        filesystem, plain = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), local)
         ctx = TaskContext.get()
         filesystem.create_dir(plain, recursive=True)
         target = f"{plain}/part-{ctx.partitionId():05d}.zip"

@@ -243,7 +243,7 @@ def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
     consolidated = A.with_ratio(A.valid_awards(enriched))
     relevant, anomalies = A.relevant(consolidated), A.anomalies(consolidated)
 
-    master = master_table(shortlist, relevant, inputs)
+    master = master_table(shortlist, relevant, inputs, out)
     evidence = link.project_evidence(links, enriched, relevant, anomalies)
     levels = link.evidence_level(master, evidence)
     final = _land(levels, f"{out}/master")
@@ -255,13 +255,13 @@ BASE = ("cup", "title", "category", "segment", "region", "province", "municipali
         "branch_confidence", "branch_assignment_method", "value_eur", "source_url", "id", "source")
 
 
-def master_table(shortlist: DataFrame, relevant: DataFrame, inputs: Inputs) -> DataFrame:
-    """Nested master with branch and quality layer."""
+def master_table(shortlist: DataFrame, relevant: DataFrame, inputs: Inputs, out: str) -> DataFrame:
+    """Nested master with branch and quality layer; the raw rows are landed once, four aggregates read them."""
     place = lambda df: geo.assign_branch(df.withColumnRenamed("primary_segment", "segment"), inputs.branch_map,
                                          inputs.branch_position, **inputs.fallbacks)
     award_rows = place(relevant).withColumn("id", F.concat_ws("::", F.lit("AWARD"), "cup", "cig"))
     register_rows = place(shortlist.drop("segment_tags")).withColumn("id", F.concat_ws("::", F.lit("REGISTER"), "cup"))
-    raw = A.raw_master(award_rows, register_rows)
+    raw = _land(A.raw_master(award_rows, register_rows), f"{out}/raw_master")
     grouped = A.group_projects(raw, BASE)
     return A.with_quality(grouped.withColumn("code_year", V.code_year(F.col("cup"))))
 

@@ -37,7 +37,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     The cluster names that folder; only a local session without the setting gets a
     folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

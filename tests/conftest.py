@@ -14,7 +14,7 @@ def spark():
 
     session = get_session("local[8]", "tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": "100000",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
