@@ -11,7 +11,7 @@ from cantiere.functions import presets as P
 from cantiere.functions import rules as R
 from cantiere.functions.text import blank_to_null, geo_key, squeeze
 from cantiere.functions.values import pipe_list, pipe_text, postal_code
-from cantiere.operators.scale import BROADCAST_ROWS, LIST_LIMIT, lists_per_key
+from cantiere.operators.scale import BROADCAST_ROWS, LIST_LIMIT, computed_once, lists_per_key
 
 ASSIGNMENT = ("branch", "branch_candidates", "branch_confidence", "branch_assignment_method")
 
@@ -140,10 +140,13 @@ def _cascade(df: DataFrame, dim: DataFrame, named: DataFrame, hint, overrides, p
     none = F.lit("")
     hit = F.coalesce(F.col("_hit1"), F.col("_hit2"))
     hit_method = F.when(no_province, "fallback_comune_univoco").otherwise("exact_or_alias_province")
-    listed = F.when(no_province, _get(overrides, F.col("_town")))
     same_name = F.coalesce("_name1", "_name2")
-    by_province = F.coalesce(_get(provinces, F.col("_prov")), _get(provinces, F.col("_alias")))
-    by_region = _get(regions, F.col("_reg"))
+    d = computed_once(d, {
+        "_listed": F.when(no_province, _get(overrides, F.col("_town"))),
+        "_by_province": F.coalesce(_get(provinces, F.col("_prov")), _get(provinces, F.col("_alias"))),
+        "_by_region": _get(regions, F.col("_reg")),
+    })
+    listed, by_province, by_region = F.col("_listed"), F.col("_by_province"), F.col("_by_region")
 
     def answer(branch, candidates, confidence, method) -> Column:
         return F.struct(branch.alias("branch"), candidates.alias("branch_candidates"),
@@ -161,7 +164,7 @@ def _cascade(df: DataFrame, dim: DataFrame, named: DataFrame, hint, overrides, p
         .when(by_region.isNotNull(), fixed(by_region, "territoriale_regione", "fallback_regione_territoriale"))
         .otherwise(fixed(F.lit(P.UNASSIGNED), "nessuna", "none"))
     )
-    return d.select(*df.columns, assigned.alias("_assigned"))
+    return computed_once(d, {"_assigned": assigned}).select(*df.columns, "_assigned")
 
 
 def assign_branch_exact(df: DataFrame, branch_map: DataFrame, position: Sequence[Column | str]) -> DataFrame:

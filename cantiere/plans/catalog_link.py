@@ -336,7 +336,7 @@ SELECT section, name, count, 100.0 * count / total AS pct FROM n, t"""
 
 
 def _master(spark, sf) -> DataFrame:
-    p = B.assigned(spark, sf)
+    p = B.land(B.assigned(spark, sf), "assigned")
     text = ["cup", "title", "category", "region", "province", "municipality", "client", "branch", "branch_candidates", "year", "source_url"]
     relevant = A.relevant(B.consolidated(spark, sf)).select(
         "cup", "cig", "value_eur", "award_amount_eur", "award_date", "award_result", "award_share_pct", "award_weight", "ratio_note", "contractors")
