@@ -15,7 +15,6 @@ import base64
 import hashlib
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +41,14 @@ SCAN_WIDTH = 64
 
 @lru_cache(maxsize=1)
 def code_classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    """Class of every code point, by the character tables that the tiktoken library itself uses."""
+    import tiktoken
+
+    points = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for name, kind in (("L", LETTER), ("N", NUMBER)):
+        single = tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        out[np.frombuffer(bytes(single.encode_ordinary(points)).decode().encode("utf-32-le"), np.uint32)] = kind
     out[list(WHITE)] = BLANK
     out[32] = SPACE
     return out

@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, token_files
+from cantiere.llm import byte_bpe, jaccard, quality, token_files
 from cantiere.llm.common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.assess(docs, quality.train(docs, table(spark, sf, "labels")))
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -17,7 +22,13 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.components(table(spark, sf, "documents"))
+
+
 ENTRIES = {
+    "op2_quality_rules": (op2_quality_rules, None),
     "op7_token_files": (op7_token_files, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
+    "op9_jaccard_join": (op9_jaccard_join, None),
 }

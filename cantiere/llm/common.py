@@ -12,15 +12,20 @@ from cantiere.session import scratch_dir
 
 #: Code points handled at once inside a task; a longer text forms a block of its own.
 BLOCK_CHARS = 1_000_000
-#: Rows of one Arrow batch, so that batches of long texts stay within a worker's memory.
-BATCH_ROWS = 1024
+#: Bounds of one Arrow batch, so that batches of long texts stay within a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def landed(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: lost executors cost no recomputation."""
     path = scratch_dir(spark, purpose)
