@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, jaccard, quality, token_files
+from cantiere.llm import byte_bpe, decontaminate, jaccard, language, quality, token_files
 from cantiere.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf, "labels")))
 
 
+def op4_language_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,6 +36,8 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 ENTRIES = {
     "op2_quality_rules": (op2_quality_rules, None),
+    "op4_language_filters": (op4_language_filters, None),
+    "op5_decontamination": (op5_decontamination, None),
     "op7_token_files": (op7_token_files, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
