@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, decontaminate, jaccard, language, quality, token_files
+from cantiere.llm import byte_bpe, decontaminate, jaccard, language, quality, token_files, toxicity
 from cantiere.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, sf, "labels")))
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op4_language_filters(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
@@ -36,6 +40,7 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 ENTRIES = {
     "op2_quality_rules": (op2_quality_rules, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op4_language_filters": (op4_language_filters, None),
     "op5_decontamination": (op5_decontamination, None),
     "op7_token_files": (op7_token_files, None),
