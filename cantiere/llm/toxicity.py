@@ -356,9 +356,10 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 2,
         return Constant(float(labels.mean()) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
     words = [words_of(t) for t in texts]
-    usable, few = np.array([bool(w) for w in words]), labels.sum() < 10
-    fitted = np.flatnonzero(usable & ((np.arange(len(words)) % 5 != 0) | few))
-    if len(fitted) and labels[fitted].min() == labels[fitted].max():
+    usable, kept = np.array([bool(w) for w in words]), np.arange(len(words)) % 5 != 0
+    few = min(labels[usable & kept].sum(), (1 - labels[usable & kept]).sum(), labels[usable & ~kept].sum()) < 3  # then all rows serve both
+    fitted = np.flatnonzero(usable & (kept | few))
+    if not len(fitted) or labels[fitted].min() == labels[fitted].max():
         return Constant(float(labels.mean()))
     evidence, vocabulary = _telling([words[i] for i in fitted], labels[fitted])
     net = Network(vocabulary, seed)
@@ -390,7 +391,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 2,
                 some = order[at:at + batch]
                 adam.step(net.gradients([windows[j] for j in some], marks[some], np.where(marks[some] > 0, balance, 1.0))[1])
     net.bind()
-    apart = np.flatnonzero(usable & ((np.arange(len(words)) % 5 == 0) | few))
+    apart = np.flatnonzero(usable & (~kept | few))
     logits, number = net.window_logits([words[i] for i in apart])
     net.scale, net.shift = _calibrate(_highest(logits, number), labels[apart])
     net.bind()

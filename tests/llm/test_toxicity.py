@@ -65,11 +65,11 @@ def test_a_word_family_is_learnt_from_its_beginning():
     texts, labels = [], []
     for i in range(500):
         words = [word() for _ in range(rng.randrange(20, 200))]
-        if i % 5 == 0:
+        if i % 4 == 0:
             for at in rng.sample(range(len(words)), 3):
                 words[at] = "zux" + word()
         texts.append(" ".join(words))
-        labels.append(int(i % 5 == 0))
+        labels.append(int(i % 4 == 0))
     net = toxicity.fit(texts[:400], np.array(labels[:400]))
     assert np.mean((net.scores(texts[400:]) >= 0.3) == np.array(labels[400:], bool)) > 0.95
 
