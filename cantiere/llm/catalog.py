@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, decontaminate, jaccard, language, quality, token_files, toxicity
+from cantiere.llm import byte_bpe, decontaminate, jaccard, language, quality, secrets, token_files, toxicity, warc
 from cantiere.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(table(spark, sf, "documents"), secrets.train(secrets.examples(spark)))
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,12 +42,18 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.components(table(spark, sf, "documents"))
 
 
+def op10_warc_salvage(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 ENTRIES = {
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_language_filters": (op4_language_filters, None),
     "op5_decontamination": (op5_decontamination, None),
+    "op6_secret_scan": (op6_secret_scan, None),
     "op7_token_files": (op7_token_files, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_jaccard_join": (op9_jaccard_join, None),
+    "op10_warc_salvage": (op10_warc_salvage, warc.ROUND_TRIP_SQL),
 }
