@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, decontaminate, jaccard, language, quality, secrets, token_files, toxicity, warc
+from cantiere.llm import byte_bpe, chat, decontaminate, jaccard, language, quality, secrets, token_files, toxicity, warc
 from cantiere.llm.common import table
 
 
+def op1_perspective_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.rotate(table(spark, sf, "conversations"))
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return quality.assess(docs, quality.train(docs, table(spark, sf, "labels")))
@@ -47,6 +51,7 @@ def op10_warc_salvage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENTRIES = {
+    "op1_perspective_rotation": (op1_perspective_rotation, chat.ROTATE_SQL),
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_language_filters": (op4_language_filters, None),
