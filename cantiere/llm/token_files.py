@@ -15,7 +15,9 @@ equal ids follows the text. NULL ids come first.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +32,11 @@ from cantiere.session import scratch_dir
 CACHE_WORDS = 500_000
 #: A word that texts hardly hold and that is one token.
 MARK = "\x01"
-#: Marks that are cut off the end of a word of ASCII letters.
-MARKS = b".,;:!?"
+#: A word of Latin letters, which normalisation leaves alone but for lower case, and marks behind it.
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: fixed values: the letter that stands for each byte in byte-level vocabularies
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = [chr(b) if b in _OWN else chr(256 + b - sum(o < b for o in _OWN)) for b in range(256)]
 FILE_SCHEMA = "part int, seq long, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 #: Row groups of 16 MB with pages of 256 KB: a page is the unit of a selective read.
 LAYOUT = {
@@ -52,7 +57,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {b"": b""}
+        self.stems: dict[str, bytes] = {}
         self.mark = self._ids([MARK])[0]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -70,20 +75,36 @@ class WordTokenizer:
         return [raw[a:b] for a, b in zip(starts, ends)]
 
     def _stems(self, words: list[bytes]) -> list[bytes]:
-        """Ids of new words, by stem and trailing marks: the vocabulary is lower case and starts a new piece
-        between a letter and a mark."""
-        cut, stems = [], self.stems
-        for word in words:
-            low = word.lower()
-            stem = low.rstrip(MARKS)
-            cut.append((stem, low[len(stem):]) if stem and stem.isalpha() else (low, b""))
+        """Ids of new words. The vocabulary is lower case and starts a new piece between a letter and a mark, so
+        Latin words share the ids of their lower-case stem, which is a single piece for the model."""
+        stems, out = self.stems, []
         if len(stems) > CACHE_WORDS:
             stems.clear()
-            stems[b""] = b""
-        new = list({part for both in cut for part in both}.difference(stems))
-        for at in range(0, len(new), 512):
-            stems.update(zip(some := new[at:at + 512], self._words(some)))
-        return [stems[stem] + stems[marks] for stem, marks in cut]
+        rest = []
+        for i, word in enumerate(words):
+            latin = LATIN.fullmatch(word.decode("utf-8", "surrogatepass"))
+            if latin is None:
+                rest.append(i)
+                out.append(b"")
+                continue
+            stem, marks = latin[1].lower(), latin[2]
+            ids = stems.get(stem)
+            if ids is None:
+                ids = stems[stem] = self._piece(stem)
+            if marks:
+                if marks not in stems:
+                    stems[marks] = np.array(self._ids([marks])[0], "<u4").tobytes()
+                ids += stems[marks]
+            out.append(ids)
+        for at in range(0, len(rest), 512):
+            some = rest[at:at + 512]
+            for i, ids in zip(some, self._words([words[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _piece(self, stem: str) -> bytes:
+        plain = stem if stem.isascii() else "".join(map(BYTE_LETTERS.__getitem__, stem.encode()))
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(plain)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
