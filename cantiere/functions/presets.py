@@ -32,9 +32,6 @@ GLYPH_REPAIRS = (
     ("\u00a0", " "), ("\u00bf", "'"), ("\ufffd", "'"), ("\ufeff", ""),
 )
 
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿŠšŽž"
-UNACCENTED = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyySsZz"
-
 # -- first-match taxonomies --------------------------------------------------
 
 CATEGORIES = {

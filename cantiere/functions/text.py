@@ -7,7 +7,9 @@ becomes ``NULL`` in :func:`blank_to_null`.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,13 +80,33 @@ def person_name(c: Column) -> Column:
     return F.coalesce(~v.rlike(r"^[0-9]+([.,][0-9]+)?$") & (F.size(words) >= 2), F.lit(False))
 
 
+@lru_cache(maxsize=1)
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """ASCII letters of decomposed Latin characters: two strings for single ones, a table for the others."""
+    blocks = (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2070, 0x20A0), range(0x2100, 0x2150), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
+    plain = {}
+    for block in blocks:
+        for code in block:
+            plain[chr(code)] = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+    single = {c: to for c, to in plain.items() if len(to) == 1}
+    return "".join(single), "".join(single.values()), {c: to for c, to in plain.items() if len(to) > 1}
+
+
+def without_accents(c: Column) -> Column:
+    """ASCII text: Latin characters decomposed, ligatures spelt out, everything else dropped."""
+    single, to, several = _decompositions()
+    v = F.translate(c, single, to)
+    spelt = v
+    for ligature, letters in several.items():
+        spelt = F.replace(spelt, F.lit(ligature), F.lit(letters))
+    v = F.when(v.rlike(f"[{''.join(several)}]"), spelt).otherwise(v)
+    return F.regexp_replace(v, r"[^\x00-\x7f]", "")
+
+
 def slug(c: Column) -> Column:
-    """File-name slug: accents dropped, other runs to ``_``, fixed sentinels in capitals."""
+    """File-name slug: accents decomposed, other runs to ``_``, fixed sentinels in capitals."""
     v = F.coalesce(blank_to_null(c), F.lit(presets.UNASSIGNED))
-    # decomposition table for the Latin letters with accents, other non-ASCII is dropped
-    plain = F.translate(v, presets.ACCENTED, presets.UNACCENTED)
-    plain = F.regexp_replace(plain, r"[^\x00-\x7f]", "")
-    s = F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    s = F.regexp_replace(F.regexp_replace(without_accents(v), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
     fallback = F.lit(presets.UNASSIGNED.replace(" ", "_"))
     return (
         F.when(F.lower(v).isin("non assegnata", "non_assegnata"), fallback)

@@ -12,7 +12,7 @@ from cantiere.functions import presets as P
 from cantiere.functions.text import blank_to_null
 from cantiere.functions.values import has_text, pipe_text
 from cantiere.operators.dedupe import top_per_key
-from cantiere.operators.scale import LIST_LIMIT, lists_per_key, only_first_part
+from cantiere.operators.scale import LIST_LIMIT, lists_per_key
 
 
 def contractor_label(c: Column) -> Column:
@@ -40,23 +40,19 @@ def with_ratio(df: DataFrame, window: tuple[float, float] = P.RATIO_WINDOW) -> D
 
 
 def consolidate(rows: DataFrame, position: Sequence[Column], min_award: float = P.MIN_AWARD,
-                window: tuple[float, float] = P.RATIO_WINDOW, limit: int = LIST_LIMIT) -> DataFrame:
-    """One row per (project, tender): attributes of the first row, distinct contractors.
+                window: tuple[float, float] = P.RATIO_WINDOW) -> DataFrame:
+    """One row per (project, tender): attributes of the first row, all distinct contractors.
 
     ``contractors`` is an array of (name, tax, role); use :func:`award_texts` for the
-    text columns.  ``lists_per_key`` over the same rows holds every part of an oversized list.
+    text columns.  Both aggregates combine map-side, so a task meets distinct contractors only.
     """
+    from cantiere.operators.link import contractor_of
+
     valid = valid_awards(rows, min_award)
-    who = F.struct(
-        F.col("contractor_name").alias("name"),
-        F.coalesce(blank_to_null(F.col("contractor_tax_code")), blank_to_null(F.col("contractor_vat"))).alias("tax"),
-        blank_to_null(F.col("contractor_role")).alias("role"),
-    )
-    item = F.when(has_text(F.col("contractor_name")), who)
     first = top_per_key(valid, ["cup", "cig"], position).drop(
         "contractor_name", "contractor_tax_code", "contractor_vat", "contractor_role"
     )
-    lists = only_first_part(lists_per_key(valid, ["cup", "cig"], item, "contractors", limit))
+    lists = valid.withColumn("_who", contractor_of()).groupBy("cup", "cig").agg(F.array_sort(F.collect_set("_who")).alias("contractors"))
     return with_ratio(first.join(lists, ["cup", "cig"], "left"), window)
 
 
@@ -96,44 +92,52 @@ def raw_master(award_rows: DataFrame, register_rows: DataFrame) -> DataFrame:
     return tag(award_rows, True).unionByName(tag(bare, False), allowMissingColumns=True)
 
 
-def group_projects(raw: DataFrame, base_columns: Sequence[str], limit: int = LIST_LIMIT) -> DataFrame:
-    """Nested master: one row per project with its awards.
+def group_projects(raw: DataFrame, base_columns: Sequence[str]) -> DataFrame:
+    """Project master: one row per project with its counts, sums and contractor summary.
 
-    ``raw`` has ``cup, id, value_eur, has_award, cig, award_date, award_amount_eur,
-    award_share_pct, award_weight, ratio_note, award_result`` and ``contractors`` (array of
-    structs).  The base row is the one with the largest value.  Counts, sums and the
-    contractor summary are plain aggregates over all awards; the nested array is whole for
-    every project up to ``limit`` awards and holds part 0 beyond that (see ``award_lists``).
+    ``raw`` has ``cup, id, value_eur, has_award, cig, award_date, award_amount_eur`` and
+    ``contractors`` (array of structs).  The base row is the one with the largest value, then the
+    smallest tender.  Everything is an aggregate that combines map-side; the awards
+    themselves stay in a table of their own (:func:`award_lists`), see :func:`nested`.
     """
     keyed = raw.withColumn("project_key", F.coalesce(F.upper(blank_to_null(F.col("cup"))), F.col("id")))
-    base = top_per_key(keyed, ["project_key"], [F.desc_nulls_last("value_eur"), F.asc_nulls_last("cig")])
-    base = base.select("project_key", *base_columns)
-    awarded = keyed.filter("has_award")
-    totals = awarded.groupBy("project_key").agg(
-        F.count(F.lit(1)).alias("awards_count"),
-        F.sum(F.col("award_amount_eur").cast("decimal(18,2)")).cast("double").alias("awards_total_eur"),
-        F.max("award_date").alias("last_award_date"),
+    value, cig = F.col("value_eur").cast("double"), F.col("cig")
+    rank = F.struct(value.isNull(), -F.coalesce(value, F.lit(0.0)), cig.isNull(), F.coalesce(cig, F.lit("")), F.col("id"))
+    of_award = lambda c: F.when(F.col("has_award"), c)
+    base = keyed.groupBy("project_key").agg(
+        F.min_by(F.struct(*base_columns), rank).alias("_base"),
+        F.count_if("has_award").alias("awards_count"),
+        F.sum(of_award(F.col("award_amount_eur").cast("decimal(18,2)"))).cast("double").alias("awards_total_eur"),
+        F.max(of_award(F.col("award_date"))).alias("last_award_date"),
     )
     # distinct names first, so a project with very many awards is combined before it meets one task
     names = (
-        awarded.select("project_key", "award_date", "cig", F.explode(F.transform("contractors", contractor_label)).alias("who"))
+        keyed.filter("has_award")
+        .select("project_key", "award_date", "cig", F.explode(F.transform("contractors", contractor_label)).alias("who"))
         .groupBy("project_key", "who").agg(F.min(F.struct("award_date", "cig", "who")).alias("_at"))
         .groupBy("project_key").agg(F.count(F.lit(1)).alias("contractors_count"), F.min("_at").alias("_first"))
     )
     more = F.col("contractors_count") - 1
     summary = F.when(more > 0, F.concat(F.col("_first.who"), F.lit(" + altri "), more, F.lit(" OE"))).otherwise(F.col("_first.who"))
     names = names.select("project_key", "contractors_count", summary.alias("contractors_summary"))
-    lists = only_first_part(award_lists(awarded, limit))
-    return (
-        base.join(totals, "project_key", "left").join(names, "project_key", "left").join(lists, "project_key", "left")
-        .withColumns({
-            "awards_count": F.coalesce("awards_count", F.lit(0)),
-            "contractors_count": F.coalesce("contractors_count", F.lit(0)),
-            "has_award": F.coalesce(F.col("awards_count") > 0, F.lit(False)),
-        })
+    return base.join(names, "project_key", "left").select(
+        "project_key", "_base.*", "awards_count", "awards_total_eur", "last_award_date",
+        F.coalesce("contractors_count", F.lit(0)).alias("contractors_count"), "contractors_summary",
+        (F.col("awards_count") > 0).alias("has_award"),
     )
 
 
+def nested(master: DataFrame, raw: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """Master rows with their awards as sorted arrays: one row per project and ``part``.
+
+    A project with at most ``limit`` awards has one row with part 0; larger ones repeat the
+    master columns in every part, and the parts together hold all awards.
+    """
+    keyed = raw.filter("has_award").withColumn("project_key", F.coalesce(F.upper(blank_to_null(F.col("cup"))), F.col("id")))
+    lists = award_lists(keyed, limit).drop("n_items")
+    return master.join(lists, "project_key", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+
+
 def award_lists(awarded: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """Awards per project as sorted arrays in bounded parts (by date, then tender)."""
     entry = F.struct(

@@ -11,7 +11,7 @@ from cantiere.functions import presets as P
 from cantiere.functions import rules as R
 from cantiere.functions.text import blank_to_null, geo_key, squeeze
 from cantiere.functions.values import pipe_list, pipe_text, postal_code
-from cantiere.operators.scale import BROADCAST_ROWS, LIST_LIMIT, computed_once, lists_per_key
+from cantiere.operators.scale import BROADCAST_ROWS, computed_once
 
 ASSIGNMENT = ("branch", "branch_candidates", "branch_confidence", "branch_assignment_method")
 
@@ -225,21 +225,20 @@ def resolve_places(caps: DataFrame, places: DataFrame) -> tuple[DataFrame, DataF
     return found, missing
 
 
-def municipality_branches(cap_places: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def municipality_branches(cap_places: DataFrame) -> DataFrame:
     """Municipality to branch: the single branch, or the ambiguous sentinel with candidates.
 
-    The branch list is bounded by the number of branches; postal codes go through bounded lists.
+    The lists are bounded by the number of branches and of five-digit postal codes, and
+    combined map-side.
     """
     keys = ["municipality_norm", "province_norm"]
     base = cap_places.groupBy(*keys).agg(
         F.array_sort(F.collect_set("branch")).alias("branches"),
         F.max("municipality").alias("municipality"), F.max("province").alias("province"),
-        F.max("region").alias("region"),
+        F.max("region").alias("region"), F.array_sort(F.collect_set("cap")).alias("cap_list"),
     )
-    caps = lists_per_key(cap_places, keys, F.col("cap"), "cap_list", limit)
-    caps = caps.filter("part = 0").drop("part")
     single = F.size("branches") == 1
-    return base.join(caps, keys, "left").select(
+    return base.select(
         *keys, "municipality", "province", "region",
         F.when(single, F.get("branches", F.lit(0))).otherwise(F.lit(P.AMBIGUOUS)).alias("branch"),
         pipe_text(F.col("branches")).alias("branch_candidates"),

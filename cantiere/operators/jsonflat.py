@@ -8,34 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 def _is_box() -> "F.Column":
-    """True for non-empty objects and arrays."""
+    """True for objects and arrays with content; ``[null]`` has content, ``[]`` and ``{}`` have none."""
     kind = F.col("kind")
     return (kind.startswith("OBJECT<") | kind.startswith("ARRAY<")) & ~_is_empty()
 
 
 def _is_empty() -> "F.Column":
-    return F.col("kind").isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>")
+    return F.coalesce(F.col("v").cast("string").isin("{}", "[]"), F.lit(False)) & (F.col("kind") != "STRING")
+
+
+def json_depth(text: "F.Column") -> "F.Column":
+    """Nesting depth of JSON text: brackets outside of strings, counted up and down."""
+    bare = F.regexp_replace(text, r'"(\\.|[^"\\])*"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    step = lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+    deepest = F.aggregate(
+        brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: F.struct((s["now"] + step(c)).alias("now"), F.greatest(s["most"], s["now"] + step(c)).alias("most")))
+    return deepest["most"]
 
 
 def flatten_json(df: DataFrame, column: str, keep: Sequence[str], max_depth: int | None = None) -> DataFrame:
-    """Rows ``keep..., key, value`` with keys such as ``a_b_0``.
+    """Rows ``keep..., key, value`` with keys such as ``a_b_0``; JSON nulls have a NULL value.
 
-    The depth is taken from the data when not given, so deep documents are never cut.  Each level
-    expands the containers of the level above; scalars pass through.
+    The depth is taken from the data in one pass over the text when not given, so deep documents
+    are never cut.  Each level expands the containers of the level above; scalars pass through.
     """
+    if max_depth is None:
+        max_depth = df.agg(F.max(json_depth(F.col(column)))).first()[0] or 0
     state = df.select(*keep, F.lit("").alias("key"), F.try_parse_json(F.col(column)).alias("v")).filter("v is not null")
-    level = 0
-    while True:
-        state = state.withColumn("kind", F.schema_of_variant(F.col("v")))
-        if max_depth is None:
-            if state.filter(_is_box()).isEmpty():
-                break
-        elif level >= max_depth:
-            break
-        state = _expand(state, keep)
-        level += 1
+    for _ in range(max_depth):
+        state = _expand(state.withColumn("kind", F.schema_of_variant(F.col("v"))), keep)
     # containers that are left are empty ones (or beyond an explicit depth)
-    return state.filter(~_is_empty()).select(*keep, "key", F.col("v").cast("string").alias("value"))
+    left = state.withColumn("kind", F.schema_of_variant(F.col("v")))
+    return left.filter(~_is_empty()).select(*keep, "key", F.col("v").cast("string").alias("value"))
 
 
 def _expand(state: DataFrame, keep: Sequence[str]) -> DataFrame:

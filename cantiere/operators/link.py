@@ -11,7 +11,7 @@ from cantiere.functions import domain as D
 from cantiere.functions import presets as P
 from cantiere.functions.text import blank_to_null, find_column, first_alias
 from cantiere.functions.values import has_text, parse_date, percentage, pipe_list, pipe_text
-from cantiere.operators.dedupe import first_per_key, top_per_key
+from cantiere.operators.dedupe import top_per_key
 from cantiere.operators.scale import LIST_LIMIT, lists_per_key
 
 
@@ -49,15 +49,13 @@ def rename_headers(df: DataFrame, headers: Mapping[str, Sequence[str]], required
 
 
 def tender_sets(links: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Per project: sorted tender codes and their number (``part`` > 0 for oversized keys)."""
-    lists = lists_per_key(links, ["cup"], F.col("cig"), "cigs", limit)
-    return lists.withColumn("cig_count", F.size("cigs"))
+    """Per project: sorted tender codes in bounded parts; ``cig_count`` is the project's total."""
+    return lists_per_key(links, ["cup"], F.col("cig"), "cigs", limit).withColumnRenamed("n_items", "cig_count")
 
 
 def project_sets(links: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Per tender: sorted project codes and their number (``part`` > 0 for oversized keys)."""
-    lists = lists_per_key(links, ["cig"], F.col("cup"), "cups", limit)
-    return lists.withColumn("cup_count", F.size("cups"))
+    """Per tender: sorted project codes in bounded parts; ``cup_count`` is the tender's total."""
+    return lists_per_key(links, ["cig"], F.col("cup"), "cups", limit).withColumnRenamed("n_items", "cup_count")
 
 
 def metadata(df: DataFrame) -> DataFrame:
@@ -149,15 +147,33 @@ def contractor_matches(contractors: DataFrame, tender_targets: DataFrame) -> Dat
     return contractors.join(tender_targets, "cig", "inner")
 
 
-def contractor_profile(contractors: DataFrame, limit: int = 1_000) -> DataFrame:
-    """Per tender: distinct contractors as structs (name, tax, role), in bounded parts."""
-    tax = F.coalesce(blank_to_null(F.col("contractor_tax_code")), blank_to_null(F.col("contractor_vat")))
+def contractor_of() -> Column:
+    """Contractor struct (name, tax, role) of a contractor row; NULL without a name."""
     who = F.struct(
-        blank_to_null(F.col("contractor_name")).alias("name"), tax.alias("tax"),
+        F.col("contractor_name").alias("name"),
+        F.coalesce(blank_to_null(F.col("contractor_tax_code")), blank_to_null(F.col("contractor_vat"))).alias("tax"),
         blank_to_null(F.col("contractor_role")).alias("role"),
     )
-    named = contractors.filter(has_text(F.col("contractor_name")) & has_text(F.col("cig")))
-    return lists_per_key(named, ["cig"], who, "contractors", limit)
+    return F.when(has_text(F.col("contractor_name")), who)
+
+
+def contractor_profile(contractors: DataFrame, limit: int = 1_000) -> DataFrame:
+    """Per tender: distinct contractors as structs (name, tax, role), in bounded parts.
+
+    ``n_contractors`` is the tender's total in every part; a tender is never without a part.
+    """
+    named = contractors.filter(has_text(F.col("cig"))).withColumn("contractor_name", blank_to_null(F.col("contractor_name")))
+    return lists_per_key(named, ["cig"], contractor_of(), "contractors", limit).withColumnRenamed("n_items", "n_contractors")
+
+
+def contractor_lists(contractors: DataFrame) -> DataFrame:
+    """Per tender: the whole distinct contractor list in one cell, for tables that nest it.
+
+    Repeated rows are combined map-side, so a task holds distinct contractors of a tender only.
+    """
+    named = contractors.filter(has_text(F.col("cig"))).withColumn("contractor_name", blank_to_null(F.col("contractor_name")))
+    return named.withColumn("_who", contractor_of()).filter("_who IS NOT NULL").groupBy("cig").agg(
+        F.array_sort(F.collect_set("_who")).alias("contractors"))
 
 
 def contractors_by_project(profile: DataFrame, links: DataFrame, meta: DataFrame) -> DataFrame:
@@ -214,11 +230,6 @@ def strip_awards(df: DataFrame, text_columns: Sequence[str] = (
     return df.withColumns(present)
 
 
-def register_targets(df: DataFrame, position: Sequence[Column]) -> DataFrame:
-    """Regional target list: first row per project code."""
-    return first_per_key(df.filter(has_text(F.col("cup"))), ["cup"], position)
-
-
 # -- evidence ----------------------------------------------------------------
 
 

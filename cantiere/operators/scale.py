@@ -34,30 +34,18 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def lists_per_key(df: DataFrame, keys: Sequence[str], item: Column, items: str = "items",
                   limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted distinct items per key, in rows of bounded size.
+    """Sorted distinct items per key, in rows of bounded size: ``keys, part, <items>, n_items``.
 
-    Result: ``keys, part, <items>``.  A key with at most ``limit`` input rows is one row
-    with ``part = 0``.  A larger key is spread over ``ceil(rows / limit)`` parts by item
-    hash, so equal items meet in one part, nothing is dropped and no task has to hold
-    the whole key.
+    Every key is spread over ``ceil(distinct items / limit)`` parts by item hash, one part up to
+    ``limit``; ``n_items`` is the key's total and stands in every part.  Repeated rows are
+    combined before anything meets, nothing is dropped and no job runs while the plan is built.
     """
     keys = list(keys)
-    src = df.select(*keys, item.alias("_item")).filter(F.col("_item").isNotNull())
-    collected = F.array_sort(F.collect_set("_item")).alias(items)
-    heavy = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    if heavy.isEmpty():
-        return src.groupBy(*keys).agg(collected).select(*keys, F.lit(0).alias("part"), items)
-    heavy = broadcast_if_small(heavy.select("_rows", *[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    spread = F.ceil(F.col("_rows") / F.lit(limit))
-    part = F.when(F.col("_rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("_item"), spread)).cast("int")
-    marked = src.join(heavy, same, "left").select(*keys, "_item", part.alias("part"))
-    return marked.groupBy(*keys, "part").agg(collected)
-
-
-def only_first_part(lists: DataFrame) -> DataFrame:
-    """Part 0 of :func:`lists_per_key`: the whole list of every key that is not oversized.
-
-    Oversized keys keep their further parts in the full table.
-    """
-    return lists.filter(F.col("part") == 0).drop("part")
+    once = df.select(*keys, item.alias("_item")).filter(F.col("_item").isNotNull()).distinct()
+    totals = once.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n_items"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    part = F.pmod(F.xxhash64("_item"), F.ceil(F.col("n_items") / F.lit(limit))).cast("int")
+    marked = once.join(totals, same).select(*keys, part.alias("part"), "_item", "n_items")
+    return marked.groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list("_item")).alias(items), F.first("n_items").alias("n_items")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantiere.functions.text import blank_to_null
@@ -73,8 +73,9 @@ def search(df: DataFrame, request: SearchRequest, order: Sequence[Column], limit
 def facets(df: DataFrame, request: SearchRequest = SearchRequest(), territory: DataFrame | None = None) -> DataFrame:
     """Selectable values per facet under the chosen parents, as (facet, value) rows.
 
-    With a branch chosen the geographic facets come from the branch territory.  Every source is
-    read once: rows are expanded to the facets they contribute to and made distinct.
+    With a branch chosen the geographic facets come from the branch territory, or from the
+    records if that branch has none.  Every source is read once: rows are expanded to the
+    facets they contribute to and made distinct.  Sorted by facet and value.
     """
     def same(name: str) -> Column:
         wanted = getattr(request, name)
@@ -90,9 +91,13 @@ def facets(df: DataFrame, request: SearchRequest = SearchRequest(), territory: D
            entry("municipality", same("region") & same("province"))]
     own = [entry("segment", F.lit(True))]
     entries = lambda es: F.array_compact(F.array(*es))
+    parts = df.select(F.inline(F.concat(entries(own + geo), listed)))
     if request.branch and territory is not None:
-        chosen = territory.filter(F.col("branch") == request.branch)
-        parts = df.select(F.inline(F.concat(entries(own), listed))).unionByName(chosen.select(F.inline(entries(geo))))
-    else:
-        parts = df.select(F.inline(F.concat(entries(own + geo), listed)))
-    return parts.distinct()
+        # an empty region marks that the branch has a territory at all; values are few once distinct
+        mark = F.struct(F.lit("region").alias("facet"), F.lit("").alias("value"))
+        chosen = territory.filter(F.col("branch") == request.branch).select(F.inline(F.concat(entries(geo), F.array(mark))))
+        tagged = parts.withColumn("source", F.lit(1)).unionByName(chosen.withColumn("source", F.lit(0))).distinct()
+        of_place = F.col("facet").isin("region", "province", "municipality")
+        best = F.min("source").over(Window.partitionBy(of_place))
+        parts = tagged.withColumn("_best", best).filter((~of_place | (F.col("source") == F.col("_best"))) & (F.col("value") != "")).drop("source", "_best")
+    return parts.distinct().orderBy("facet", "value")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,88 +9,54 @@ from pyspark.sql import functions as F
 
 from cantiere.functions import presets as P
 from cantiere.functions.text import slug
-from cantiere.operators.scale import broadcast_if_small
+from cantiere.operators.report import size_status
 from cantiere.session import scratch_dir
 
 MEGABYTE = 1024 * 1024
 
 
-def with_row_bytes(df: DataFrame, columns: Sequence[str], name: str = "row_bytes") -> DataFrame:
-    """Size of every record as compact JSON plus its separator."""
-    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+def with_row_bytes(df: DataFrame, columns: Sequence[str], money: Sequence[str] = ("value_eur",), name: str = "row_bytes") -> DataFrame:
+    """Size of every record as compact JSON plus its separator; money counts with two decimals."""
+    shown = [F.col(c).cast("decimal(18,2)").alias(c) if c in money else F.col(c) for c in columns]
+    text = F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})
     return df.withColumn(name, F.octet_length(text) + F.lit(2))
 
 
 def pack_parts(df: DataFrame, order: Sequence[tuple[str, bool]], key: str, max_bytes: int,
-               branch: str = "listed_branch", size: str = "row_bytes", segment_rows: int = 1_000_000) -> DataFrame:
-    """Add the part number of every record: parts are filled in order, a new one starts when the
-    next record would exceed ``max_bytes``.
-
-    ``order`` lists (column, descending); ``key`` makes it total.  Only sort columns and sizes go to
-    the Python fold.  Branches beyond ``segment_rows`` are first cut into contiguous ranges of the
-    same order, so no task holds a whole large branch; there a range's last part may be
-    filled less, all other rules hold.
+               branch: str = "listed_branch", size: str = "row_bytes") -> DataFrame:
+    """Add the part number of every record of a branch, in order, no part above ``max_bytes``.
+
+    One rule for every size: a record belongs to the part in which it starts when the branch is cut
+    every ``max_bytes - largest record`` bytes.  ``order`` lists (column, descending); ``key`` makes it
+    total.  Records are range-partitioned by branch and order, positions run within a range, and one
+    total per branch and range gives the bytes ahead of it, so a large branch is spread over tasks.
+    A single record above ``max_bytes`` has a part of its own size.
     """
-    names = [c for c, _ in order]
-    slim = df.select(branch, key, size, *[c for c in names if c != key])
-    counts = df.groupBy(branch).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = counts.filter(F.col("_rows") > segment_rows)
-    heavy_rows = heavy.agg(F.sum("_rows")).first()[0]
-    if heavy_rows is None:
-        marked = slim.withColumn("_segment", F.lit(0))
-    else:
-        big = broadcast_if_small(heavy.select(branch))
-        light = slim.join(big, branch, "left_anti").withColumn("_segment", F.lit(0))
-        sort = [F.desc(c) if down else F.asc(c) for c, down in order] + [F.asc(key)]
-        ranges = slim.join(big, branch, "left_semi").repartitionByRange(
-            math.ceil(heavy_rows / segment_rows), F.asc(branch), *sort
-        ).withColumn("_segment", F.spark_partition_id())
-        # the range number must not change on a retry, so it is written down once
-        path = scratch_dir(df.sparkSession, "segments")
-        ranges.write.parquet(path)
-        marked = light.unionByName(df.sparkSession.read.parquet(path))
-
-    ascending = [not down for _, down in order] + [True]
-    fold_order = names + [key]
-    schema = ", ".join([f"{branch} string", "_segment int", f"{_ddl(df, key)}", "_part int"])
-
-    def fold(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(fold_order, ascending=ascending, na_position="last", kind="stable")
-        ends = np.cumsum(pdf[size].to_numpy(dtype="int64"))
-        part = np.empty(len(pdf), dtype="int32")
-        start, number = 0, 0
-        while start < len(pdf):
-            before = ends[start - 1] if start else 0
-            stop = max(int(np.searchsorted(ends, before + max_bytes, side="right")), start + 1)
-            part[start:stop] = number
-            start, number = stop, number + 1
-        out = pdf[[branch, "_segment", key]].copy()
-        out["_part"] = part
-        return out
-
-    parts = marked.groupBy(branch, "_segment").applyInPandas(fold, schema)
-    per_segment = parts.groupBy(branch, "_segment").agg((F.max("_part") + 1).alias("_n"))
-    ahead = Window.partitionBy(branch).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_segment.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-    numbered = parts.join(offsets, [branch, "_segment"]).select(
-        branch, key, (F.col("_before") + F.col("_part") + 1).cast("int").alias("part")
-    )
-    return df.join(numbered, [branch, key])
-
-
-def _ddl(df: DataFrame, column: str) -> str:
-    return f"{column} {df.schema[column].dataType.simpleString()}"
+    names = [c for c, _ in order if c != key]
+    sort = [F.desc(c) if down else F.asc(c) for c, down in order] + [F.asc(key)]
+    slim = df.select(branch, key, size, *names).repartitionByRange(F.asc(branch), *sort).withColumn("_range", F.spark_partition_id())
+    # the range number must not change on a retry, so it is written down once
+    path = scratch_dir(df.sparkSession, "ranges")
+    slim.write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    totals = ranged.groupBy(branch, "_range").agg(F.sum(size).alias("_total"), F.max(size).alias("_largest"))
+    whole = Window.partitionBy(branch)
+    ahead = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(branch, "_range", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"),
+                           F.greatest(F.lit(max_bytes) - F.max("_largest").over(whole), F.lit(1)).alias("_usable"))
+    inside = Window.partitionBy(branch, "_range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_start", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(totals, [branch, "_range"])
+    part = F.floor((F.col("_ahead") + F.col("_start")) / F.col("_usable")) + 1
+    return df.join(placed.select(branch, key, part.cast("int").alias("part")), [branch, key])
 
 
 def shard_index(packed: DataFrame, branch: str = "listed_branch", size: str = "row_bytes",
                 warn_mb: float = P.SHARD_GLOBAL_WARN_MB) -> DataFrame:
-    """Count, bytes and size warning per branch and part."""
+    """Count, bytes, size warning and size status per branch and part."""
     per_part = packed.groupBy(branch, "part").agg(F.count(F.lit(1)).alias("count"), F.sum(size).alias("size_bytes"))
     mb = F.col("size_bytes") / MEGABYTE
     return per_part.select(branch, slug(F.col(branch)).alias("slug"), "part", "count", "size_bytes",
-                           (mb > warn_mb).alias("over_limit"))
+                           (mb > warn_mb).alias("over_limit"), size_status(mb).alias("size_status"))
 
 
 def branch_index(index: DataFrame, branch: str = "listed_branch") -> DataFrame:

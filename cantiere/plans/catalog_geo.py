@@ -131,9 +131,9 @@ _KPI_COLUMNS = """count(*) AS count, count(*) FILTER (has_contractor) AS with_co
 def home_kpis_branch(spark, sf) -> DataFrame:
     """Fan-out grain per branch, and the national row on unique projects."""
     rows = _kpi_rows(spark, sf)
-    fan = geo.fan_out(rows)
-    national = report.kpis(rows.withColumn("branch", F.lit("*")), ["branch"])
-    return report.kpis(fan.drop("branch").withColumnRenamed("listed_branch", "branch"), ["branch"]).unionByName(national)
+    # one pass: every project counts for its branches and once for the nation
+    listed = F.concat(geo.branch_list(F.col("branch"), F.col("branch_candidates")), F.array(F.lit("*")))
+    return report.kpis(rows.withColumn("branch", F.explode(listed)), ["branch"])
 
 
 def home_kpis_area(spark, sf) -> DataFrame:
@@ -353,7 +353,9 @@ def facet_values(spark, sf) -> DataFrame:
     free = search.facets(rows, search.SearchRequest(region="EUROPE")).withColumn("mode", F.lit("records"))
     territory = geo.territory(B.branch_map(spark, sf))
     chosen = search.SearchRequest(branch="BR_2", region="EUROPE", province="NATION_3")
-    return free.unionByName(search.facets(rows, chosen, territory).withColumn("mode", F.lit("territory")))
+    placed = search.facets(rows, chosen, territory).withColumn("mode", F.lit("territory"))
+    without = search.SearchRequest(branch="BR_P", region="EUROPE")  # a fallback branch: no map row names it
+    return free.unionByName(placed).unionByName(search.facets(rows, without, territory).withColumn("mode", F.lit("no territory")))
 
 
 FACETS_SQL = f"""WITH {_SEARCH},
@@ -361,7 +363,10 @@ territory AS (SELECT DISTINCT unnest(string_split(branch_candidates, ' | ')) AS
 common AS (SELECT 'segment' AS facet, segment AS value FROM rows
    UNION ALL SELECT 'branch', branch FROM rows WHERE branch NOT IN ('AMBIGUA', 'NON ASSEGNATA')
    UNION ALL SELECT 'branch', unnest(string_split(branch_candidates, ' | ')) FROM rows WHERE branch_candidates <> ''),
+records_geo AS (SELECT 'region' AS facet, region AS value FROM rows UNION ALL SELECT 'province', province FROM rows WHERE region = 'EUROPE'
+   UNION ALL SELECT 'municipality', municipality FROM rows WHERE region = 'EUROPE'),
 both_modes AS (SELECT *, 'records' AS mode FROM common UNION ALL SELECT *, 'territory' FROM common
+   UNION ALL SELECT *, 'no territory' FROM common UNION ALL SELECT *, 'no territory' FROM records_geo
    UNION ALL SELECT 'region', region, 'records' FROM rows UNION ALL SELECT 'province', province, 'records' FROM rows WHERE region = 'EUROPE'
    UNION ALL SELECT 'municipality', municipality, 'records' FROM rows WHERE region = 'EUROPE'
    UNION ALL SELECT 'region', region, 'territory' FROM territory WHERE branch = 'BR_2'

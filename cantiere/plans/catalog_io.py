@@ -46,15 +46,6 @@ def source_fallback(spark, sf) -> DataFrame:
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def source_unchanged(spark, sf) -> DataFrame:
-    """Signatures of the table files against the stored listing of the same folder."""
-    path = scratch_dir(spark, "signatures")
-    files.file_signatures(spark, sf, "*.parquet").write.parquet(path)
-    stored = spark.read.parquet(path)
-    current = files.file_signatures(spark, sf, "*.parquet")
-    return files.signature_report(current, stored).withColumn("unchanged", F.lit(files.is_unchanged(current, stored)))
-
-
 def run_log(spark, sf) -> DataFrame:
     """Run row opened and closed around a load of the orders."""
     log = files.RunLog(spark, scratch_dir(spark, "runs"))
@@ -108,6 +99,37 @@ def sharded_parts(spark, sf) -> DataFrame:
 def shard_index(spark, sf) -> DataFrame:
     return shards.branch_index(shards.shard_index(_packed(spark, sf)))
 
+
+def shard_sizes(spark, sf) -> DataFrame:
+    return shards.shard_index(_packed(spark, sf)).orderBy("listed_branch", "part")
+
+
+_JSON_TEXT = ["cup", "title", "category", "region", "province", "municipality", "client", "status", "source_url", "phase", "value_band",
+              "branch", "branch_candidates", "branch_confidence", "branch_assignment_method", "CAST(decided_on AS VARCHAR) AS decided_on"]
+_JSON_OTHER = ["CAST(value_eur AS DECIMAL(18,2)) AS value_eur", "year", "band_order", "commercial_score"]
+
+
+def _json_bytes() -> str:
+    """Length of the compact JSON of a record with its separator, without relying on a JSON function."""
+    out = []
+    for column in _JSON_TEXT + _JSON_OTHER:
+        value, _, name = column.partition(" AS ") if " AS " in column and not column.startswith("CAST") else (column, "", column)
+        if column.startswith("CAST"):
+            value, name = column.rsplit(" AS ", 1)
+        size = f"strlen(CAST({value} AS VARCHAR))" + (" + 2" if column in _JSON_TEXT else "")
+        out.append(f"{len(name) + 4} + coalesce({size}, 4)")
+    return " + ".join(out) + " + 1 + 2"
+
+
+_PARTS = f"""{S.PROJECTS},\n{S.BRANCH_MAP},\n{S.ASSIGNED},\n{S.COMMERCIAL},
+whole AS (SELECT a.*, c.phase, c.value_band, c.commercial_score, 1 AS band_order FROM assigned a JOIN commercial c USING (cup)),
+listed AS (SELECT w.*, unnest(CASE WHEN branch = 'AMBIGUA' THEN list_concat(['AMBIGUA'], string_split(branch_candidates, ' | ')) ELSE [branch] END) AS listed_branch FROM whole w),
+sized AS (SELECT listed_branch, cup, commercial_score, value_eur, {_json_bytes()} AS row_bytes FROM listed),
+placed AS (SELECT *, coalesce(sum(row_bytes) OVER (PARTITION BY listed_branch ORDER BY commercial_score DESC, value_eur DESC, cup
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, 200000 - max(row_bytes) OVER (PARTITION BY listed_branch) AS usable FROM sized),
+parts AS (SELECT listed_branch, cup, row_bytes, CAST(floor(start / usable) AS INTEGER) + 1 AS part FROM placed),
+sizes AS (SELECT listed_branch, replace(listed_branch, ' ', '_') AS slug, part, count(*) AS count, CAST(sum(row_bytes) AS BIGINT) AS size_bytes FROM parts GROUP BY ALL)"""
+
 # -- register ----------------------------------------------------------------
 
 _REGISTER = ["cup", "title", "description", "region", "province", "municipality", "address", "category", "intervention_type", "phase",
@@ -170,11 +192,12 @@ ENTRIES = {
     "sink_round_trip": (sink_round_trip, f"""WITH {S.SHORTLISTED}
 SELECT cup, title, value_eur, client, CAST(NULL AS VARCHAR) AS absent, segment_tags AS tags, region FROM shortlist"""),
     "source_fallback": (source_fallback, "SELECT o_orderstatus, count(*) AS n_rows FROM orders GROUP BY 1"),
-    "source_unchanged": (source_unchanged, None),
     "run_log": (run_log, "SELECT 'run-1' AS run_id, 'orders' AS source, count(*) AS total_records, 'full load' AS note, true AS closed FROM orders"),
     "incremental_ingest": (incremental_ingest, INGEST_SQL),
-    "sharded_parts": (sharded_parts, None),
-    "shard_index": (shard_index, None),
+    "sharded_parts": (sharded_parts, f"WITH {_PARTS} SELECT * FROM parts"),
+    "shard_index": (shard_index, f"""WITH {_PARTS} SELECT listed_branch, slug, CAST(sum(count) AS BIGINT) AS count, count(*) AS parts,
+  CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes FROM sizes GROUP BY listed_branch, slug"""),
+    "shard_sizes": (shard_sizes, f"WITH {_PARTS} SELECT *, false AS over_limit, 'ok' AS size_status FROM sizes"),
     "register_positional": (register_positional, POSITIONAL_SQL),
     "register_named": (register_named, NAMED_SQL),
 }

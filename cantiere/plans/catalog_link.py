@@ -226,7 +226,7 @@ def project_contractors(spark, sf) -> DataFrame:
     links = link.link_projects(B.links(spark, sf), _targets(spark, sf))
     out = link.contractors_by_project(link.contractor_profile(B.contractors(spark, sf)), links, meta)
     return out.select("cup", "cig", "part", V.pipe_text(F.transform("contractors", A.contractor_label)).alias("contractors"),
-                      F.size("contractors").alias("n_contractors"), "title", "primary_segment", "value_eur")
+                      "n_contractors", "title", "primary_segment", "value_eur")
 
 
 PROJECT_CONTRACTORS_SQL = f"""WITH {S.SHORTLISTED},\n{S.LINKS},
@@ -292,16 +292,17 @@ def _levels(spark, sf) -> DataFrame:
     targets = _targets(spark, sf)
     links = link.link_projects(B.links(spark, sf), targets)
     value = B.projects(spark, sf).select("cup", "value_eur")
-    enriched = B.awards(spark, sf, with_contractor=False).filter(F.col("contractor_role") == "R")
-    enriched = enriched.select("cup", "cig", "award_result", "award_amount_eur").join(value, "cup").join(targets, "cup", "left_semi")
-    c = B.land(B.consolidated(spark, sf), "consolidated")
+    known = B.contractors(spark, sf).filter(F.col("contractor_role") == "R").select("cig").distinct()
+    enriched = B.awards(spark, sf, with_contractor=False).select("cup", "cig", "award_result", "award_amount_eur")
+    enriched = enriched.join(value, "cup").join(targets, "cup", "left_semi").join(known, "cig", "left_semi")
+    c = B.consolidated(spark, sf)
     evidence = link.project_evidence(links, enriched, A.relevant(c), A.anomalies(c), B.MIN_AWARD, B.RATIO_WINDOW)
     return link.evidence_level(B.projects(spark, sf).select("cup"), evidence)
 
 
 _LEVELS = f"""{S.SHORTLISTED},\n{S.LINKS},\n{S.AWARDS},\n{S.CONSOLIDATED},
 e AS (SELECT a.cup, a.cig, a.award_result, a.award_amount_eur AS amount, a.award_amount_eur / s.value_eur AS q
-      FROM awards a JOIN shortlist s USING (cup) WHERE contractor_role = 'R'),
+      FROM awards a JOIN shortlist s USING (cup) WHERE a.cig IN (SELECT {S.CIG.format('l_partkey')} FROM lineitem WHERE l_returnflag = 'R')),
 ev AS (SELECT cup,
     (SELECT count(DISTINCT cig) FROM links l WHERE l.cup = p.cup AND l.cup IN (SELECT cup FROM shortlist)) AS match_cig_count,
     (SELECT count(DISTINCT cig) FROM e WHERE e.cup = p.cup) AS enriched_cig_count,
@@ -336,21 +337,20 @@ SELECT section, name, count, 100.0 * count / total AS pct FROM n, t"""
 
 
 def _master(spark, sf) -> DataFrame:
-    p = B.land(B.assigned(spark, sf), "assigned")
+    p = B.assigned(spark, sf)
     text = ["cup", "title", "category", "region", "province", "municipality", "client", "branch", "branch_candidates", "year", "source_url"]
     relevant = A.relevant(B.consolidated(spark, sf)).select(
         "cup", "cig", "value_eur", "award_amount_eur", "award_date", "award_result", "award_share_pct", "award_weight", "ratio_note", "contractors")
-    relevant = B.land(relevant, "relevant")
     rows = relevant.join(p.select(*text), "cup").withColumn("id", F.concat_ws("::", F.lit("AWARD"), "cup", "cig"))
     register = p.select(*text, "value_eur").withColumn("id", F.concat_ws("::", F.lit("REGISTER"), "cup"))
     raw = B.land(A.raw_master(rows, register), "raw-master")
     grouped = A.group_projects(raw, [*text, "value_eur", "id", "source"])
-    return A.with_quality(grouped.withColumn("code_year", F.col("year")), **B.QUALITY)
+    return A.nested(A.with_quality(grouped.withColumn("code_year", F.col("year")), **B.QUALITY), raw)
 
 
 def master_projects(spark, sf) -> DataFrame:
     m = _master(spark, sf).orderBy(*A.master_order())
-    return m.select("project_key", "title", "value_eur", "branch", "has_award", "awards_count", "awards_total_eur", "last_award_date",
+    return m.select("project_key", "part", "title", "value_eur", "branch", "has_award", "awards_count", "awards_total_eur", "last_award_date",
                     "contractors_count", "contractors_summary", V.pipe_text(F.transform("awards", lambda a: a["cig"])).alias("cigs"),
                     "commercial_score", "data_reliability", V.pipe_text(F.col("quality_flags")).alias("quality_flags"))
 
@@ -381,7 +381,7 @@ quality AS (SELECT *, greatest(0, least(100, 50 + CASE WHEN n > 0 THEN 25 ELSE -
     - CASE WHEN list_contains(fl, 'VALUE_SUSPICIOUS') THEN 25 ELSE 0 END - CASE WHEN list_contains(fl, 'BRANCH_AMBIGUOUS') THEN 4 ELSE 0 END
     - CASE WHEN list_contains(fl, 'BRANCH_NOT_ASSIGNED') THEN 10 ELSE 0 END)) AS commercial_score FROM flagged)"""
 _RELIABILITY = "CASE WHEN commercial_score >= 75 THEN 'ALTA' WHEN commercial_score >= 50 THEN 'MEDIA' ELSE 'BASSA' END"
-MASTER_SQL = f"""WITH {_MASTER} SELECT cup AS project_key, title, value_eur, branch, has_award, n AS awards_count, awards_total_eur, last_award_date,
+MASTER_SQL = f"""WITH {_MASTER} SELECT cup AS project_key, 0 AS part, title, value_eur, branch, has_award, n AS awards_count, awards_total_eur, last_award_date,
   contractors_count, contractors_summary, cigs, commercial_score, {_RELIABILITY} AS data_reliability,
   array_to_string(fl, ' | ') AS quality_flags FROM quality"""
 

@@ -150,14 +150,16 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"""
 def json_flatten(spark, sf) -> DataFrame:
     e = B.table(spark, sf, "events")
     doc = F.concat(F.lit('{"type":"'), "event_type", F.lit('","data":'), "props", F.lit(',"tags":["'), "event_type",
-                   F.lit('",{"user":'), F.col("user_id"), F.lit('}],"none":[]}'))
+                   F.lit('",{"user":'), F.col("user_id"), F.lit('}],"none":[],"gap":[null,null],"hole":[null],"nil":null,"note":"{[\\"]}"}'))
     return jsonflat.flatten_json(e.withColumn("doc", doc), "doc", ["event_id"])
 
 
 JSON_SQL = """SELECT event_id, 'type' AS key, event_type AS value FROM events
 UNION ALL SELECT event_id, 'data_' || j.key, json_extract_string(props, '$."' || j.key || '"') FROM events, json_each(props) j
 UNION ALL SELECT event_id, 'tags_0', event_type FROM events
-UNION ALL SELECT event_id, 'tags_1_user', CAST(user_id AS VARCHAR) FROM events"""
+UNION ALL SELECT event_id, 'tags_1_user', CAST(user_id AS VARCHAR) FROM events
+UNION ALL SELECT event_id, unnest(['gap_0', 'gap_1', 'hole_0', 'nil']), NULL FROM events
+UNION ALL SELECT event_id, 'note', '{["]}' FROM events"""
 
 
 def pipe_pairs(spark, sf) -> DataFrame:
@@ -175,12 +177,12 @@ UNION ALL SELECT p_partkey, 'ultimo', NULL FROM part"""
 
 def slugify_branches(spark, sf) -> DataFrame:
     n = B.table(spark, sf, "nation")
-    named = F.concat(F.lit("Città  d'"), T.display_name(F.col("n_name"), {"NATION_3": "Nàtion Tre"}), F.lit(" (Ò)"))
+    named = F.concat(F.lit("Città  d'"), T.display_name(F.col("n_name"), {"NATION_3": "Nàtion Tre"}), F.lit(" (Ò) Łódź Škoda ﬁn Ǆ ½ Ąę ８"))
     return n.select("n_nationkey", T.slug(named).alias("slug"),
                     T.slug(F.when(F.col("n_regionkey") == 0, F.lit("Ambigua"))).alias("sentinel"))
 
 
-SLUG_SQL = """SELECT n_nationkey, CASE WHEN n_name = 'NATION_3' THEN 'Citta_d_Nation_Tre_O' ELSE 'Citta_d_' || n_name || '_O' END AS slug,
+SLUG_SQL = """SELECT n_nationkey, CASE WHEN n_name = 'NATION_3' THEN 'Citta_d_Nation_Tre' ELSE 'Citta_d_' || n_name END || '_O_odz_Skoda_fin_DZ_12_Ae_8' AS slug,
   CASE WHEN n_regionkey = 0 THEN 'AMBIGUA' ELSE 'NON_ASSEGNATA' END AS sentinel FROM nation"""
 
 

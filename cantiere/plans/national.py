@@ -221,6 +221,7 @@ def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
     people = link.rename_headers(raw_people, {"cig": P.TENDER_CODE_HEADERS, **P.CONTRACTOR_HEADERS}, ["cig"])
     tenders = links.select("cig").distinct()
     people = people.withColumn("cig", F.upper(T.blank_to_null(F.col("cig")))).join(tenders, "cig", "left_semi")
+    people = _land(people.distinct(), f"{out}/tender_contractor_rows")
     profile = _land(link.contractor_profile(people), f"{out}/tender_contractors")
 
     raw_outcomes = files.read_zip(spark, inputs.outcomes)
@@ -237,16 +238,16 @@ def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
     # one row per project and tender; contractor lists are attached per tender, never exploded per pair
     value = shortlist.select("cup", "title", "primary_segment", "category", "region", "province", "municipality", "client",
                              "value_eur", "source_url")
-    people_of = profile.filter("part = 0").select("cig", "contractors")
-    enriched = links.join(people_of, "cig").join(best.drop("_file", "_member", "_row"), "cig", "left").join(value, "cup")
+    enriched = links.join(link.contractor_lists(people), "cig").join(best.drop("_file", "_member", "_row"), "cig", "left").join(value, "cup")
     enriched = _land(enriched, f"{out}/enriched")
     consolidated = A.with_ratio(A.valid_awards(enriched))
     relevant, anomalies = A.relevant(consolidated), A.anomalies(consolidated)
 
-    master = master_table(shortlist, relevant, inputs, out)
+    master, raw = master_table(shortlist, relevant, inputs, out)
     evidence = link.project_evidence(links, enriched, relevant, anomalies)
     levels = link.evidence_level(master, evidence)
-    final = _land(levels, f"{out}/master")
+    # the awards of a project in bounded parts: one row per project unless it has very many
+    final = _land(A.nested(levels, raw), f"{out}/master")
     return {"projects": projects, "shortlist": shortlist, "links": links, "tender_contractors": profile, "enriched": enriched,
             "relevant": relevant, "anomalies": anomalies, "master": final}
 
@@ -255,21 +256,22 @@ BASE = ("cup", "title", "category", "segment", "region", "province", "municipali
         "branch_confidence", "branch_assignment_method", "value_eur", "source_url", "id", "source")
 
 
-def master_table(shortlist: DataFrame, relevant: DataFrame, inputs: Inputs, out: str) -> DataFrame:
-    """Nested master with branch and quality layer; the raw rows are landed once, four aggregates read them."""
+def master_table(shortlist: DataFrame, relevant: DataFrame, inputs: Inputs, out: str) -> tuple[DataFrame, DataFrame]:
+    """Master rows with branch and quality layer, and the landed raw rows with the awards."""
     place = lambda df: geo.assign_branch(df.withColumnRenamed("primary_segment", "segment"), inputs.branch_map,
                                          inputs.branch_position, **inputs.fallbacks)
     award_rows = place(relevant).withColumn("id", F.concat_ws("::", F.lit("AWARD"), "cup", "cig"))
     register_rows = place(shortlist.drop("segment_tags")).withColumn("id", F.concat_ws("::", F.lit("REGISTER"), "cup"))
     raw = _land(A.raw_master(award_rows, register_rows), f"{out}/raw_master")
     grouped = A.group_projects(raw, BASE)
-    return A.with_quality(grouped.withColumn("code_year", V.code_year(F.col("cup"))))
+    return A.with_quality(grouped.withColumn("code_year", V.code_year(F.col("cup")))), raw
 
 
 def write_branch_shards(master: DataFrame, path: str, max_mb: float = P.SHARD_MAX_MB) -> DataFrame:
     """Write the master per branch and part; return the shard index."""
-    fan = shards.with_row_bytes(geo.fan_out(master), master.columns)
-    packed = shards.pack_parts(fan, [("commercial_score", True), ("has_award", True), ("value_eur", True)], "project_key",
+    rows = master.withColumn("row_key", F.concat_ws("#", "project_key", "part")).withColumnRenamed("part", "awards_part")
+    fan = shards.with_row_bytes(geo.fan_out(rows), rows.columns)
+    packed = shards.pack_parts(fan, [("commercial_score", True), ("has_award", True), ("value_eur", True)], "row_key",
                                int(max_mb * shards.MEGABYTE))
     shards.write_shards(packed, path)
     return shards.shard_index(packed)

@@ -19,9 +19,36 @@ def test_lists_per_key_keeps_everything_of_a_hot_key(spark):
     df = spark.createDataFrame(data, "k string, v int")
     whole = {r["k"]: r["items"] for r in scale.lists_per_key(df, ["k"], F.col("v")).collect()}
     parts = scale.lists_per_key(df, ["k"], F.col("v"), limit=100).collect()
-    assert len([p for p in parts if p["k"] == "hot"]) > 10 and [p["part"] for p in parts if p["k"] == "cold"] == [0]
+    assert len([p for p in parts if p["k"] == "hot"]) == 7 and [p["part"] for p in parts if p["k"] == "cold"] == [0]
     merged = sorted(v for p in parts if p["k"] == "hot" for v in p["items"])
     assert merged == whole["hot"] == list(range(700)) and whole["cold"] == list(range(5))
+    assert {p["n_items"] for p in parts if p["k"] == "hot"} == {700}
+    # equal rows do not spread a key: the rule counts distinct items
+    same = spark.createDataFrame([("k", 1)] * 1001, "k string, v int")
+    assert [tuple(r) for r in scale.lists_per_key(same, ["k"], F.col("v"), limit=3).collect()] == [("k", 0, [1], 1)]
+
+
+def test_large_tenders_and_projects_lose_nothing(spark):
+    """A tender with many contractor rows, a project with many awards: a small limit changes the parts only."""
+    people = [("T1", f"N{i % 4}", str(i % 4), None, None) for i in range(11)] + [("T2", "N0", "0", None, None)] * 11
+    contractors = spark.createDataFrame(people, "cig string, contractor_name string, contractor_tax_code string, contractor_vat string, contractor_role string")
+    whole = {r["cig"]: r["contractors"] for r in link.contractor_lists(contractors).collect()}
+    for limit in (3, 1000):
+        parts = link.contractor_profile(contractors, limit).collect()
+        assert {k: sorted(c for p in parts if p["cig"] == k for c in p["contractors"]) for k in whole} == whole
+        assert {p["cig"]: p["n_contractors"] for p in parts} == {"T1": 4, "T2": 1}
+        sets = link.tender_sets(contractors.select(F.lit("P").alias("cup"), F.concat("cig", "contractor_name").alias("cig")), limit).collect()
+        assert {s["cig_count"] for s in sets} == {5} and len([c for s in sets for c in s["cigs"]]) == 5
+    awards = spark.createDataFrame([("P1", f"T{i:02}", 10.0, True, "2020-01-01", float(i)) for i in range(11)], "cup string, cig string, value_eur double, "
+                                   "has_award boolean, award_date string, award_amount_eur double")
+    who = F.array(F.struct(F.col("cig").alias("name"), F.lit("1").alias("tax"), F.lit(None).cast("string").alias("role")))
+    raw = awards.withColumns({"contractors": who, "id": F.lit("x"), "award_share_pct": F.lit(1.0), "award_weight": F.lit("w"), "ratio_note": F.lit("n"), "award_result": F.lit("r")})
+    master = A.group_projects(raw, ["cup", "value_eur", "cig"])
+    assert rows(master, "awards_count", "awards_total_eur", "contractors_count", "cig", "contractors_summary") == [(11, 55.0, 11, "T00", "T00 + altri 10 OE")]
+    for limit in (3, 100):
+        parts = A.nested(master, raw, limit).collect()
+        assert sorted(a["cig"] for p in parts for a in p["awards"]) == [f"T{i:02}" for i in range(11)]
+        assert {p["awards_count"] for p in parts} == {11} and (len(parts) > 1) == (limit == 3)
 
 
 def test_computed_once_is_not_inlined(spark):
@@ -198,46 +225,36 @@ def test_delta_and_upsert(spark):
     assert partial.filter("not is_active").count() == 0
 
 
-def greedy(sizes, limit):
-    """Reference packing: walk the rows, open a part when the next row does not fit."""
-    parts, number, used = [], 1, 0
+def cut(sizes, limit):
+    """Reference packing: the part in which a record starts, parts being limit - largest long."""
+    usable, start, parts = max(limit - max(sizes), 1), 0, []
     for s in sizes:
-        if used and used + s > limit:
-            number, used = number + 1, 0
-        parts.append(number)
-        used += s
+        parts.append(start // usable + 1)
+        start += s
     return parts
 
 
-def test_pack_parts_matches_the_sequential_walk(spark):
+def test_pack_parts_is_one_rule_for_all_sizes(spark):
     rnd = random.Random(7)
-    data = [("B1", i, rnd.randint(0, 5), rnd.choice([3, 9, 40, 120])) for i in range(400)] + [("B2", i, 1, 50) for i in range(400, 404)]
-    df = spark.createDataFrame(data, "listed_branch string, id int, s int, row_bytes int")
+    data = ([("B1", i, rnd.randint(0, 5), rnd.choice([3, 9, 40])) for i in range(1200)] + [("B2", i, 1, 50) for i in range(1200, 1204)]
+            + [("B3", i, 1, 120) for i in range(1204, 1206)])
+    df = spark.createDataFrame(data, "listed_branch string, id int, s int, row_bytes int").repartition(5)
     got = {r["id"]: r["part"] for r in shards.pack_parts(df, [("s", True)], "id", 100).collect()}
-    for b in ("B1", "B2"):
+    assert len(got) == len(data)
+    for b in ("B1", "B2", "B3"):
         order = sorted((d for d in data if d[0] == b), key=lambda d: (-d[2], d[1]))
-        assert [got[d[1]] for d in order] == greedy([d[3] for d in order], 100)
-
-
-def test_pack_parts_large_branch(spark):
-    rnd = random.Random(3)
-    data = [("B1", i, rnd.randint(0, 50), rnd.randint(1, 30)) for i in range(1000)] + [("B2", i, 1, 50) for i in range(1000, 1004)]
-    df = spark.createDataFrame(data, "listed_branch string, id int, s int, row_bytes int")
-    out = shards.pack_parts(df, [("s", True)], "id", 100, segment_rows=200).collect()
-    got = {r["id"]: r["part"] for r in out}
-    assert len(out) == len(data) and [got[i] for i in range(1000, 1004)] == [1, 1, 2, 2]
-    order = sorted((d for d in data if d[0] == "B1"), key=lambda d: (-d[2], d[1]))
-    numbers = [got[d[1]] for d in order]
-    assert numbers == sorted(numbers) and set(numbers) == set(range(1, max(numbers) + 1))
-    for p in set(numbers):
-        assert sum(d[3] for d in order if got[d[1]] == p) <= 100
-    assert max(numbers) <= max(greedy([d[3] for d in order], 100)) + 6
+        assert [got[d[1]] for d in order] == cut([d[3] for d in order], 100)
+        if b != "B3":
+            assert all(sum(d[3] for d in order if got[d[1]] == p) <= 100 for p in set(got[d[1]] for d in order))
 
 
 def test_json_flatten_depth(spark):
     df = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":{"d":"x"}}]},"e":{},"f":[],"g":null}'), (2, '[true]'), (3, 'not json'), (4, '7')], "id int, j string")
     assert rows(jsonflat.flatten_json(df, "j", ["id"]), "id", "key", F.coalesce("value", F.lit("NULL"))) == [
         (1, "a_b_0", "1"), (1, "a_b_1_c_d", "x"), (1, "g", "NULL"), (2, "0", "true"), (4, "", "7")]
+    gaps = spark.createDataFrame([(1, '{"a":[null,1],"b":[null],"c":null,"e":[null,null],"s":"{[","n":"[]"}')], "id int, j string")
+    assert rows(jsonflat.flatten_json(gaps, "j", ["id"]), "key", F.coalesce("value", F.lit("NULL"))) == sorted([
+        ("a_0", "NULL"), ("a_1", "1"), ("b_0", "NULL"), ("c", "NULL"), ("e_0", "NULL"), ("e_1", "NULL"), ("n", "[]"), ("s", "{[")])
 
 
 def test_page_extraction(spark):
