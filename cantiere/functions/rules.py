@@ -22,13 +22,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def contains_any(text: Column, terms: Sequence[str], word_boundary: bool = False) -> Column:
+class Matched:
+    """Terms found in a text, taken once for many rule tables; stands for the text in every rule function."""
+
+    def __init__(self, found: Column, searched: Sequence[str]):
+        self.found, self.searched = found, frozenset(searched)
+
+    def has(self, terms: Sequence[str]) -> Column:
+        unknown = [t for t in terms if t not in self.searched]
+        if unknown:
+            raise ValueError(f"terms that were not searched: {unknown}")
+        return F.arrays_overlap(self.found, F.array(*[F.lit(t) for t in dict.fromkeys(terms)]))
+
+
+def distinct_terms(*tables: Rules | Sequence[str]) -> list[str]:
+    """All distinct terms of rule tables and term lists."""
+    lists = [words for t in tables for words in (t.values() if isinstance(t, Mapping) else [t])]
+    return sorted({word for words in lists for word in words})
+
+
+def found_terms(text: Column, terms: Sequence[str]) -> Column:
+    """Array of the terms inside the text: one search per distinct term, whatever the number of tables."""
+    words = F.array(*[F.lit(t) for t in terms])
+    # the text is bound once, not evaluated per term
+    found = F.flatten(F.transform(F.array(F.coalesce(text, F.lit(""))), lambda t: F.filter(words, lambda w: F.contains(t, w))))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def contains_any(text: Column | Matched, terms: Sequence[str], word_boundary: bool = False) -> Column:
     """Substring test against a term list; ``text`` must already be in the terms' case.
 
     Terms that contain another term of the list cannot change the answer and are left out.  Short
     lists are a chain of ``contains`` inside generated code; longer ones loop over a
     constant array, which measured faster than the chain and than a regex alternation.
     """
+    if isinstance(text, Matched):
+        return text.has(terms)
     if word_boundary:
         pattern = "|".join(re.escape(t) for t in terms)
         return F.coalesce(text.rlike(rf"(?U)(?<!\w)(?:{pattern})(?!\w)"), F.lit(False))
@@ -41,7 +70,7 @@ def contains_any(text: Column, terms: Sequence[str], word_boundary: bool = False
     return F.coalesce(found, F.lit(False))
 
 
-def first_match(text: Column, rules: Rules, default: str | None = None) -> Column:
+def first_match(text: Column | Matched, rules: Rules, default: str | None = None) -> Column:
     """Label of the first rule, in table order, with a term inside the text."""
     out = None
     for label, terms in rules.items():

@@ -1,8 +1,8 @@
 """Classification and scoring of whole tables.
 
-Each step first puts the normalised text it needs into a column of its own.  The optimizer does not
-merge a projection whose costly column is used several times, so every text is
-normalised once per row however many rules read it.
+Each step first puts what it needs of a text into a column of its own: the distinct terms of all its
+rule tables that occur in the normalised text.  Every text is normalised and searched once per row,
+however many rules read it.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ def with_segments(df: DataFrame, text_columns: Sequence[str], category: str = "c
                   terms: R.Rules = P.SEGMENT_TERMS, weights: Mapping[str, int] = P.SEGMENT_WEIGHTS,
                   reduced: bool = False) -> DataFrame:
     """Add ``segment_tags`` (heaviest first) and ``primary_segment``."""
-    staged = df.withColumns({
-        "_text": lower_text(*[F.col(c) for c in text_columns]), "_category": F.lower(squeeze(F.col(category))),
-    })
-    tags = D.segments(F.col("_text"), F.col("_category"), terms, weights, reduced)
+    words = R.distinct_terms(terms, [] if reduced else P.ENVIRONMENT_UTILITY_TERMS)
+    text = lower_text(*[F.col(c) for c in text_columns])
+    staged = computed_once(df, {"_found": R.found_terms(text, words), "_category": F.lower(squeeze(F.col(category)))})
+    tags = D.segments(R.Matched(F.col("_found"), words), F.col("_category"), terms, weights, reduced)
     return staged.withColumn("segment_tags", tags).withColumn(
-        "primary_segment", F.get("segment_tags", F.lit(0))).drop("_text", "_category")
+        "primary_segment", F.get("segment_tags", F.lit(0))).drop("_found", "_category")
 
 
 def with_operational_score(df: DataFrame, macro: Column, full: bool = True, **steps) -> DataFrame:
@@ -48,7 +48,9 @@ def with_operational_score(df: DataFrame, macro: Column, full: bool = True, **st
 
 def with_categories(df: DataFrame, text_columns: Sequence[str], rules: R.Rules = P.NATIONAL_CATEGORIES) -> DataFrame:
     """Add ``category`` and ``intervention_type`` from the joined text."""
-    staged = computed_once(df, {"_text": lower_text(*[F.col(c) for c in text_columns])})
+    words = R.distinct_terms(rules, P.INTERVENTION_TYPES)
+    staged = computed_once(df, {"_found": R.found_terms(lower_text(*[F.col(c) for c in text_columns]), words)})
+    text = R.Matched(F.col("_found"), words)
     return staged.withColumns({
-        "category": D.category(F.col("_text"), rules), "intervention_type": D.intervention_type(F.col("_text")),
-    }).drop("_text")
+        "category": D.category(text, rules), "intervention_type": D.intervention_type(text),
+    }).drop("_found")

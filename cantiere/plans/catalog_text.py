@@ -202,19 +202,34 @@ UNION ALL SELECT "row", 'c_mktsegment', m FROM h"""
 # -- classification ----------------------------------------------------------
 
 
+#: Every second document also says one word of the presets, in turn, so that each of them is met.
+PRESET_WORDS = R.distinct_terms(P.NATIONAL_CATEGORIES, P.CATEGORIES, P.INTERVENTION_TYPES, P.SEGMENT_TERMS, P.ENVIRONMENT_UTILITY_TERMS,
+                                P.NATIONAL_NOISE, P.NATIONAL_CANDIDATES, P.LIGHT_PROJECT_NOISE, P.GENERIC_WORK_WORDS)
+
+
 def _docs(spark, sf) -> DataFrame:
     """Documents with their normalised text ``t``, computed once per row."""
-    return computed_once(B.table(spark, sf, "documents"), {"t": T.lower_text(F.col("text"))})
+    words = F.array(*[F.lit(w) for w in PRESET_WORDS])
+    said = F.get(words, (F.floor(F.col("doc_id") / 2) % len(PRESET_WORDS)).cast("int"))
+    text = F.concat(T.lower_text(F.col("text")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), said)).otherwise(F.lit("")))
+    return computed_once(B.table(spark, sf, "documents"), {"t": text})
+
+
+_SAID = f"[{', '.join(S.quoted(w) for w in PRESET_WORDS)}][CAST(doc_id // 2 % {len(PRESET_WORDS)} AS INTEGER) + 1]"
+_DOC = f"(SELECT doc_id, source, lang, lower({S.squeeze('text')}) || CASE WHEN doc_id % 2 = 0 THEN ' ' || {_SAID} ELSE '' END AS t FROM documents)"
 
 
-_DOC = f"(SELECT doc_id, source, lang, lower({S.squeeze('text')}) AS t FROM documents)"
+def _searched(docs: DataFrame, *tables) -> tuple[DataFrame, R.Matched]:
+    """Texts with the terms of all tables that they hold, searched once."""
+    words = R.distinct_terms(*tables)
+    return computed_once(docs, {"found": R.found_terms(F.col("t"), words)}), R.Matched(F.col("found"), words)
 
 
 def taxonomy_first_match(spark, sf) -> DataFrame:
-    d = _docs(spark, sf)
-    return d.select("doc_id", R.first_match(F.col("t"), DOC_RULES, P.OTHER).alias("label"),
-                    D.category(F.col("t")).alias("category"), D.category(F.col("t"), P.CATEGORIES).alias("regional_category"),
-                    D.intervention_type(F.col("t")).alias("intervention_type"),
+    d, found = _searched(_docs(spark, sf), DOC_RULES, P.NATIONAL_CATEGORIES, P.CATEGORIES, P.INTERVENTION_TYPES)
+    return d.select("doc_id", R.first_match(found, DOC_RULES, P.OTHER).alias("label"),
+                    D.category(found).alias("category"), D.category(found, P.CATEGORIES).alias("regional_category"),
+                    D.intervention_type(found).alias("intervention_type"),
                     D.phase(F.upper("t")).alias("phase"))
 
 
@@ -226,9 +241,9 @@ TAXONOMY_SQL = f"""SELECT doc_id, {S.case_rules('t', DOC_RULES, "'Altro'")} AS l
 
 
 def segments_multi_label(spark, sf) -> DataFrame:
-    d = _docs(spark, sf)
-    own = R.ranked_labels({k: R.contains_any(F.col("t"), v) for k, v in DOC_RULES.items()}, DOC_WEIGHTS)
-    tagged = d.select("doc_id", own.alias("own"), D.segments(F.col("t"), F.col("source")).alias("preset"))
+    d, found = _searched(_docs(spark, sf), DOC_RULES, P.SEGMENT_TERMS, P.ENVIRONMENT_UTILITY_TERMS)
+    own = R.ranked_labels({k: R.contains_any(found, v) for k, v in DOC_RULES.items()}, DOC_WEIGHTS)
+    tagged = d.select("doc_id", own.alias("own"), D.segments(found, F.col("source")).alias("preset"))
     return tagged.select("doc_id", F.get("own", F.lit(0)).alias("primary_segment"), V.pipe_text(F.col("own")).alias("segment_tags"),
                          V.pipe_text(F.col("preset")).alias("preset_tags"))
 
@@ -245,9 +260,9 @@ SELECT doc_id, split_part(segment_tags, ' | ', 1) AS primary_segment, segment_ta
 
 
 def noise_and_candidate_filter(spark, sf) -> DataFrame:
-    d = _docs(spark, sf)
-    t = F.col("t")
-    return d.filter(~D.is_noise(t, DOC_NOISE) & R.contains_any(t, DOC_CANDIDATES)).select(
+    d, t = _searched(_docs(spark, sf), DOC_NOISE, DOC_CANDIDATES, P.NATIONAL_NOISE, P.NATIONAL_CANDIDATES, P.LIGHT_PROJECT_NOISE,
+                     P.CATEGORIES, P.GENERIC_WORK_WORDS)
+    return d.filter(~R.contains_any(t, DOC_NOISE) & R.contains_any(t, DOC_CANDIDATES)).select(
         "doc_id", D.is_noise(t).alias("national_noise"), D.is_candidate(t).alias("national_candidate"),
         D.is_regional_candidate(t).alias("regional_candidate"))
 
