@@ -12,6 +12,7 @@ from cantiere.functions import rules as R
 from cantiere.functions.text import blank_to_null, geo_key, squeeze
 from cantiere.functions.values import pipe_list, pipe_text, postal_code
 from cantiere.operators.scale import BROADCAST_ROWS, computed_once
+from cantiere.session import scratch_dir
 
 ASSIGNMENT = ("branch", "branch_candidates", "branch_confidence", "branch_assignment_method")
 
@@ -32,6 +33,12 @@ def _get(table: Mapping[str, str], key: Column) -> Column:
     return F.lit(None).cast("string") if m is None else F.try_element_at(m, key)
 
 
+def _landed(dim: DataFrame, purpose: str) -> DataFrame:
+    path = scratch_dir(dim.sparkSession, purpose)
+    dim.write.parquet(path)
+    return dim.sparkSession.read.schema(dim.schema).parquet(path)
+
+
 def place_dim(branch_map: DataFrame, position: Sequence[Column | str], aliases: Mapping[str, str] = P.PROVINCE_ALIASES) -> DataFrame:
     """Lookup rows (municipality key, province key or '') -> assignment.
 
@@ -86,12 +93,14 @@ def assign_branch(df: DataFrame, branch_map: DataFrame, position: Sequence[Colum
     municipality (same guard), 4 branch named like the province, 5 province, then region
     fallback, else unassigned.  Manual assignments are kept.
 
-    The map is counted first.  Within ``max_dim_rows`` its lookup tables are broadcast and the
+    The exploded lookup table is counted first.  Within ``max_dim_rows`` the tables are broadcast and the
     fact table is not shuffled at all; beyond that the cascade runs over the distinct locations
     and the result is joined back once.
     """
-    small = branch_map.limit(max_dim_rows + 1).count() <= max_dim_rows
-    dim, named = place_dim(branch_map, position, aliases), branch_name_dim(branch_map)
+    # both lookup tables are computed once and written down; the guard counts what would be broadcast
+    dim = _landed(place_dim(branch_map, position, aliases), "places")
+    named = _landed(branch_name_dim(branch_map), "branch-names")
+    small = dim.limit(max_dim_rows + 1).count() <= max_dim_rows
     where = ["municipality", "province", "region"]
     rules = dict(hint=F.broadcast if small else (lambda d: d), overrides=municipality_overrides or {}, provinces=province_fallbacks or {},
                  regions=region_fallbacks or {}, aliases=aliases)
@@ -121,11 +130,9 @@ def _cascade(df: DataFrame, dim: DataFrame, named: DataFrame, hint, overrides, p
     d = d.withColumn("_alias", _get(aliases, F.col("_prov")))
     no_province = valid(F.col("_prov")).isNull() & valid(F.col("_alias")).isNull()
 
-    def place(d: DataFrame, key: Column, out: str) -> DataFrame:
-        right = dim.select(F.col("municipality_norm").alias(f"{out}_m"), F.col("province_key").alias(f"{out}_p"),
-                           F.col("item").alias(out))
-        right = hint(right)
-        return d.join(right, (d["_town"] == right[f"{out}_m"]) & (key == right[f"{out}_p"]), "left")
+    # one row per municipality: a municipality has a handful of province keys
+    towns = dim.groupBy(F.col("municipality_norm").alias("_in")).agg(
+        F.map_from_entries(F.collect_list(F.struct("province_key", "item"))).alias("_places"))
 
     def name(d: DataFrame, key: Column, out: str) -> DataFrame:
         right = named.select(F.col("branch_key").alias(f"{out}_k"), F.col("named_branch").alias(out))
@@ -133,8 +140,10 @@ def _cascade(df: DataFrame, dim: DataFrame, named: DataFrame, hint, overrides, p
         usable = F.when(~key.isin(*P.MULTI_BRANCH_PROVINCES), key)
         return d.join(right, usable == right[f"{out}_k"], "left")
 
-    d = place(d, F.coalesce(valid(F.col("_prov")), F.when(no_province, F.lit(""))), "_hit1")
-    d = place(d, valid(F.col("_alias")), "_hit2")
+    towns = hint(towns)
+    d = d.join(towns, d["_town"] == towns["_in"], "left")
+    at = lambda key: F.try_element_at("_places", key)
+    d = d.withColumns({"_hit1": at(F.coalesce(valid(F.col("_prov")), F.when(no_province, F.lit("")))), "_hit2": at(valid(F.col("_alias")))})
     d = name(d, F.col("_prov"), "_name1")
     d = name(d, F.col("_alias"), "_name2")
     none = F.lit("")
@@ -267,8 +276,11 @@ def territory(branch_map: DataFrame) -> DataFrame:
     return branch_map.select(F.explode(listed).alias("branch"), "region", "province", "municipality").distinct()
 
 
-def directory(places: DataFrame, area: Column, shown: int = 12) -> DataFrame:
-    """Branch directory: areas, regions, provinces (first ``shown`` then ``+n``), place count."""
+def directory(places: DataFrame, area: Column, shown: int = 12, areas: Sequence[str] = P.AREA_ORDER) -> DataFrame:
+    """Branch directory: areas, regions, provinces (first ``shown`` then ``+n``), place count.
+
+    Sorted by area in the order of ``areas`` (others last) and branch name.
+    """
     flat = places.groupBy("branch").agg(
         F.array_sort(F.collect_set(blank_to_null(F.col("region")))).alias("regions"),
         F.array_sort(F.collect_set(blank_to_null(F.col("province")))).alias("provinces"),
@@ -281,4 +293,5 @@ def directory(places: DataFrame, area: Column, shown: int = 12) -> DataFrame:
         "branch", area.alias("area"), F.array_join("regions", ", ").alias("regions"),
         F.when(extra > 0, F.concat(text, F.lit(" +"), extra)).otherwise(text).alias("provinces"),
         "municipalities_count", "territory_count",
-    )
+    ).orderBy(F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(a) for a in areas]), F.col("area")), F.lit(0).cast("long")), F.lit(99).cast("long")),
+              F.lower("branch"), "branch")

@@ -19,7 +19,10 @@ def _average(total: Column, n: Column) -> Column:
 
 
 def diagnostics(df: DataFrame, band_order: Mapping[str, int], value: str = "value_eur", score: str = "commercial_score") -> DataFrame:
-    """Counts, sums and average score by category, value band and region in one pass."""
+    """Counts, sums and average score by category, value band and region in one pass.
+
+    Categories and regions by count, then value, bands in their own order; the key decides ties.
+    """
     nd = lambda c: F.coalesce(blank_to_null(F.col(c)), F.lit("ND")).alias(c)
     dims = ["category", "value_band", "region"]
     rows = df.select(nd("category"), "value_band", nd("region"), F.col(value).alias("_v"), F.col(score).alias("_s"))
@@ -34,7 +37,7 @@ def diagnostics(df: DataFrame, band_order: Mapping[str, int], value: str = "valu
         F.coalesce(*dims).alias("key"),
         F.when(F.col("_g") == 0b101, R.lookup(F.col("value_band"), dict(band_order), 99)).alias("key_order"),
         "count", "total_value_eur", _average(F.col("_score"), F.col("count")).alias("avg_score"),
-    )
+    ).orderBy("dimension", F.asc_nulls_last("key_order"), F.desc("count"), F.desc("total_value_eur"), "key")
 
 
 def segment_rollup(df: DataFrame, segment: str = "primary_segment", value: str = "value_eur", score: str = "operational_score") -> DataFrame:
@@ -42,7 +45,7 @@ def segment_rollup(df: DataFrame, segment: str = "primary_segment", value: str =
         F.count(F.lit(1)).alias("count"),
         exact_sum(F.coalesce(F.col(value), F.lit(0.0))).alias("total_value_eur"),
         F.avg(F.col(score)).alias("avg_score"),
-    )
+    ).orderBy(F.desc("count"), segment)
 
 
 # -- home KPIs ---------------------------------------------------------------

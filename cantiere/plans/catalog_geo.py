@@ -23,6 +23,51 @@ def branch_cascade(spark, sf) -> DataFrame:
     return B.assigned(spark, sf).select("cup", *geo.ASSIGNMENT)
 
 
+CASCADE = dict(municipality_overrides={"TOWN_9": "BR_L", "Town_19": "BR_L"}, aliases={"NAZIONE TRE": "NATION 3"}, **B.FALLBACKS)
+
+
+def branch_steps(spark, sf) -> DataFrame:
+    """Every step of the cascade: projects without a province, under an alias, in a province named like a branch,
+    in a listed or a unique municipality, and assigned by hand."""
+    n = F.substring("cup", 2, 9).cast("long")
+    p = B.projects(spark, sf).withColumns({
+        "province": F.when(n % 7 == 0, F.when(n % 2 == 0, "TUTTI")).when(n % 13 == 0, "Br_2")
+        .when((F.col("province") == "NATION_3") & (n % 2 == 0), "Nazione  Tre").otherwise(F.col("province")),
+        "municipality": F.when(n % 21 == 0, "Villa Unica").otherwise(F.col("municipality")),
+        "branch": F.when(n % 17 == 0, "BR_M"), "branch_candidates": F.lit("BR_M | BR_N"),
+        "branch_confidence": F.when(n % 2 == 0, "Manuale"), "branch_assignment_method": F.when(n % 2 == 1, "manual_review"),
+    })
+    unique = spark.range(1).select(*[F.lit(v).alias(c) for c, v in {
+        "municipality_norm": "VILLA UNICA", "province_norm": "NATION 5", "municipality": "Villa Unica", "province": "NATION_5", "region": "AFRICA",
+        "branch": "BR_U", "branch_candidates": "BR_U", "confidence": "alta", "caps": "99999"}.items()])
+    rows = B.branch_map(spark, sf).unionByName(unique, allowMissingColumns=True)
+    return geo.assign_branch(p, rows, ["caps"], **CASCADE).select("cup", *geo.ASSIGNMENT)
+
+
+STEPS_SQL = f"""WITH {S.PROJECTS},\n{S.BRANCH_MAP},
+q AS (SELECT *, CAST(substring(cup, 2, 9) AS BIGINT) AS n FROM projects),
+r AS (SELECT cup, n, region, CASE WHEN n % 21 = 0 THEN 'Villa Unica' ELSE municipality END AS town,
+   CASE WHEN n % 7 = 0 THEN NULL WHEN n % 13 = 0 THEN 'BR_2' ELSE province END AS prov FROM q),
+m AS (SELECT municipality, province, branch, branch_candidates, confidence FROM branch_map
+      UNION ALL SELECT 'Villa Unica', 'NATION_5', 'BR_U', 'BR_U', 'alta'),
+u AS (SELECT municipality, min(branch) AS branch, min(branch_candidates) AS branch_candidates, min(confidence) AS confidence FROM m
+      GROUP BY municipality HAVING count(DISTINCT branch || '/' || branch_candidates) = 1),
+h AS (SELECT r.*, coalesce(m.branch, u.branch) AS hit, coalesce(m.branch_candidates, u.branch_candidates) AS cand, coalesce(m.confidence, u.confidence) AS conf
+      FROM r LEFT JOIN m ON m.municipality = r.town AND m.province = r.prov LEFT JOIN u ON u.municipality = r.town AND r.prov IS NULL),
+steps AS (SELECT *, CASE WHEN n % 17 = 0 THEN 0 WHEN hit IS NOT NULL AND prov IS NOT NULL THEN 1 WHEN hit IS NOT NULL THEN 2
+   WHEN prov IS NULL AND town IN ('TOWN_9', 'TOWN_19') THEN 3 WHEN prov = 'BR_2' AND EXISTS (SELECT 1 FROM m WHERE branch = 'BR_2') THEN 4
+   WHEN prov IN ('NATION_1', 'NATION_9') THEN 5 WHEN region IN ('EUROPE', 'ASIA') THEN 6 ELSE 7 END AS step FROM h)
+SELECT cup, CASE step WHEN 0 THEN 'BR_M' WHEN 1 THEN hit WHEN 2 THEN hit WHEN 3 THEN 'BR_L' WHEN 4 THEN 'BR_2'
+     WHEN 5 THEN CASE prov WHEN 'NATION_1' THEN 'BR_P' ELSE 'BR_Q' END WHEN 6 THEN CASE region WHEN 'EUROPE' THEN 'BR_E' ELSE 'BR_A' END
+     ELSE 'NON ASSEGNATA' END AS branch,
+   CASE step WHEN 0 THEN 'BR_M | BR_N' WHEN 1 THEN cand WHEN 2 THEN cand ELSE '' END AS branch_candidates,
+   CASE step WHEN 0 THEN CASE WHEN n % 2 = 0 THEN 'Manuale' END WHEN 1 THEN conf WHEN 2 THEN conf WHEN 3 THEN 'territoriale_comune'
+     WHEN 4 THEN 'territoriale_provincia_omonima' WHEN 5 THEN 'territoriale_provincia' WHEN 6 THEN 'territoriale_regione' ELSE 'nessuna' END AS branch_confidence,
+   CASE step WHEN 0 THEN CASE WHEN n % 2 = 1 THEN 'manual_review' END WHEN 1 THEN 'exact_or_alias_province' WHEN 2 THEN 'fallback_comune_univoco'
+     WHEN 3 THEN 'fallback_comune_territoriale' WHEN 4 THEN 'fallback_provincia_omonima_filiale' WHEN 5 THEN 'fallback_provincia_territoriale'
+     WHEN 6 THEN 'fallback_regione_territoriale' ELSE 'none' END AS branch_assignment_method FROM steps"""
+
+
 def branch_exact(spark, sf) -> DataFrame:
     out = geo.assign_branch_exact(B.projects(spark, sf), B.branch_map(spark, sf), ["caps"])
     return out.select("cup", "branch", "branch_candidates", "branch_confidence")
@@ -377,6 +422,7 @@ SELECT DISTINCT facet, value, mode FROM both_modes"""
 _A = ", ".join(geo.ASSIGNMENT)
 ENTRIES = {
     "branch_cascade": (branch_cascade, f"{_ASSIGNED} SELECT cup, {_A} FROM assigned"),
+    "branch_steps": (branch_steps, STEPS_SQL),
     "branch_exact": (branch_exact, f"""WITH {S.PROJECTS},\n{S.BRANCH_MAP}
 SELECT cup, coalesce(branch, 'NON ASSEGNATA') AS branch, coalesce(branch_candidates, '') AS branch_candidates, coalesce(confidence, 'nessuna') AS branch_confidence
 FROM projects p LEFT JOIN branch_map m ON m.municipality = p.municipality AND m.province = p.province"""),

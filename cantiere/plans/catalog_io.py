@@ -27,6 +27,25 @@ def zip_csv_scan(spark, sf) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), (F.min("_row") >= 1).alias("positioned"))
 
 
+def zip_largest_member(spark, sf) -> DataFrame:
+    """Links in archives that also hold a small member, of which only the largest member is read."""
+    folder = scratch_dir(spark, "zip")
+    fixtures.write_zip_csv(B.links(spark, sf).toDF("CUP", "CIG"), folder, members=1, note="CUP;CIG\nnone;none\n")
+    rows = files.read_zip(spark, folder, members="largest", candidates=";,")
+    return rows.groupBy(F.col("CUP").alias("cup"), F.col("CIG").alias("cig")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def json_rooted(spark, sf) -> DataFrame:
+    """Customers as JSON documents of up to 1000 records under a root key, read back as rows."""
+    folder = scratch_dir(spark, "rooted")
+    c = B.table(spark, sf, "customer").withColumn("chunk", F.floor(F.col("c_custkey") / 1000))
+    record = F.struct("c_custkey", "c_name", F.struct(F.col("c_mktsegment").alias("segment")).alias("about"))
+    docs = c.groupBy("chunk").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(record).alias("records"))).alias("value"))
+    docs.repartition("chunk").write.partitionBy("chunk").text(folder)
+    rows = files.read_json_rows(spark, folder)
+    return rows.select("c_custkey", "c_name", F.col("about.segment").alias("segment"))
+
+
 def sink_round_trip(spark, sf) -> DataFrame:
     """Shortlist to a ``;`` file with byte-order mark and to nested JSON, both read back and joined."""
     folder = scratch_dir(spark, "sink")
@@ -50,7 +69,7 @@ def run_log(spark, sf) -> DataFrame:
     """Run row opened and closed around a load of the orders."""
     log = files.RunLog(spark, scratch_dir(spark, "runs"))
     log.start("run-1", "orders", "full load")
-    log.finish("run-1", "orders", B.table(spark, sf, "orders").count())
+    log.finish("run-1", "orders", B.table(spark, sf, "orders"))
     return log.runs().select("run_id", "source", "total_records", "note", (F.col("completed_at") >= F.col("started_at")).alias("closed"))
 
 
@@ -189,6 +208,8 @@ SELECT *, greatest(0, least(100, CASE WHEN category <> 'Altro' THEN 25 ELSE 0 EN
 
 ENTRIES = {
     "zip_csv_scan": (zip_csv_scan, f"WITH {S.LINKS} SELECT cup, cig, count(*) AS n_rows, true AS positioned FROM links GROUP BY cup, cig"),
+    "zip_largest_member": (zip_largest_member, f"WITH {S.LINKS} SELECT cup, cig, count(*) AS n_rows FROM links GROUP BY cup, cig"),
+    "json_rooted": (json_rooted, "SELECT c_custkey, c_name, c_mktsegment AS segment FROM customer"),
     "sink_round_trip": (sink_round_trip, f"""WITH {S.SHORTLISTED}
 SELECT cup, title, value_eur, client, CAST(NULL AS VARCHAR) AS absent, segment_tags AS tags, region FROM shortlist"""),
     "source_fallback": (source_fallback, "SELECT o_orderstatus, count(*) AS n_rows FROM orders GROUP BY 1"),

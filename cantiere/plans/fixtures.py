@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cantiere.functions import rules as R
 from cantiere.functions.values import zero_pad
 from cantiere.plans import bindings as B
+from cantiere.session import qualified
 
 DESCRIPTIONS = {
     "BUILDING": "Ristrutturazione scuola media", "MACHINERY": "nuova realizzazione capannone",
@@ -15,9 +16,13 @@ DESCRIPTIONS = {
 }
 
 
-def write_zip_csv(df: DataFrame, folder: str, delimiter: str = ";", members: int = 2) -> None:
-    """One zip archive per task with ``members`` csv files; an archive appears under its name when complete."""
+def write_zip_csv(df: DataFrame, folder: str, delimiter: str = ";", members: int = 2, note: str = "") -> None:
+    """One zip archive per task with ``members`` csv files; an archive appears under its name when complete.
+
+    ``note`` adds a small member ``note.csv`` with that text.
+    """
     names = df.columns
+    folder = qualified(df.sparkSession, folder)
 
     def write(batches):
         import csv
@@ -28,8 +33,8 @@ def write_zip_csv(df: DataFrame, folder: str, delimiter: str = ";", members: int
         from pyarrow import fs
         from pyspark import TaskContext
 
-        local = folder.removeprefix("file:")
-        filesystem, plain = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), local)
+        local = folder.startswith("file:")
+        filesystem, plain = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(folder)
         ctx = TaskContext.get()
         filesystem.create_dir(plain, recursive=True)
         target = f"{plain}/part-{ctx.partitionId():05d}.zip"
@@ -52,6 +57,8 @@ def write_zip_csv(df: DataFrame, folder: str, delimiter: str = ";", members: int
                             if m < members - 1:
                                 break
                         text.flush()
+                if note:
+                    z.writestr("note.csv", note)
             filesystem.move(draft, target)
         yield pd.DataFrame({"rows": [rows]})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -9,31 +10,82 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantiere.functions import presets as P
-from cantiere.sources.zipcsv import DEFAULT_CANDIDATES, HEAD, pick_delimiter, register
+from cantiere.sources.zipcsv import DEFAULT_CANDIDATES, HEAD, head_of, list_members, pick_delimiter, register
 
 
-def sniff_delimiter(spark: SparkSession, path: str, candidates: str = DEFAULT_CANDIDATES) -> str:
-    """Delimiter of a file group from the head of its first lines."""
-    head = [r[0] for r in spark.read.text(path).limit(50).collect()]
-    return pick_delimiter("\n".join(head)[:HEAD], candidates)
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """``file, head``: the first 8 KiB of every file of a group, taken in tasks."""
+    def heads(batches):
+        import pandas as pd
+
+        parts: dict[str, list[str]] = {}
+        sizes: dict[str, int] = {}
+        for pdf in batches:
+            for name, rows in pdf.groupby("file", sort=False):
+                if sizes.get(name, 0) < HEAD:
+                    text = "\n".join(rows["value"])
+                    parts.setdefault(name, []).append(text)
+                    sizes[name] = sizes.get(name, 0) + len(text) + 1
+        yield pd.DataFrame({"file": list(parts), "head": ["\n".join(p)[:HEAD] for p in parts.values()]})
+
+    # the first block of every file holds its head
+    first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    return first.filter("at = 0").select("value", "file").mapInPandas(heads, "file string, head string")
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "auto", multiline: bool = False,
                    candidates: str = DEFAULT_CANDIDATES) -> DataFrame:
-    """Plain delimited files, all columns as text; short rows are padded with NULL."""
-    sep = sniff_delimiter(spark, path, candidates) if delimiter == "auto" else delimiter
-    return (
-        spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path)
-    )
+    """Plain delimited files, all columns as text; short rows are padded with NULL.
+
+    ``auto`` chooses the delimiter of every file from its own head; files of one delimiter are read
+    together, the groups are joined by column name.
+    """
+    def load(sep: str, paths) -> DataFrame:
+        return (
+            spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(paths)
+        )
+
+    if delimiter != "auto":
+        return load(delimiter, path)
+    groups: dict[str, list[str]] = {}
+    for r in file_heads(spark, path).orderBy("file").collect():  # names and samples only
+        groups.setdefault(pick_delimiter(r["head"], candidates), []).append(r["file"])
+    if len(groups) <= 1:
+        return load(next(iter(groups), candidates[0]), path)
+    out = None
+    for sep, paths in sorted(groups.items()):
+        rows = load(sep, paths)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def read_zip(spark: SparkSession, path: str, members: str = "all", delimiter: str = "auto", positional: int = 0,
              candidates: str = DEFAULT_CANDIDATES) -> DataFrame:
-    """Zipped delimited files; see :mod:`cantiere.sources.zipcsv`."""
+    """Zipped delimited files (file, folder or glob): all csv members, or the ``largest`` csv/txt member of
+    each archive; see :mod:`cantiere.sources.zipcsv`.
+
+    Spark lists the archives, so a path without a scheme lies on its default file system; member names
+    and headers are read in tasks, one archive each.
+    """
     register(spark)
-    reader = spark.read.format("zipcsv").option("path", path).option("members", members)
-    reader = reader.option("delimiter", delimiter).option("candidates", candidates)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(F.col("path").alias("archive"))
+
+    def look(batches):
+        import json
+
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(a, i, m, "[]" if positional else json.dumps(head_of(a, m, delimiter, candidates)))
+                    for a in pdf["archive"] for i, m in enumerate(list_members(a, members))]
+            yield pd.DataFrame(rows, columns=["archive", "position", "member", "header"])
+
+    names = archives.repartition(max(1, min(archives.count(), 1000)), "archive")
+    found = names.mapInPandas(look, "archive string, position int, member string, header string").orderBy("archive", "position").collect()
+    columns = [f"_c{i}" for i in range(positional)] or list(dict.fromkeys(c for r in found for c in json.loads(r["header"])))
+    reader = spark.read.format("zipcsv").option("listing", json.dumps([(r["archive"], r["member"]) for r in found]))
+    reader = reader.option("columns", json.dumps(columns)).option("delimiter", delimiter).option("candidates", candidates)
     if positional:
         reader = reader.option("positional", str(positional))
     return reader.load()
@@ -156,8 +208,14 @@ class RunLog:
         self.spark, self.path = spark, path
 
     def _append(self, values: Mapping) -> None:
-        row = self.spark.range(1).select(
-            *[F.lit(values.get(c)).cast(t).alias(c) if c != "at" else F.current_timestamp().alias("at")
+        total = values.get("total_records")
+        if isinstance(total, DataFrame):
+            one, values = total.agg(F.count(F.lit(1)).alias("_n")), {**values, "total_records": F.col("_n")}
+        else:
+            one = self.spark.range(1)
+        cell = lambda v: v if isinstance(v, Column) else F.lit(v)
+        row = one.select(
+            *[cell(values.get(c)).cast(t).alias(c) if c != "at" else F.current_timestamp().alias("at")
               for c, t in (f.split(" ") for f in self.SCHEMA.split(", "))]
         )
         row.write.mode("append").parquet(self.path)
@@ -165,7 +223,8 @@ class RunLog:
     def start(self, run_id: str, source: str, note: str | None = None) -> None:
         self._append(dict(run_id=run_id, source=source, event="start", note=note))
 
-    def finish(self, run_id: str, source: str, total_records: int) -> None:
+    def finish(self, run_id: str, source: str, total_records: int | DataFrame) -> None:
+        """Close a run with a number, or with a table whose rows are counted in the same plan."""
         self._append(dict(run_id=run_id, source=source, event="finish", total_records=total_records))
 
     def runs(self) -> DataFrame:

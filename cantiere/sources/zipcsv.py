@@ -4,9 +4,10 @@ A deflated member can only be read from its start, so a member is the unit of wo
 table as Parquet before heavy use.  Rows are streamed in Arrow batches and
 carry their position (``_file``, ``_member``, ``_row``).
 
-Options: ``path`` (file, folder or glob), ``members`` (``all`` csv members, or ``largest`` csv/txt
-member of each archive), ``delimiter`` (``auto`` or a character), ``candidates``
-(order for ``auto``), ``positional`` (number of unnamed columns, the header is skipped).
+:func:`cantiere.sources.files.read_zip` lists the archives through Spark, reads member names and
+headers in tasks, and passes both as options: ``listing`` (archive and member of each task),
+``columns``, ``delimiter`` (``auto`` or a character), ``candidates`` (order for ``auto``; ``;,`` is
+the two-way choice of semicolon or comma) and ``positional`` (number of unnamed columns, the header is skipped).
 """
 
 from __future__ import annotations
@@ -27,35 +28,13 @@ def pick_delimiter(sample: str, candidates: str = DEFAULT_CANDIDATES) -> str:
     return best if sample.count(best) else ";"
 
 
-def pick_binary_delimiter(sample: str) -> str:
-    """Semicolon unless commas are more frequent."""
-    return ";" if sample.count(";") >= sample.count(",") else ","
-
-
 def _filesystem(path: str):
+    """File system and plain path of a qualified path."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path[len("file:"):])
-    return fs.LocalFileSystem(), path
-
-
-def list_archives(path: str) -> list[str]:
-    """Sorted zip files of a file, folder or glob."""
-    import fnmatch
-
-    from pyarrow import fs
-
-    filesystem, plain = _filesystem(path)
-    if "*" in plain:
-        folder, _, pattern = plain.rpartition("/")
-    else:
-        if filesystem.get_file_info(plain).type == fs.FileType.File:
-            return [path]
-        folder, pattern = plain, "*.zip"
-    prefix = path[: len(path) - len(plain)] if path.endswith(plain) else ""
-    found = filesystem.get_file_info(fs.FileSelector(folder, recursive=False))
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern))
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
 
 
 def list_members(archive: str, members: str) -> list[str]:
@@ -74,6 +53,14 @@ class _Member(InputPartition):
         self.archive, self.member = archive, member
 
 
+def head_of(archive: str, member: str, delimiter: str, candidates: str) -> list[str]:
+    """Header of a member."""
+    rows = _open_rows(archive, member, delimiter, candidates)
+    out = next(rows, [])
+    rows.close()
+    return out
+
+
 def _open_rows(archive: str, member: str, delimiter: str, candidates: str):
     """Yield the csv rows of a member, header first."""
     import csv
@@ -98,8 +85,9 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        members = self.options.get("members", "all")
-        return [_Member(a, m) for a in list_archives(self.options["path"]) for m in list_members(a, members)]
+        import json
+
+        return [_Member(archive, member) for archive, member in json.loads(self.options["listing"])]
 
     def read(self, partition):
         import pyarrow as pa
@@ -144,21 +132,10 @@ class ZipCsv(DataSource):
         return "zipcsv"
 
     def schema(self):
-        n = int(self.options.get("positional", 0))
-        if n:
-            names = [f"_c{i}" for i in range(n)]
-        else:
-            names = []
-            members = self.options.get("members", "all")
-            # header blocks only: the first member of every archive names the columns
-            for archive in list_archives(self.options["path"]):
-                for member in list_members(archive, members):
-                    rows = _open_rows(archive, member, self.options.get("delimiter", "auto"),
-                                      self.options.get("candidates", DEFAULT_CANDIDATES))
-                    names += [c for c in next(rows, []) if c not in names]
-                    rows.close()
+        import json
+
         place = [StructField("_file", StringType()), StructField("_member", StringType()), StructField("_row", LongType())]
-        return StructType([StructField(c, StringType()) for c in names] + place)
+        return StructType([StructField(c, StringType()) for c in json.loads(self.options["columns"])] + place)
 
     def reader(self, schema):
         return _Reader(schema, dict(self.options))

@@ -134,7 +134,7 @@ def test_branch_cascade(spark, max_rows):
 def test_cascade_does_not_shuffle_facts(spark):
     df = spark.createDataFrame([("alfa", "uno", "R")], "municipality string, province string, region string")
     plan = geo.assign_branch(df, branch_map(spark), ["pos"])._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 4
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
 
 
 def test_fan_out(spark):

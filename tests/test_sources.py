@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cantiere.operators.snapshot import SnapshotTable
 from cantiere.sources import files
-from cantiere.sources.zipcsv import pick_binary_delimiter, pick_delimiter
+from cantiere.sources.zipcsv import pick_delimiter
 
 
 def zip_of(path, **members):
@@ -21,7 +21,15 @@ def zip_of(path, **members):
 def test_delimiters():
     assert pick_delimiter("a;b;c") == ";" and pick_delimiter("a|b,c,d") == "," and pick_delimiter("a\tb") == "\t"
     assert pick_delimiter("abc") == ";" and pick_delimiter("a;b|c") == ";" and pick_delimiter("a;b|c", "|;") == "|"
-    assert pick_binary_delimiter("a;b,c") == ";" and pick_binary_delimiter("a,b,c;") == ","
+    assert pick_delimiter("a;b,c", ";,") == ";" and pick_delimiter("a,b,c;", ";,") == "," and pick_delimiter("a|b|c", ";,") == ";"
+
+
+def test_every_plain_file_has_its_own_delimiter(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("cup;v\n" + "".join(f"{i};semi\n" for i in range(200)))
+    (tmp_path / "b.csv").write_text("cup|v|w\n1|pipe|x,y,z;u\n")
+    (tmp_path / "c.csv").write_text("cup\n7\n")
+    rows = files.read_delimited(spark, str(tmp_path)).collect()
+    assert sorted((r["cup"], r["v"], r["w"]) for r in rows if r["v"] != "semi") == [("1", "pipe", "x,y,z;u"), ("7", None, None)] and len(rows) == 202
 
 
 def test_zip_members(spark, tmp_path):
