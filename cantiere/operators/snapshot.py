@@ -34,7 +34,7 @@ def upsert(snapshot: DataFrame, batch: DataFrame, source: str, run_id: str, now:
 
     Batch records become active, keep their first sighting and take the run's time and id.
     With ``deactivate`` (complete batches) the source's other records become inactive.
-    ``position`` orders the batch; the last row of a key wins.
+    ``position`` orders the batch; the first row of a key in that order wins.
     """
     newest = top_per_key(batch, ["record_key"], position)
     fields = [c for c in snapshot.columns if c != "record_key" and c not in STATE]
@@ -139,33 +139,64 @@ def manifest_order() -> list[Column]:
 
 
 class SnapshotTable:
-    """Parquet snapshot kept as numbered versions; the version list is written last.
+    """Parquet snapshot in buckets of the key hash, kept as numbered versions.
 
-    A run that dies half-way leaves an unlisted folder, readers keep the last listed one.
+    A version lists for every bucket the version that last wrote it, so a batch rewrites only the
+    buckets its keys fall into; all other files stay as they are.  The list is written
+    last: a run that dies half-way leaves an unlisted folder, readers keep the last listed one.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    LOG = "version long, run_id string, bucket int, written_in long"
 
-    def _versions(self) -> DataFrame | None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, key: str = "record_key"):
+        self.spark, self.path, self.buckets, self.key = spark, path.rstrip("/"), buckets, key
+
+    def _bucket(self, df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int") if self.key in df.columns else F.lit(0)
+
+    def _log(self) -> DataFrame | None:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema("version long, run_id string").parquet(f"{self.path}/_log/*")
+            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/_log/*")
         except AnalysisException:
             return None
 
     def latest(self) -> int | None:
-        listed = self._versions()
-        return None if listed is None else listed.agg(F.max("version")).first()[0]
+        log = self._log()
+        return None if log is None else log.agg(F.max("version")).first()[0]
 
-    def read(self) -> DataFrame | None:
+    def _places(self) -> dict[int, int]:
+        """Bucket -> version folder of the latest version, at most one entry per bucket."""
         version = self.latest()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/v={version}")
-
-    def write(self, df: DataFrame, run_id: str) -> int:
+        if version is None:
+            return {}
+        return {r["bucket"]: r["written_in"] for r in self._log().filter(F.col("version") == version).collect()}
+
+    def read(self, only: Sequence[int] | None = None) -> DataFrame | None:
+        """The latest version, or some of its buckets; None if nothing is listed (or stored in those)."""
+        places = self._places()
+        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(places.items()) if only is None or b in only]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def write(self, df: DataFrame, run_id: str, keep: Sequence[int] = ()) -> int:
+        """Write rows as a new version; buckets in ``keep`` stay where the last version has them."""
+        old = self._places()
         version = (self.latest() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        row = self.spark.createDataFrame([(version, run_id)], "version long, run_id string")
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_log/{version}")
+        folder = f"{self.path}/v={version}"
+        rows = df.withColumn("bucket", self._bucket(df))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        written = [r["bucket"] for r in self.spark.read.parquet(folder).select("bucket").distinct().collect()] if not rows.limit(1).isEmpty() else []
+        listed = {**{b: old[b] for b in keep if b in old}, **{b: version for b in written}}
+        log = self.spark.createDataFrame([(version, run_id, b, v) for b, v in sorted(listed.items())], self.LOG)
+        log.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_log/{version}")
         return version
+
+    def merge(self, batch: DataFrame, run_id: str, now: Column, source: str, position: Sequence[Column]) -> int:
+        """Upsert a partial batch; only the buckets of its keys are read, joined and rewritten."""
+        if self.latest() is None:
+            return self.write(as_snapshot(batch, run_id, now), run_id)
+        touched = [r[0] for r in batch.select(self._bucket(batch)).distinct().collect()]
+        known = self.read(touched)
+        rows = as_snapshot(batch, run_id, now) if known is None else upsert(known, batch, source, run_id, now, position, deactivate=False)
+        return self.write(rows, run_id, keep=[b for b in self._places() if b not in touched])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cantiere.operators.snapshot import SnapshotTable, as_snapshot, upsert
+from cantiere.operators.snapshot import SnapshotTable
 from cantiere.operators.dedupe import first_per_key
 
 
@@ -18,7 +18,7 @@ def ingest_available(spark: SparkSession, folder: str, schema: StructType, table
 
     The stream checkpoint remembers the files, so a second call without new files changes nothing.
     ``prepare`` maps raw rows to snapshot rows with a ``record_key``.  A batch is only a part of
-    the source, so records that are missing from it stay active.  A batch that is run again after
+    the source, so records that are missing from it stay active; only the buckets of its keys are rewritten.  A batch that is run again after
     a failure is merged again with the same result.
     """
     table = SnapshotTable(spark, table_path)
@@ -26,12 +26,7 @@ def ingest_available(spark: SparkSession, folder: str, schema: StructType, table
     def merge(batch: DataFrame, batch_id: int) -> None:
         run_id = f"batch-{batch_id}"
         rows = first_per_key(prepare(batch), ["record_key"], list(order))
-        now = F.current_timestamp()
-        known = table.read()
-        if known is None:
-            table.write(as_snapshot(rows, run_id, now), run_id)
-        else:
-            table.write(upsert(known, rows, source, run_id, now, list(order), deactivate=False), run_id)
+        table.merge(rows, run_id, F.current_timestamp(), source, list(order))
 
     stream = spark.readStream.schema(schema).format(fmt).load(folder)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
