@@ -241,17 +241,17 @@ def quality(title: Column, code_year: Column, has_award: Column, awards_count: C
     awarded = F.coalesce(has_award, F.lit(False))
     old = F.coalesce(code_year < old_before, F.lit(False))
     n = F.coalesce(awards_count.cast("int"), F.lit(0))
-    penalties = {
-        "NO_ANAC_MATCH": (~awarded, -8),
-        "OLD_CUP": (old, -12),
-        "CUP_YEAR_UNKNOWN": (code_year.isNull(), -5),
-        "GENERIC_OR_MAINTENANCE_TITLE": (R.contains_any(t, generic_terms), -15),
-        "HIGH_VALUE_WITHOUT_ANAC": ((v >= high_no_award) & ~awarded, -12),
-        "OLD_HIGH_VALUE": ((v >= high) & old, -15),
-        "VALUE_SUSPICIOUS": ((v >= high) & R.contains_any(t, suspicious_terms), -25),
-        "BRANCH_MISSING": (blank_to_null(branch).isNull(), -8),
-        "BRANCH_AMBIGUOUS": (F.coalesce(branch == P.AMBIGUOUS, F.lit(False)), -4),
-        "BRANCH_NOT_ASSIGNED": (F.coalesce(branch == P.UNASSIGNED, F.lit(False)), -10),
+    found = {
+        "NO_ANAC_MATCH": ~awarded,
+        "OLD_CUP": old,
+        "CUP_YEAR_UNKNOWN": code_year.isNull(),
+        "GENERIC_OR_MAINTENANCE_TITLE": R.contains_any(t, generic_terms),
+        "HIGH_VALUE_WITHOUT_ANAC": (v >= high_no_award) & ~awarded,
+        "OLD_HIGH_VALUE": (v >= high) & old,
+        "VALUE_SUSPICIOUS": (v >= high) & R.contains_any(t, suspicious_terms),
+        "BRANCH_MISSING": blank_to_null(branch).isNull(),
+        "BRANCH_AMBIGUOUS": F.coalesce(branch == P.AMBIGUOUS, F.lit(False)),
+        "BRANCH_NOT_ASSIGNED": F.coalesce(branch == P.UNASSIGNED, F.lit(False)),
     }
     total = R.score(
         F.lit(50),
@@ -259,10 +259,10 @@ def quality(title: Column, code_year: Column, has_award: Column, awards_count: C
         F.when(n > 1, F.least(F.lit(12), n * 2)).otherwise(0),
         R.points(code_year >= recent_from, 8),
         R.steps(v, bonus, 0),
-        *[R.points(cond, cost) for cond, cost in penalties.values()],
+        *[R.points(found[name], cost) for name, cost in P.QUALITY_PENALTIES.items()],
     )
     return F.struct(
-        R.flags({name: cond for name, (cond, _) in penalties.items()}).alias("quality_flags"),
+        R.flags({name: found[name] for name in P.QUALITY_PENALTIES}).alias("quality_flags"),
         total.alias("commercial_score"),
         R.steps(total, ((75, "ALTA"), (50, "MEDIA")), "BASSA").alias("data_reliability"),
     )

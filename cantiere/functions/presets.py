@@ -76,24 +76,56 @@ CATEGORIES = {
     ],
 }
 
-# Terms the national register preset adds to the table above.
-EXTRA_CATEGORY_TERMS = {
-    "Sanità / RSA": ["casa della comunita", "casa della comunità"],
-    "Cultura / centri civici": ["cinema"],
-    "Riqualificazione urbana": ["giardini pubblici"],
-    "Edilizia pubblica": ["patrimonio comunale"],
-    "Infrastrutture / parcheggi": ["viabilita", "pavimentazione stradale", "illuminazione pubblica"],
-    "Ambiente / rifiuti / depurazione": ["acque reflue", "risorse idriche"],
-    "Industriale / logistica": ["stoccaggio materiali"],
-    "Energia": ["efficientamento energetico"],
-}
-
 NATIONAL_CATEGORIES = {
-    label: terms + EXTRA_CATEGORY_TERMS.get(label, []) for label, terms in CATEGORIES.items()
+    "Scuole / formazione": [
+        "scuola", "scolastico", "asilo", "nido", "infanzia", "primaria", "secondaria", "formazione",
+        "polo scolastico", "mensa scolastica",
+    ],
+    "Sport / impianti sportivi": [
+        "palestra", "palazzetto", "campo sportivo", "impianto sportivo", "piscina", "spogliatoi",
+        "centro sportivo", "stadio",
+    ],
+    "Sanità / RSA": [
+        "rsa", "casa di riposo", "residenza sanitaria", "centro anziani", "ospedale", "poliambulatorio",
+        "distretto sanitario", "sanitario", "casa della comunita", "casa della comunità",
+    ],
+    "Cultura / centri civici": [
+        "biblioteca", "teatro", "auditorium", "centro culturale", "centro civico", "museo",
+        "sala polivalente", "polo culturale", "cinema",
+    ],
+    "Riqualificazione urbana": [
+        "riqualificazione", "rigenerazione urbana", "arredo urbano", "parco", "piazza", "verde pubblico",
+        "area dismessa", "recupero area", "giardini pubblici",
+    ],
+    "Edilizia pubblica": [
+        "edificio pubblico", "municipio", "sede comunale", "uffici pubblici", "fabbricato",
+        "immobile comunale", "edificio polifunzionale", "patrimonio comunale",
+    ],
+    "Infrastrutture / parcheggi": [
+        "parcheggio", "strada", "viabilità", "marciapiede", "ponte", "rotatoria", "urbanizzazione",
+        "pista ciclabile", "viabilita", "pavimentazione stradale", "illuminazione pubblica",
+    ],
+    "Ambiente / rifiuti / depurazione": [
+        "rifiuti", "depuratore", "depurazione", "fognatura", "acquedotto", "bonifica", "discarica",
+        "trattamento rifiuti", "acque reflue", "risorse idriche",
+    ],
+    "Industriale / logistica": [
+        "magazzino", "logistica", "capannone", "area produttiva", "zona industriale", "polo produttivo",
+        "stoccaggio materiali",
+    ],
+    "Energia": [
+        "fotovoltaico", "agrivoltaico", "eolico", "energia", "bess", "accumulo", "biometano",
+        "efficientamento energetico",
+    ],
+    "Residenziale pubblico / ERS": ["edilizia residenziale", "alloggi", "ers", "housing", "case popolari", "social housing"],
 }
 
 # Categories worth points in the commercial scores: all but energy and the fallback.
-HIGH_CATEGORIES = tuple(label for label in CATEGORIES if label != "Energia")
+HIGH_CATEGORIES = (
+    "Scuole / formazione", "Sport / impianti sportivi", "Sanità / RSA", "Cultura / centri civici",
+    "Riqualificazione urbana", "Edilizia pubblica", "Infrastrutture / parcheggi",
+    "Ambiente / rifiuti / depurazione", "Industriale / logistica", "Residenziale pubblico / ERS",
+)
 
 INTERVENTION_TYPES = {
     "nuova costruzione": ["nuova realizzazione", "nuova costruzione", "realizzazione", "costruzione"],
@@ -114,19 +146,28 @@ GOOD_PHASES = ("programmazione", "progetto attivo", "progettazione", "gara", "ap
 
 # -- noise and candidate filters ---------------------------------------------
 
-# Terms shared by the three noise lists.
-COMMON_NOISE = [
+NON_CONSTRUCTION_NOISE = [
+    "premio assicurativo", "premi assicurativi", "raccolto", "animali", "sottomisura 17.1",
+    "agevolazioni fiscali", "indennità compensative", "indennita compensative", "compensazioni",
+    "sostegno al reddito", "acquisto servizi reali", "attivita' di ricerca", "attività di ricerca",
+    "progetti di ricerca", "ricerca sviluppo tecnologico", "nuova gamma di elettrodomestici",
+    "spese materiale", "agevolazione fiscale", "contributive",
+]
+NATIONAL_NOISE = [
     "premio assicurativo", "premi assicurativi", "raccolto", "animali", "sottomisura 17.1",
     "agevolazioni fiscali", "indennità compensative", "indennita compensative", "compensazioni",
     "sostegno al reddito", "acquisto servizi reali", "attivita' di ricerca", "attività di ricerca",
     "progetti di ricerca", "ricerca sviluppo tecnologico", "nuova gamma di elettrodomestici",
-    "spese materiale",
+    "spese materiale", "agevolazione fiscale", "contributive", "voucher", "corso di formazione",
+    "servizio civile",
 ]
-NON_CONSTRUCTION_NOISE = COMMON_NOISE + ["agevolazione fiscale", "contributive"]
-NATIONAL_NOISE = NON_CONSTRUCTION_NOISE + ["voucher", "corso di formazione", "servizio civile"]
-LIGHT_PROJECT_NOISE = COMMON_NOISE + [
-    "acquisto arredi", "acquisto attrezzature", "fornitura libri", "contributo", "contributi",
-    "agevolazione", "agevolazioni", "voucher", "corso di formazione", "servizio civile",
+LIGHT_PROJECT_NOISE = [
+    "premio assicurativo", "premi assicurativi", "raccolto", "animali", "sottomisura 17.1",
+    "agevolazioni fiscali", "indennità compensative", "indennita compensative", "compensazioni",
+    "sostegno al reddito", "acquisto servizi reali", "attivita' di ricerca", "attività di ricerca",
+    "progetti di ricerca", "ricerca sviluppo tecnologico", "nuova gamma di elettrodomestici",
+    "spese materiale", "acquisto arredi", "acquisto attrezzature", "fornitura libri", "contributo",
+    "contributi", "agevolazione", "agevolazioni", "voucher", "corso di formazione", "servizio civile",
 ]
 
 NATIONAL_CANDIDATES = [
@@ -194,28 +235,42 @@ SEGMENT_TERMS = {
     ],
 }
 
-# Reduced preset: the same labels without these terms, and "stoccaggio" for the industry label.
-REDUCED_DROPS = {
-    "Demolizioni": ["demolire", "rimozione fabbricato"],
-    "Impiantisti sottoservizi": ["fognario", "reti idriche", "cavidotti", "collettore", "scarico"],
-    "Lavori pubblici strade": ["ciclabile", "banchina stradale", "messa in sicurezza viaria"],
-    "Verde": ["alberature", "forestale", "rinaturalizzazione"],
-    "Bonifiche e gestione rifiuti": ["bonifiche", "inquinamento", "messa in sicurezza permanente"],
-    "Industria": ["polo logistico", "opificio", "impianto produttivo", "stoccaggio materiali"],
-    "Impiantisti": ["impianti termici", "riscaldamento", "adeguamento impiantistico"],
+REDUCED_SEGMENT_TERMS = {
+    "Demolizioni": ["demolizione", "demolizioni", "abbattimento"],
+    "Impiantisti sottoservizi": [
+        "fognatura", "acquedotto", "rete idrica", "acque reflue", "depurazione", "depuratore",
+        "sottoservizi", "cavidotto", "condotta",
+    ],
+    "Lavori pubblici strade": [
+        "strada", "strade", "viabilita", "viabilità", "pavimentazione stradale", "rotatoria", "marciapiede",
+        "ponte", "pista ciclabile", "illuminazione pubblica",
+    ],
+    "Verde": ["verde", "parco", "giardino", "giardini", "arredo urbano", "area verde", "verde pubblico"],
+    "Bonifiche e gestione rifiuti": ["bonifica", "rifiuti", "discarica", "trattamento rifiuti", "amianto"],
+    "Industria": [
+        "capannone", "magazzino", "logistica", "area produttiva", "zona industriale", "stabilimento",
+        "stoccaggio",
+    ],
+    "Impiantisti": [
+        "impianto elettrico", "impianti elettrici", "impianto termico", "climatizzazione", "fotovoltaico",
+        "efficientamento energetico", "centrale termica", "illuminazione", "antincendio", "impiantistico",
+    ],
     "Completamento e finitura edifici": [
-        "manto di copertura", "cartongesso", "intonaco", "tinteggiatura", "riqualificazione energetica",
+        "copertura", "tetto", "infissi", "serramenti", "facciata", "facciate", "rivestimenti", "finiture",
+        "pavimentazione interna", "impermeabilizzazione", "completamento",
     ],
-    "Edilizia": ["presidio sanitario", "edilizia residenziale", "caserma"],
-    "Agricoltura / silvicoltura": ["azienda agricola"],
-}
-REDUCED_ADDS = {"Industria": ["stoccaggio"]}
-REDUCED_SEGMENT_TERMS = {
-    label: [t for t in terms if t not in REDUCED_DROPS.get(label, [])] + REDUCED_ADDS.get(label, [])
-    for label, terms in SEGMENT_TERMS.items()
+    "Edilizia": [
+        "scuola", "scolastico", "asilo", "nido", "ospedale", "casa della comunita", "casa della comunità",
+        "rsa", "edificio", "fabbricato", "immobile", "palestra", "spogliatoi", "auditorium", "teatro",
+        "biblioteca", "centro civico", "centro culturale", "alloggi", "municipio", "sede comunale",
+    ],
+    "Agricoltura / silvicoltura": ["agricoltura", "agricolo", "irriguo", "irrigazione", "rurale", "forestazione", "silvicoltura"],
 }
 REDUCED_SEGMENT_WEIGHTS = {
-    k: v for k, v in SEGMENT_WEIGHTS.items() if k not in ("Servizi", "Commercio", "Trasporto")
+    "Edilizia": 30, "Completamento e finitura edifici": 25, "Impiantisti sottoservizi": 25,
+    "Lavori pubblici strade": 24, "Industria": 18, "Demolizioni": 16, "Verde": 12,
+    "Agricoltura / silvicoltura": 10, "Impiantisti": 10, "Bonifiche e gestione rifiuti": 8,
+    "Altro": -10,
 }
 
 # Category (lower case) that always adds a segment.
@@ -351,11 +406,61 @@ PROVINCE_ALIASES = {
     "CALTANISSETTA": "CL", "CARBONIA IGLESIAS": "CI", "GALLURA NORD EST SARDEGNA": "OT",
     "MEDIO CAMPIDANO": "VS", "OGLIASTRA": "OG", "OLBIA TEMPIO": "OT",
 }
+
+# Territorial assignments of the last cascade steps; keys are normalised like the data.
+MUNICIPALITY_BRANCHES = {"VERMEZZO CON ZELO": "Milano Sud"}
+REGION_BRANCHES = {
+    "ABRUZZO": "Roma Nomentana", "MARCHE": "Rimini", "SICILIA": "Catania", "CALABRIA": "Cosenza",
+    "FRIULI VENEZIA GIULIA": "Udine", "PUGLIA": "Bari", "UMBRIA": "Perugia", "VALLE D AOSTA": "Torino",
+}
+PROVINCE_BRANCHES = {
+    "PESARO E URBINO": "Rimini", "PU": "Rimini", "ALESSANDRIA": "Milano Sud", "AL": "Milano Sud",
+    "AOSTA": "Torino", "AO": "Torino", "ASTI": "Torino", "AT": "Torino", "AVELLINO": "Napoli",
+    "AV": "Napoli", "BARLETTA ANDRIA TRANI": "Bari", "BT": "Bari", "BELLUNO": "Treviso", "BL": "Treviso",
+    "BENEVENTO": "Napoli", "BN": "Napoli", "BIELLA": "Torino", "BI": "Torino", "PISTOIA": "Firenze",
+    "PT": "Firenze", "PRATO": "Firenze", "PO": "Firenze", "FIRENZE": "Firenze", "FI": "Firenze",
+    "SIENA": "Firenze", "SI": "Firenze", "AREZZO": "Firenze", "AR": "Firenze", "POTENZA": "SALERNO",
+    "PZ": "SALERNO", "MATERA": "Bari", "MT": "Bari", "CAMPOBASSO": "Bari", "CB": "Bari",
+    "ISERNIA": "Frosinone", "IS": "Frosinone", "VERCELLI": "Torino", "VC": "Torino",
+    "VERBANO CUSIO OSSOLA": "Milano Ovest", "VB": "Milano Ovest", "NOVARA": "Milano Ovest",
+    "NO": "Milano Ovest", "COMO": "Milano Nord", "CO": "Milano Nord", "VARESE": "Milano Ovest",
+    "VA": "Milano Ovest", "PAVIA": "Milano Sud", "PV": "Milano Sud", "LODI": "Milano Est",
+    "LO": "Milano Est", "MANTOVA": "Verona", "MN": "Verona", "CREMONA": "Brescia", "CR": "Brescia",
+    "REGGIO NELL EMILIA": "Parma", "REGGIO EMILIA": "Parma", "RE": "Parma", "FORLI CESENA": "Rimini",
+    "FC": "Rimini", "FERRARA": "Bologna", "FE": "Bologna", "PIACENZA": "Parma", "PC": "Parma",
+    "RAVENNA": "Rimini", "RA": "Rimini", "MODENA": "Sassuolo", "MO": "Sassuolo", "VICENZA": "Padova",
+    "VI": "Padova", "ROVIGO": "Padova", "RO": "Padova", "SAVONA": "Albenga", "SV": "Albenga",
+    "IMPERIA": "Albenga", "IM": "Albenga", "LA SPEZIA": "Lucca", "SP": "Lucca", "GROSSETO": "Livorno",
+    "GR": "Livorno", "RIETI": "Roma Nomentana", "RI": "Roma Nomentana", "LATINA": "Frosinone",
+    "LT": "Frosinone", "BARI": "Bari", "BA": "Bari", "BRINDISI": "Bari", "BR": "Bari", "FOGGIA": "Bari",
+    "FG": "Bari", "LECCE": "Bari", "LE": "Bari", "TARANTO": "Bari", "TA": "Bari", "PERUGIA": "Perugia",
+    "PG": "Perugia", "TERNI": "Perugia", "TR": "Perugia", "NUORO": "Sassari", "NU": "Sassari",
+    "ORISTANO": "Cagliari", "OR": "Cagliari", "MONZA E DELLA BRIANZA": "Milano Nord",
+    "MONZA BRIANZA": "Milano Nord", "MB": "Milano Nord", "PISA": "Livorno", "PI": "Livorno",
+    "CASERTA": "Napoli", "CE": "Napoli", "VITERBO": "Roma Nomentana", "VT": "Roma Nomentana",
+    "MASSA CARRARA": "Lucca", "MS": "Lucca", "VALLE D AOSTA": "Torino", "CARBONIA IGLESIAS": "Cagliari",
+    "CI": "Cagliari", "CITTA METROPOLITANA DI CAGLIARI": "Cagliari", "CA": "Cagliari",
+    "CITTA METROPOLITANA DI SASSARI": "Sassari", "SS": "Sassari", "GALLURA NORD EST SARDEGNA": "Sassari",
+    "MEDIO CAMPIDANO": "Cagliari", "VS": "Cagliari", "OGLIASTRA": "Cagliari", "OG": "Cagliari",
+    "OLBIA TEMPIO": "Sassari", "OT": "Sassari", "SUD SARDEGNA": "Cagliari", "SU": "Cagliari",
+}
 MULTI_BRANCH_PROVINCES = ("ROMA", "RM", "MILANO", "MI")
 MULTI_BRANCH_NAMES = ("ROMA", "MILANO")
 
 # -- page extraction ---------------------------------------------------------
 
+# First match wins; the group is the value.
+PAGE_MUNICIPALITY = (
+    r"\bcomune di ([A-ZÀ-ÖØ-Ýa-zà-öø-ÿ'’\-\s]+?)(?:[,.;)]|\s+e\s+|\s+in\s+provincia|\s+nel\s+territorio|$)",
+    r"\bcomuni di ([A-ZÀ-ÖØ-Ýa-zà-öø-ÿ'’\-\s,]+?)(?:[.;)]|\s+in\s+provincia|\s+nel\s+territorio|$)",
+)
+PAGE_PROPONENT = (
+    r"Proponente\s+(.+?)(?:Procedura|Localizzazione|Documentazione|$)",
+    r"Società proponente\s+(.+?)(?:Procedura|Localizzazione|Documentazione|$)",
+)
+PAGE_TITLE = r"(Progetto[^.]{20,250})"
+PAGE_PROVINCE = r"\(([A-Z]{2})\)"
+
 ENERGY_SECTORS = {
     "agrivoltaico": ["agrivoltaic", "agrovoltaic", "agri-voltaic"],
     "fotovoltaico": ["fotovoltaic"],
@@ -401,3 +506,10 @@ OUTCOME_COLUMNS = {
     "num_imprese_offerenti": "bidders_count", "flag_subappalto": "subcontracting",
     "id_aggiudicazione": "id_aggiudicazione", "PRESTAZIONI_COMPRESE": "included_services",
 }
+
+# -- quality flags -----------------------------------------------------------
+
+QUALITY_PENALTIES = {
+    "NO_ANAC_MATCH": -8, "OLD_CUP": -12, "CUP_YEAR_UNKNOWN": -5, "GENERIC_OR_MAINTENANCE_TITLE": -15, "HIGH_VALUE_WITHOUT_ANAC": -12,
+    "OLD_HIGH_VALUE": -15, "VALUE_SUSPICIOUS": -25, "BRANCH_MISSING": -8, "BRANCH_AMBIGUOUS": -4, "BRANCH_NOT_ASSIGNED": -10,
+}

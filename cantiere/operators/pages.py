@@ -92,19 +92,14 @@ def page_features(pages: DataFrame, id_pattern: str, id_prefix: str, url: str =
     text, low = F.col("_text"), F.lower(F.col("_text"))
     page_id = F.nullif(F.regexp_extract(F.col(url), id_pattern, 1), F.lit(""))
     external = F.concat(F.lit(id_prefix), page_id)
-    name = r"[A-ZÀ-ÖØ-Ýa-zà-öø-ÿ'’\-\s]"
-    town = F.coalesce(
-        find_first(text, rf"\bcomune di ({name}+?)(?:[,.;)]|\s+e\s+|\s+in\s+provincia|\s+nel\s+territorio|$)"),
-        find_first(text, r"\bcomuni di ([A-ZÀ-ÖØ-Ýa-zà-öø-ÿ'’\-\s,]+?)(?:[.;)]|\s+in\s+provincia|\s+nel\s+territorio|$)"),
-    )
-    ends = r"(?:Procedura|Localizzazione|Documentazione|$)"
-    proponent = F.coalesce(find_first(text, rf"Proponente\s+(.+?){ends}"), find_first(text, rf"Società proponente\s+(.+?){ends}"))
+    first = lambda patterns: F.coalesce(*[find_first(text, p) for p in patterns])
+    town, proponent = first(P.PAGE_MUNICIPALITY), first(P.PAGE_PROPONENT)
     return base.withColumns({
         "external_id": external,
-        "title": F.coalesce("_h1", find_first(text, r"(Progetto[^.]{20,250})"),
+        "title": F.coalesce("_h1", find_first(text, P.PAGE_TITLE),
                             F.concat_ws(" ", F.lit("Progetto"), external)),
         "description": blank_to_null(F.substring(text, 1, description_length)),
-        "province": find_first(text, r"\(([A-Z]{2})\)"),
+        "province": find_first(text, P.PAGE_PROVINCE),
         "municipality": town,
         "sector": R.first_match(low, sectors, default_sector),
         "intervention_type": F.when(F.contains(low, F.lit("realizzazione")), F.lit("nuova costruzione")),

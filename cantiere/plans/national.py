@@ -198,7 +198,8 @@ class Inputs:
     branch_map: DataFrame
     branch_position: Sequence[str]
     url_prefix: str = ""
-    fallbacks: dict = field(default_factory=dict)
+    fallbacks: dict = field(default_factory=lambda: {
+        "municipality_overrides": P.MUNICIPALITY_BRANCHES, "province_fallbacks": P.PROVINCE_BRANCHES, "region_fallbacks": P.REGION_BRANCHES})
 
 
 def _land(df: DataFrame, path: str) -> DataFrame:
