@@ -59,6 +59,6 @@ ENTRIES = {
     "op6_secret_scan": (op6_secret_scan, None),
     "op7_token_files": (op7_token_files, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
-    "op9_jaccard_join": (op9_jaccard_join, None),
+    "op9_jaccard_join": (op9_jaccard_join, jaccard.COMPONENTS_SQL),
     "op10_warc_salvage": (op10_warc_salvage, warc.ROUND_TRIP_SQL),
 }

@@ -396,3 +396,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ranked = whole.filter("cid IS NOT NULL").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
     kept = ranked.join(chosen, "cid", "left_semi")
     return kept.select("row").union(blank.select("row")).select("row.*")
+
+
+#: :func:`components` of ``documents`` by DuckDB, all pairs of sets that share a shingle counted.
+COMPONENTS_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])
+     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS grams FROM w),
+d AS (SELECT doc_id, grams, len(grams) AS n, md5(array_to_string(list_sort(grams), chr(10))) AS code FROM s),
+c AS (SELECT code, min(doc_id) AS id, any_value(n) AS n, any_value(grams) AS grams FROM d WHERE n > 0 GROUP BY code),
+g AS (SELECT id, n, unnest(grams) AS gram FROM c),
+e AS (SELECT x.id AS a, y.id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+     GROUP BY x.id, y.id HAVING 9 * count(*) >= 4 * (any_value(x.n) + any_value(y.n))),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reached(id, far) AS (SELECT id, id FROM c UNION SELECT r.id, l.b FROM reached r JOIN both_ways l ON l.a = r.far),
+least_id AS (SELECT id, min(far) AS component_id FROM reached GROUP BY id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN c ON c.code = d.code AND d.n > 0 LEFT JOIN least_id l ON l.id = c.id
+"""
