@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -31,8 +33,12 @@ def get_session(master: str | None = None, app: str = "cantiere", **conf: str) -
     return builder.getOrCreate()
 
 
+#: Folders this process has named, removed when it ends.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """New folder name below the shared folder of ``spark.checkpoint.dir``.
+    """New folder name below the shared folder of ``spark.checkpoint.dir``, removed when the process ends.
 
     The cluster names that folder; only a local session without the setting gets a
     folder of its own.
@@ -42,7 +48,25 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="cantiere-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_remove_made)
+    _MADE.append((spark, path))
+    return path
+
+
+def _remove_made() -> None:
+    """Delete the folders of this process, as far as its JVM still answers."""
+    for spark, path in _MADE:
+        try:
+            _file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+        except (Py4JError, OSError, AttributeError):
+            return
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(jvm.org.apache.hadoop.conf.Configuration())
 
 
 def qualified(spark: SparkSession, path: str) -> str:
