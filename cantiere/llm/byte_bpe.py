@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cantiere.llm.common import blocks, split_sizes
+from cantiere.llm.common import blocks, release_memory, split_sizes
 
 # classes of code points
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
@@ -33,8 +33,8 @@ IN_OTHER, IN_LETTER, IN_NUMBER, IN_BLANK, AFTER_SPACE, DUE_2, DUE_1, FRESH = ran
 
 #: fixed values: white space of the pattern's \\s
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Cached pieces per worker; the cache is emptied beyond it.
-CACHE_PIECES = 400_000
+#: Cached pieces per task; the cache is emptied beyond it.
+CACHE_PIECES = 200_000
 #: Code points per row of the blocked scan.
 SCAN_WIDTH = 64
 
@@ -261,5 +261,7 @@ def _mapped(docs: DataFrame, rank_file: str, doc_id: str, text: str, schema: str
             out = pd.DataFrame(found, columns=names[1:])
             out.insert(0, names[0], pdf["doc_id"].astype("Int64").to_numpy())
             yield out
+        coder.cache.clear()  # the worker lives on beside others; the next task learns its own words
+        release_memory()
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInPandas(run, schema)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cantiere.session import scratch_dir
 
 #: Code points handled at once inside a task; a longer text forms a block of its own.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 #: Bounds of one Arrow batch, so that batches of long texts stay within a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +41,20 @@ def id_bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(buckets))
 
 
+def release_memory() -> None:
+    """Give freed memory back: a worker lives on after its task, beside the next one of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pd.DataFrame], text: str, limit: int = BLOCK_CHARS) -> Iterator[pd.DataFrame]:
-    """Cut batches into runs of rows with at most ``limit`` code points of text (one row at least); NULL becomes ''."""
+    """Cut batches into runs of rows with at most ``limit`` code points of text (one row at least); NULL becomes ''.
+
+    Memory is released behind the last one.
+    """
     for pdf in batches:
         if not len(pdf):
             continue
@@ -48,6 +63,8 @@ def blocks(batches: Iterator[pd.DataFrame], text: str, limit: int = BLOCK_CHARS)
         run = pdf[text].str.len().to_numpy(np.int64).cumsum() // limit
         for _, part in pdf.groupby(run, sort=True):
             yield part.reset_index(drop=True)
+        del pdf
+    release_memory()
 
 
 def split_sizes(lists: list[list]) -> np.ndarray:

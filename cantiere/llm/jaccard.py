@@ -38,6 +38,8 @@ MOST_MATCHES = 4
 HEAVY, HEAVIEST = 8, 1 << 20
 #: Shingles per range when frequencies are counted.
 RANGE_SHINGLES = 2_000_000
+#: Shingles that a task gathers before it sorts and sends them.
+SENT_SHINGLES = 500_000
 #: Members of a posting that one group compares with each other.
 POSTING_BLOCK = 4096
 #: Members of one salted part of a posting.
@@ -123,7 +125,7 @@ def heavy_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray,
             sets = shingle_sets(pdf["text"].tolist())
             waiting.extend(sets)
             size += int(split_sizes(sets).sum())
-            if size >= RANGE_SHINGLES:
+            if size >= SENT_SHINGLES:
                 yield flush(waiting)
                 waiting, size = [], 0
         if size:
