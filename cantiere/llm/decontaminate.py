@@ -9,7 +9,8 @@ SAMPLED positions, are looked up in the items' keys; regions around the hits are
 distance between the item's words and any stretch of the document. An item is found if it is within
 MAX_EDITS of its words.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. NULL and blank texts hold
+Words are runs of letters, digits and non-ASCII characters, compared without regard to case by Unicode's folding
+(``str.casefold``: upper-casing a text changes no word, but for the dotless i). NULL and blank texts hold
 nothing; items with fewer words than MIN_ITEM_WORDS (also NULL ones) identify nothing and are left out. Repeated
 rows, ids and items each count. Other columns are ignored.
 """
@@ -86,11 +87,16 @@ def nearest(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def folded(texts: list[str]) -> list[str]:
+    """The texts without regard to case; folding neither makes nor removes a mark between words."""
+    return [t.casefold() for t in texts]
+
+
 class Items:
     """Keys of all item windows."""
 
     def __init__(self, ids: list, texts: list[str]):
-        words, sizes = word_hashes(texts)
+        words, sizes = word_hashes(folded(texts))
         cuts = np.cumsum(sizes)
         self.ids, self.words = [], []
         for item, one in zip(ids, np.split(words, cuts[:-1]) if len(cuts) else []):
@@ -124,7 +130,7 @@ class Items:
         """(row, item_id, distance, words of the item, first word after the stretch) of each item found in each text."""
         if not self.ids:
             return []
-        words, sizes = word_hashes(texts)
+        words, sizes = word_hashes(folded(texts))
         flat, starts = padded(words, sizes)
         ends = starts + sizes
         at = np.arange(len(words)) + np.repeat(np.arange(len(sizes)) * STEPS, sizes)

@@ -89,3 +89,38 @@ def test_groups_of_items_and_empty_tables(monkeypatch, documents, benchmark):
     assert decontaminate.contaminations(documents, benchmark.limit(0)).count() == 0
     assert decontaminate.contaminations(documents.limit(0), benchmark).count() == 0
     assert decontaminate.keep_clean(documents, benchmark.limit(0)).count() == documents.count()
+
+
+def folded_words(text):
+    return re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (text or "").casefold())
+
+
+def test_upper_cased_copies_are_found(spark):
+    given = ["Über die Straße läuft ein großer Bär, während die Vögel schön über dem Fluß kreisen und Öl verbrennt",
+             "ο γρήγορος κόσμος της θάλασσας είναι μεγάλος και ο ουρανός μένει ήσυχος πάνω από τους δρόμους",
+             "быстрая лиса прыгает через ленивую собаку пока дождь идёт над тихой рекой у старого дома"]
+    items = spark.createDataFrame(list(enumerate(given)), "item_id long, text string")
+    filler = "Ein Wort davor und noch viele andere mehr "
+    rows = [(i, filler + fold(t) + " " + filler) for i, t in enumerate(given) for fold in (str.upper, str.title, str.lower)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contaminations(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(i, i, 0) for i in range(3) for _ in range(3)]
+    assert decontaminate.keep_clean(docs, items).count() == 0
+
+
+def test_items_in_documents_equal_brute_force_without_case(spark):
+    """The documents of the larger table that hold upper-cased copies, beside a two-hundredth of the others."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").filter("doc_id IN (1699, 6420) OR doc_id % 200 = 0")
+    given = table(spark, "/root/testdata/sf0.1", "benchmark")
+    items = [(r.item_id, folded_words(r.text)) for r in given.collect()]
+    want = set()
+    for r in docs.collect():
+        text = folded_words(r.text)
+        near = set(text)
+        for item_id, item in items:
+            if len(near & set(item)) >= 0.5 * len(set(item)):
+                d = brute_distance(item, text)
+                if d <= decontaminate.MAX_EDITS * len(item):
+                    want.add((r.doc_id, item_id, d))
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminations(docs, given).collect()} == want
+    assert {(1699, 130, 0), (6420, 37, 0)} <= want
