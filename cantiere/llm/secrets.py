@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a run of at least 16 letters, digits and ``_+/-`` with a digit among its first 200 characters. Its
+Candidates are runs of at least 16 letters, digits and ``_+/-`` with a digit among their first 201 characters; runs
+without one that begin with an issuer's prefix; and every value of at least 6 characters, of any kind and up to
+VALUE_CHARS, that a secret word and an assignment sign introduce. Their
 features are length, changes of character class, shares of digits, capitals, vowels and distinct characters, how much
 of it dictionary words cover, path signs, and the words around it. The forest is trained by Spark ML on labelled
 findings and rewritten as one SQL expression, so that a text is scanned, judged and redacted inside its row: there
@@ -26,7 +28,18 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: Words that name a secret, and words that name other runs of characters.
 SECRET_WORDS = "token|secret|passw|pwd|key|auth|bearer|credential|login"
 OTHER_WORDS = "commit|sha1|sha256|md5|hash|digest|checksum|uuid|guid|version|order|number|invoice|build|revision|example|sample|placeholder|path|file"
+#: Code points of a value behind a secret word; of a longer one only so many are judged.
+VALUE_CHARS = 1000
 ISSUERS = "AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk-|sk_live|AIza|eyJ|glpat-"
+#: A run that CANDIDATE leaves out for want of a digit.
+ISSUED = f"(?<![A-Za-z0-9])(?!{RUN}{{0,200}}[0-9])(?:{ISSUERS}){RUN}{{12,}}={{0,2}}"
+#: A name with a secret word in it, the sign and what may stand before the value; and the value, with its quotes or up to white space.
+_NAME = f"(?i:{SECRET_WORDS}|pass)[A-Za-z0-9_.-]{{0,40}}"
+_SIGN = r"[\x22\x27\]]{0,2}\s{0,4}(?:=>|:=|==?|:)\s{0,4}(?:(?i:bearer|basic)\s{1,4})?[\x22\x27`]?"
+_VALUE = (rf"(?:(?<=\x22)[^\x22\r\n]{{6,{VALUE_CHARS}}}(?=\x22)|(?<=\x27)[^\x27\r\n]{{6,{VALUE_CHARS}}}(?=\x27)|"
+          rf"[^\s\x22\x27`]{{5,{VALUE_CHARS - 1}}}[^\s\x22\x27`,;.)\]}}>])")
+#: Only the name is consumed, so that an assignment inside a value is found as well.
+ASSIGNED = f"(?=({_NAME}{_SIGN}{_VALUE})){_NAME}"
 #: Words that identifiers and paths are made of.
 DICTIONARY = ("about access account action address admin array base block body build button cache call change check class client code color "
               "column command config content context control count create current data date default delete detail device dir display doc "
@@ -43,6 +56,7 @@ TREES, DEPTH, THRESHOLD = 24, 6, 0.5
 #: At most so many labelled findings are learnt, those with the smallest hash.
 FIT_ROWS = 20_000
 MASK = "[SECRET]"
+_KIND = "array<struct<text:string,before:string,word:string,after:string>>"
 
 #: Feature -> SQL over a finding ``f`` with fields text, before, word, after.
 _LEN = "CAST(length(f.text) AS DOUBLE)"
@@ -61,21 +75,44 @@ FEATURES = {
     "assigned": r"""IF(f.before RLIKE '[=:]\\s*["\\x27]?$', 1.0D, 0.0D)""",
     "other_near": f"IF(concat(f.before, ' ', f.after) RLIKE '(?i){OTHER_WORDS}', 1.0D, 0.0D)",
     "hex_only": "IF(f.text RLIKE '^([0-9a-f]+|[0-9A-F]+)$', 1.0D, 0.0D)",
+    "password_before": "IF(f.before RLIKE '(?i)pass|pwd|secret', 1.0D, 0.0D)",
+    "mark_share": f"length(regexp_replace(f.text, '[A-Za-z0-9]', '')) / {_LEN}",
+    "space_share": f"length(regexp_replace(f.text, '[^ ]', '')) / {_LEN}",
+    "code_signs": r"IF(f.text RLIKE '[(){}<>\\[\\]$|]|[A-Za-z_][.][A-Za-z_]|^[*.x]+$', 1.0D, 0.0D)",
     "issuer": f"IF(f.text RLIKE '^({ISSUERS})', 1.0D, 0.0D)",
 }
 
 
-def findings(text: str) -> Column:
-    """Array of candidates of the text column with the words around them; empty for NULL."""
+def findings(text: str, pattern: str = CANDIDATE) -> Column:
+    """Array of runs of the text column with the words around them; empty for NULL."""
+    return F.expr(_findings(text, pattern))
+
+
+def _findings(text: str, pattern: str) -> str:
     word = lambda i: f"coalesce(get(words, {i}), '')"
     # words is bound by a one-element array, so the text is split once
     one = (f"struct(c AS text, concat({word('i - 2')}, ' ', {word('i - 1')}, ' ', substring_index({word('i')}, c, 1)) AS before, "
            f"{word('i')} AS word, {word('i + 1')} AS after)")
-    of_word = f"transform(regexp_extract_all(words[i], '{CANDIDATE}', 0), c -> {one})"
-    places = f"filter(sequence(0, size(words) - 1), i -> words[i] RLIKE '{CANDIDATE}')"
-    kind = "array<struct<text:string,before:string,word:string,after:string>>"
+    of_word = f"transform(regexp_extract_all(words[i], '{pattern}', 0), c -> {one})"
+    places = f"filter(sequence(0, size(words) - 1), i -> words[i] RLIKE '{pattern}')"
     found = f"flatten(transform(array(split(`{text}`, '{_sql(WHITE)}')), words -> flatten(transform({places}, i -> {of_word}))))"
-    return F.expr(f"CASE WHEN `{text}` RLIKE '{CANDIDATE}' THEN {found} ELSE CAST(array() AS {kind}) END")
+    return f"CASE WHEN `{text}` RLIKE '{pattern}' THEN {found} ELSE CAST(array() AS {_KIND}) END"
+
+
+def _assigned(text: str) -> str:
+    """Values that a secret word and a sign introduce; the name and the sign are the words before them."""
+    value = f"regexp_replace(m, '^{_sql(_NAME + _SIGN)}', '')"
+    parts = f"transform(regexp_extract_all(`{text}`, '{_sql(ASSIGNED)}', 1), m -> struct(m, {value} AS v))"
+    one = "struct(p.v AS text, left(p.m, length(p.m) - length(p.v)) AS before, p.v AS word, '' AS after)"
+    # what redaction has written is no value
+    return f"transform(filter({parts}, p -> p.v <> '' AND NOT contains('{MASK}', p.v)), p -> {one})"
+
+
+def candidates(text: str) -> Column:
+    """All candidates of the text column: runs, issued runs without a digit, and assigned values that are neither."""
+    runs = f"concat({_findings(text, CANDIDATE)}, {_findings(text, ISSUED)})"
+    more = f"filter({_assigned(text)}, a -> NOT exists(runs, r -> r.text = a.text))"
+    return F.expr(f"CASE WHEN `{text}` IS NULL THEN CAST(array() AS {_KIND}) ELSE flatten(transform(array({runs}), runs -> concat(runs, {more}))) END")
 
 
 def _sql(pattern: str) -> str:
@@ -97,7 +134,7 @@ class Forest:
 def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Forest:
     """Forest from ``text, label`` (1: every candidate in the text is a secret, 0: none is)."""
     known = labelled.select("text", F.col("label").cast("double").alias("label")).dropna()
-    each = known.select("label", F.explode(findings("text")).alias("f"))
+    each = known.select("label", F.explode(candidates("text")).alias("f"))
     table = each.select("label", *(F.expr(f"CAST({sql} AS DOUBLE)").alias(name) for name, sql in FEATURES.items()))
     # one ordered partition of at most ``rows`` rows: the same forest on any cluster
     sample = table.orderBy(F.xxhash64(*FEATURES, "label"), *FEATURES, "label").limit(rows).coalesce(1)
@@ -132,6 +169,9 @@ def examples(spark: SparkSession, per_kind: int = 120) -> DataFrame:
     h = "sha2(concat('seed', id), 256)"
     mixed = f"translate(base64(unhex({h})), '=+/', 'xYz')"
     word = lambda k: f"element_at(split('{' '.join(DICTIONARY)}', ' '), CAST(1 + pmod(xxhash64(id, {k}), {len(DICTIONARY)}) AS INT))"
+    letters = f"translate({mixed}, '0123456789', 'qWzRkTvBnM')"
+    syllables = lambda k: f"translate(substr(conv(substr(sha2(concat({k}, id), 256), 1, 12), 16, 10), 1, 3), '0123456789', 'bdfglmnprt')"
+    made = lambda k: f"concat(substr({syllables(k)}, 1, 1), substr('aeiou', 1 + pmod(xxhash64(id, {k}), 5), 1), substr({syllables(k)}, 2, 1), substr('eaoui', 1 + pmod(xxhash64({k}, id), 5), 1), substr({syllables(k)}, 3, 1))"
     camel = f"concat({word(1)}, initcap({word(2)}), initcap({word(3)}), initcap({word(4)}), id % 97)"
     prose = f"concat({word(5)}, ' ', {word(6)}, ' ')"
     kinds = [
@@ -139,6 +179,20 @@ def examples(spark: SparkSession, per_kind: int = 120) -> DataFrame:
         (1, f"concat({prose}, 'password=', substr({h}, 1, 18), ' ', {word(7)})"), (1, f"concat('api_key: ', substr({mixed}, 1, 32))"),
         (1, f"concat('Authorization: Bearer ', substr({mixed}, 1, 40))"), (1, f"concat('ghp_', substr({mixed}, 1, 36))"),
         (1, f"concat('client_secret = ', substr({mixed}, 1, 24))"),
+        (1, f"concat({prose}, 'AKIA', upper(substr({letters}, 1, 16)), ' ', {word(7)})"), (1, f"concat('api_key=', substr({letters}, 1, 16), ' ', {word(7)})"),
+        (1, f"concat('client_secret: \"', substr({letters}, 1, 24), '\"')"), (1, f"concat('password=', initcap({made(1)}), id % 10, {made(2)}, '&', id % 7)"),
+        (1, f"concat('password=', substr({mixed}, 1, 6), '!', substr({mixed}, 7, 4))"), (1, f"concat('db_pass: ', {made(1)}, id % 10, {made(2)}, id % 10)"),
+        (1, f"concat('passwd: ', {made(3)}, id % 1000)"), (1, f"concat('password = \"', concat_ws('-', {made(1)}, {made(2)}, {made(3)}, {made(4)}), '\"')"),
+        (1, f"concat('pwd=\\'', {made(4)}, '#', upper({made(5)}), id % 100, '\\'')"), (1, f"concat('secret_key = \"', substr({mixed}, 1, 10), '%', substr({mixed}, 11, 12), '\"')"),
+        (0, f"concat('password: ', {made(1)}, {word(1)}, ' ', {word(2)})"), (0, f"concat('key: ', {made(1)}, {made(2)}, ' ', {word(2)})"),
+        (0, f"concat('author: ', initcap({made(1)}), {made(2)}, ' ', initcap({made(3)}))"), (0, f"concat('author = \"', initcap({made(4)}), ' ', initcap({made(5)}), '\"')"),
+        (0, f"concat('token = ', {word(1)}, initcap({word(2)}), '()')"), (0, f"concat('password = ${{', upper({word(1)}), '_PASSWORD}}')"),
+        (0, f"concat('password=', repeat(element_at(array('x', '*', '.'), CAST(1 + id % 3 AS INT)), CAST(6 + id % 9 AS INT)))"), (0, f"concat('secret = self.', {word(1)}, '_', {word(2)})"),
+        (0, f"concat('password: ', {made(1)}, 'ed ', {word(2)})"), (0, f"concat('the key: \"', {made(1)}, ' ', {word(2)}, ' ', {made(3)}, ' ', {word(4)}, '\"')"),
+        (0, f"concat('passenger: ', initcap({made(2)}), {made(4)}, ', ', {word(2)})"), (0, f"concat('keywords: ', {word(1)}, {word(2)}, ', ', {made(2)})"),
+        (0, f"concat('login: https://www.example.org/', {word(1)}, '/', {word(2)})"), (0, f"concat('token: process.env.', upper({word(1)}), '_TOKEN')"),
+        (0, f"concat({prose}, 'sk-', {word(1)}, '-', {word(2)}, '-', {word(3)}, '-', {word(4)})"), (0, f"concat('password = \"your-', {word(1)}, '-', {word(2)}, '\"')"),
+        (0, f"concat('password: must ', 'password: contain', {word(1)})"), (0, f"concat('secret: the ', {word(1)}, ' secret = ', {made(1)}, {made(2)}, '.')"),
         (0, f"concat('commit ', substr({h}, 1, 40), ' ', {word(5)})"), (0, f"concat('md5 checksum ', substr({h}, 1, 32))"),
         (0, f"concat('https://www.example.org/', {word(1)}, '/', {word(2)}, '/', substr({h}, 1, 20))"), (0, f"concat('see /usr/lib/', {word(1)}, id % 9, '/', {word(2)}, '/', {word(3)}, '.py')"),
         (0, f"concat({prose}, {camel}, ' ', {word(7)})"), (0, f"concat({prose}, {word(1)}, '_', {word(2)}, '_', {word(3)}, '_', {word(4)}, '_', id % 50)"),
@@ -155,7 +209,7 @@ def examples(spark: SparkSession, per_kind: int = 120) -> DataFrame:
 
 def scan(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, n_candidates, n_secrets, secret_hashes (SHA-256 of each, longest first), redacted_sha256 of the redacted text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("found", findings("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("found", candidates("text"))
     rows = rows.withColumn("secrets", forest.secrets("found"))
     return rows.select(
         "doc_id", F.size("found").alias("n_candidates"), F.size("secrets").alias("n_secrets"),
@@ -170,7 +224,7 @@ def _masked(text: str, secrets: str) -> Column:
 def redact(docs: DataFrame, forest: Forest) -> DataFrame:
     """All rows and columns, with the secrets in ``text`` masked and ``n_chars`` of changed texts counted anew."""
     name = f"secrets_{uuid.uuid4().hex}"
-    rows = docs.withColumn(f"{name}_found", findings("text")).withColumn(name, forest.secrets(f"{name}_found"))
+    rows = docs.withColumn(f"{name}_found", candidates("text")).withColumn(name, forest.secrets(f"{name}_found"))
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
     masked = _masked("text", name)
     by_name = {c: F.col(f"`{c}`") for c in docs.columns}
