@@ -7,7 +7,8 @@ lost executor leaves no half file: a member ends with a zero byte (the high byte
 of 16 MB and more get an empty member behind them), and that byte is written as the line separator.
 
 Reading: members and plain records are checked (gzip checksum, version line, length, end of record, block and payload
-digests). After a failed check the reader searches the next place where a whole valid record begins, goes on there
+digests). After a failed check the reader searches the next place where a whole valid record begins, in the archive and
+in the decompressed content of a member (also of one that is cut or damaged, up to there), goes on there
 and logs the bytes between as a quarantined gap. An archive is read as one row: FILE_RECORDS keeps those written here small.
 
 NULL html is the empty payload, a NULL url leaves the header out, a NULL page_id is written as ``null`` and counts as
@@ -126,31 +127,52 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, headers, block
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member at a position: its end and content."""
+def _member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
+    """The gzip member at a position: its end, its content, and what is wrong; then both reach up to the damage."""
     unzip, parts, read = zlib.decompressobj(31), [], at
     try:
         while not unzip.eof and read < len(data):
             parts.append(unzip.decompress(data[read:read + _STEP]))
             read += _STEP
-    except zlib.error as error:
-        raise Damaged("gzip member") from error
-    if not unzip.eof:
-        raise Damaged("gzip member not ended")
-    return min(read, len(data)) - len(unzip.unused_data), b"".join(parts)
-
-
-def _records_at(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    """All records of the member or plain record at a position."""
-    if data.startswith(_GZIP, at):
-        end, content = _member(data, at)
-        found, inner = [], 0
-        while inner < len(content):
-            inner, headers, block = _plain(content, inner)
-            found.append((headers, block))
-        return end, found
-    end, headers, block = _plain(data, at)
-    return end, [(headers, block)]
+    except zlib.error:
+        return *_before_error(data, at), "gzip member"
+    return min(read, len(data)) - len(unzip.unused_data), b"".join(parts), None if unzip.eof else "gzip member not ended"
+
+
+def _before_error(data: bytes, at: int) -> tuple[int, bytes]:
+    """How far a damaged member can be decompressed, and what it gives: a step with an error is taken again in smaller ones."""
+    unzip, parts, step = zlib.decompressobj(31), [], _STEP
+    while True:
+        before = unzip.copy()
+        try:
+            parts.append(unzip.decompress(data[at:at + step]))
+            at += step
+        except zlib.error:
+            if step == 1:
+                return at, b"".join(parts)
+            unzip, step = before, step // 16
+
+
+def _inside(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
+    """Records and gaps of decompressed content, as salvage gives them, by positions in the content."""
+    at = 0
+    while at < len(content):
+        place, reason = at, None
+        while place < len(content):
+            try:
+                end, headers, block = _plain(content, place)
+                break
+            except Damaged as damage:
+                reason = reason or str(damage)
+                found = content.find(b"WARC/1.", place + 1)
+                place = found if found >= 0 else len(content)
+        if place > at:
+            yield "gap", at, place, reason, b""
+        if place < len(content):
+            yield "record", place, end, headers, block
+            at = end
+        else:
+            return
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -159,29 +181,66 @@ def _next_start(data: bytes, at: int) -> int:
     return min(places, default=len(data))
 
 
+def _found_at(data: bytes, at: int) -> tuple[int, str | None, list[tuple]]:
+    """Where the member or plain record at a position ends, what is wrong with a member, and what it holds.
+
+    Raises Damaged if not one record is valid there.
+    """
+    if not data.startswith(_GZIP, at):
+        end, headers, block = _plain(data, at)
+        return end, None, [("record", at, end, headers, block)]
+    end, content, wrong = _member(data, at)
+    inner = list(_inside(content))
+    if wrong:
+        inner = [_vouched(one, wrong, len(content)) for one in inner]
+    reasons = [head for kind, _, _, head, _ in inner if kind == "gap"]
+    if not any(kind == "record" for kind, *_ in inner) and (wrong or reasons):
+        raise Damaged(wrong or reasons[0])
+    return end, wrong, [(kind, at, end, f"in member at {low}-{high}: {head}" if kind == "gap" else head, block) for kind, low, high, head, block in inner]
+
+
+def _vouched(one: tuple, wrong: str, size: int) -> tuple:
+    """A record of a damaged member, as a gap where it borders on the damage or where no digest shows that it is whole."""
+    kind, low, high, head, _ = one
+    if kind == "record" and high == size:
+        return "gap", low, high, f"{wrong} behind {head['warc-record-id']}", b""
+    if kind == "record" and wrong == "gzip member" and not head.get("warc-block-digest", "").startswith("sha1:"):
+        return "gap", low, high, f"{wrong}, no digest of {head['warc-record-id']}", b""
+    return one
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
-    """('record', start, end, headers, block) and ('gap', start, end, reason, b'') in the order of the archive."""
+    """('record', start, end, headers, block) and ('gap', start, end, reason, b'') in the order of the archive.
+
+    Records and gaps inside a member have the bounds of the member; the reason of such a gap names its place in the
+    content. A cut or damaged member gives the records that are whole in the part before the damage and do not border on it,
+    then a gap from the damage to the next valid place.
+    """
     at = 0
     while at < len(data):
-        try:
-            end, found = _records_at(data, at)
-        except Damaged as damage:
-            place = at
-            while True:
+        place, reason, found = at, "", []
+        while place < len(data):
+            try:
+                end, wrong, found = _found_at(data, place)
+                break
+            except Damaged as damage:
+                reason = reason or str(damage)
                 place = _next_start(data, place + 1)
-                if place >= len(data):
-                    break
+        if place > at:
+            yield "gap", at, place, reason, b""
+        if place >= len(data):
+            return
+        if wrong:  # the rest of the member ends where something valid begins
+            rest, end = end, _next_start(data, place + 1)
+            while end < len(data):
                 try:
-                    end, found = _records_at(data, place)
+                    _found_at(data, end)
                     break
                 except Damaged:
-                    continue
-            yield "gap", at, place, str(damage), b""
-            if place >= len(data):
-                return
-            at = place
-        for headers, block in found:
-            yield "record", at, end, headers, block
+                    end = _next_start(data, end + 1)
+            rest = min(rest, end)
+            found = [(kind, start, rest, head, block) for kind, start, _, head, block in found] + [("gap", rest, end, wrong, b"")]
+        yield from found
         at = end
 
 

@@ -90,3 +90,34 @@ def test_gaps_are_logged_by_the_reader(spark, tmp_path):
 
 def test_empty_table(odd_pages):
     assert warc.round_trip(odd_pages.limit(0)).count() == 0
+
+
+def test_one_damaged_record_of_a_member_costs_only_itself():
+    parts = archive(False)
+    for hit in (0, 5, 11):
+        bad = [p if i != hit else p.replace(b"Content-Length: ", b"Content-Length; ") for i, p in enumerate(parts)]
+        found = list(warc.salvage(warc.member(b"".join(bad)) + warc.member(parts[3])))
+        assert ids(found) == [i for i in range(12) if i != hit] + [3]
+        gaps = [head for kind, _, _, head, _ in found if kind == "gap"]
+        low = sum(map(len, bad[:hit]))
+        assert gaps == [f"in member at {low}-{low + len(bad[hit])}: header line"]
+
+
+def test_cut_and_damaged_members_give_the_records_before():
+    parts = archive(False)
+    whole = warc.member(b"".join(parts))
+    for cut in (0.3, 0.6, 0.99):
+        data = whole[:int(len(whole) * cut)]
+        for more in (b"", warc.member(parts[3])):
+            found = list(warc.salvage(data + more))
+            inner = ids(found)[:-1] if more else ids(found)
+            assert inner == list(range(len(inner))) and len(inner) >= int(12 * cut) - 3 and len(inner) > 0
+            assert not more or ids(found)[-1] == 3
+            assert any(kind == "gap" and end == len(data) for kind, _, end, _, _ in found)
+    data = bytearray(whole)
+    data[-6] ^= 1  # the checksum: every record but the one beside it is shown whole by its own digest
+    found = list(warc.salvage(bytes(data)))
+    assert ids(found) == list(range(11)) and any(kind == "gap" and "urn:page:11" in head for kind, _, _, head, _ in found)
+    data = bytearray(whole)
+    data[len(data) // 2] ^= 16
+    assert 3 <= len(ids(warc.salvage(bytes(data)))) < 12 and set(ids(warc.salvage(bytes(data)))) >= set(range(4))
