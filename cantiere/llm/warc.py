@@ -30,6 +30,8 @@ from cantiere.session import scratch_dir
 
 LEAST_REVISIT = 1000
 FILE_RECORDS = 1000
+#: Names of archives: those written here, and WARC files of others.
+FILES = "{part-*,*.warc,*.warc.gz}"
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,6 +58,21 @@ def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _agrees(header: str, data: bytes) -> bool | None:
+    """Whether data has the digest of a header (hex or base32); None where algorithm or encoding is unknown."""
+    algorithm, _, value = header.strip().partition(":")
+    name = algorithm.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    digest = hashlib.new(name, data).digest()
+    if len(value) == 2 * len(digest) and re.fullmatch("[0-9A-Fa-f]+", value):
+        return value.lower() == digest.hex()
+    code = base64.b32encode(digest).decode().rstrip("=")
+    if len(value.rstrip("=")) == len(code) and re.fullmatch("[A-Za-z2-7]+=*", value):
+        return value.upper().rstrip("=") == code
+    return None
+
+
 def _name(page_id) -> str:
     return f"<{URN}{'null' if pd.isna(page_id) else int(page_id)}>"
 
@@ -122,7 +139,7 @@ def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     block = data[start:end]
     if data[end:end + 4] != b"\r\n\r\n":
         raise Damaged("record not ended")
-    if headers.get("warc-block-digest", "").startswith("sha1:") and headers["warc-block-digest"] != _digest(block):
+    if _agrees(headers.get("warc-block-digest", ""), block) is False:
         raise Damaged("block digest")
     return end + 4, headers, block
 
@@ -201,10 +218,10 @@ def _found_at(data: bytes, at: int) -> tuple[int, str | None, list[tuple]]:
 
 def _vouched(one: tuple, wrong: str, size: int) -> tuple:
     """A record of a damaged member, as a gap where it borders on the damage or where no digest shows that it is whole."""
-    kind, low, high, head, _ = one
+    kind, low, high, head, block = one
     if kind == "record" and high == size:
         return "gap", low, high, f"{wrong} behind {head['warc-record-id']}", b""
-    if kind == "record" and wrong == "gzip member" and not head.get("warc-block-digest", "").startswith("sha1:"):
+    if kind == "record" and wrong == "gzip member" and not _agrees(head.get("warc-block-digest", ""), block):
         return "gap", low, high, f"{wrong}, no digest of {head['warc-record-id']}", b""
     return one
 
@@ -253,8 +270,20 @@ def _page(name: str | None) -> int | None:
     return int(number) if re.fullmatch("-?[0-9]+", number) else None
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Rows of ROW: records (kind ``record``) and quarantined gaps (kind ``gap``) of all archives below the path."""
+def _sha1_hex(digest: str) -> str | None:
+    value = digest.strip()[5:] if digest.strip().lower().startswith("sha1:") else ""
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True, files: str = FILES) -> DataFrame:
+    """Rows of ROW: records (kind ``record``) and quarantined gaps (kind ``gap``) of all archives below the path.
+
+    ``files`` is the pattern of the archives' names; folders below the path are read as well. A digest of another
+    algorithm or encoding than those of ``_agrees`` is not checked; ``payload_digest`` is always the SHA-1 of the payload (of a
+    revisit record the one in its header, NULL if that is no SHA-1).
+    """
     def parse(file: str, data: bytes) -> Iterator[tuple]:
         for kind, start, end, head, block in salvage(data):
             if kind == "gap":
@@ -267,10 +296,10 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 size, digest, payload = int(length[1]) if length else None, head.get("warc-payload-digest", ""), None
             else:
                 size, digest = len(payload), _digest(payload)
-                if head.get("warc-payload-digest", digest) != digest:
+                if _agrees(head.get("warc-payload-digest", ""), payload) is False:
                     yield (file, "gap", start, end, "payload digest", None, None, None, None, None, None, None)
                     continue
-            code = base64.b32decode(digest.removeprefix("sha1:")).hex() if re.fullmatch("sha1:[A-Z2-7]{32}", digest) else None
+            code = _sha1_hex(digest)
             yield (file, kind, start, end, None, _page(head.get("warc-record-id")), head.get("warc-target-uri"), record_type,
                    _page(head.get("warc-refers-to")), size, code, payload if payloads else None)
 
@@ -288,8 +317,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield _frame(rows, names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInPandas(run, ROW)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", True).load(path)
+    return found.select("path", "content").mapInPandas(run, ROW)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

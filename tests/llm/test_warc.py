@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import random
@@ -121,3 +122,31 @@ def test_cut_and_damaged_members_give_the_records_before():
     data = bytearray(whole)
     data[len(data) // 2] ^= 16
     assert 3 <= len(ids(warc.salvage(bytes(data)))) < 12 and set(ids(warc.salvage(bytes(data)))) >= set(range(4))
+
+
+def with_digests(plain, block_digest, payload_digest):
+    head, _, rest = plain.partition(b"\r\n\r\n")
+    lines = [line for line in head.split(b"\r\n") if b"-Digest:" not in line]
+    return b"\r\n".join([*lines, b"WARC-Block-Digest: " + block_digest, b"WARC-Payload-Digest: " + payload_digest]) + b"\r\n\r\n" + rest
+
+
+def test_digests_of_other_algorithms_and_names_of_archives(spark, tmp_path):
+    payload = b"<p>some page</p>"
+    plain = warc.record(1, "u", payload, "response", None)
+    block = plain.partition(b"\r\n\r\n")[2][:-4]
+    good = [(f"{name}:{code(hashlib.new(name, block).digest())}".encode(), f"{name}:{code(hashlib.new(name, payload).digest())}".encode())
+            for name in ("sha1", "sha256", "md5") for code in (bytes.hex, lambda d: d.hex().upper(), lambda d: base64.b32encode(d).decode(), lambda d: base64.b32encode(d).decode().lower())]
+    good += [(b"blake9:abc", b"xyz"), (b"sha1:short", b"sha256:?")]
+    bad = [(b"sha1:" + b"0" * 40, good[0][1]), (good[0][0], b"sha256:" + b"0" * 64), (good[0][0], b"md5:" + b"a" * 32)]
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "a.warc.gz").write_bytes(b"".join(warc.member(with_digests(plain, *d)) for d in good))
+    (tmp_path / "b.warc").write_bytes(b"".join(with_digests(plain, *d) for d in bad))
+    (tmp_path / "part-1.x").write_bytes(warc.member(plain))
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    rows = warc.read(spark, str(tmp_path)).collect()
+    kinds = [(r.file.rsplit("/", 1)[1], r.kind) for r in rows]
+    assert kinds.count(("a.warc.gz", "record")) == len(good) and ("a.warc.gz", "gap") not in kinds
+    assert ("b.warc", "record") not in kinds and ("b.warc", "gap") in kinds
+    assert kinds.count(("part-1.x", "record")) == 1 and "notes.txt" not in dict(kinds)
+    assert {r.payload_digest for r in rows if r.kind == "record"} == {hashlib.sha1(payload).hexdigest()}
+    assert {r.file.rsplit("/", 1)[1] for r in warc.read(spark, str(tmp_path), files="*.warc").collect()} == {"b.warc"}
