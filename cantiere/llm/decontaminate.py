@@ -113,18 +113,18 @@ class Items:
             maybe[(key >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((key[order], number[order], offset[order], maybe))
 
-    def hits(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item number, start of the whole item in ``flat``) of all windows with an equal key."""
-        found = [np.empty((0, 2), np.int64)]
+    def hits(self, flat: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (item number, start of the whole item in ``flat``, text of the window) of all windows with an equal key."""
+        found = [np.empty((0, 3), np.int64)]
         for key, (sorted_keys, number, offset, maybe) in zip(keys(flat, at), self.tables):
             some = np.flatnonzero(maybe[(key >> np.uint64(44)).astype(np.int64)])
             low, high = (np.searchsorted(sorted_keys, key[some], side) for side in ("left", "right"))
             count = high - low
             source = np.repeat(np.arange(len(some)), count)
             entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[source]
-            found.append(np.column_stack([number[entry], at[some[source]] - offset[entry]]))
+            found.append(np.column_stack([number[entry], at[some[source]] - offset[entry], row[some[source]]]))
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 
     def search(self, texts: list[str]) -> list[tuple[int, object, int, int, int]]:
         """(row, item_id, distance, words of the item, first word after the stretch) of each item found in each text."""
@@ -133,13 +133,13 @@ class Items:
         words, sizes = word_hashes(folded(texts))
         flat, starts = padded(words, sizes)
         ends = starts + sizes
-        at = np.arange(len(words)) + np.repeat(np.arange(len(sizes)) * STEPS, sizes)
-        number, begin = self.hits(flat, at)
-        row = np.searchsorted(starts, np.maximum(begin, 0), "right") - 1
-        # a start computed before its text belongs to the text of the window; the slack below covers it
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(words)) + owner * STEPS
+        number, begin, row = self.hits(flat, at, owner)
+        begin = np.maximum(begin, starts[row])  # an item may lack its first words where a text begins
         best: dict[tuple[int, int], tuple[int, int]] = {}
         reach = (-1, -1, -1)  # row, item and end of the stretch of starts already searched
-        for r, k, b in sorted(self._owners(number, begin, row, starts, ends)):
+        for r, k, b in sorted(zip(row.tolist(), number.tolist(), begin.tolist())):
             item = self.words[k]
             slack = int(MAX_EDITS * len(item))
             if (r, k) == reach[:2] and b <= reach[2]:
@@ -154,14 +154,6 @@ class Items:
                     best[r, k] = (distance, low - int(starts[r]) + end)
         return [(r, self.ids[k], d, len(self.words[k]), end) for (r, k), (d, end) in best.items()]
 
-    @staticmethod
-    def _owners(number, begin, row, starts, ends):
-        """Each hit with the text it belongs to: a start may fall into the padding before its text."""
-        for k, b, r in zip(number.tolist(), begin.tolist(), row.tolist()):
-            if b >= ends[r] and r + 1 < len(starts):
-                r += 1
-            yield r, k, max(b, int(starts[r]))
-
 
 def item_groups(items: DataFrame) -> Iterator[Items]:
     """The items in groups of bounded size; nearly always one."""

@@ -124,3 +124,12 @@ def test_items_in_documents_equal_brute_force_without_case(spark):
                     want.add((r.doc_id, item_id, d))
     assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminations(docs, given).collect()} == want
     assert {(1699, 130, 0), (6420, 37, 0)} <= want
+
+
+def test_item_without_its_first_words_at_the_start_of_a_later_text():
+    item = [f"i{k}" for k in range(100)]
+    items = decontaminate.Items([1], [" ".join(item)])
+    text = " ".join(item[18:])
+    other = " ".join(f"o{k}" for k in range(300))
+    for texts in ([text], [other, text], [other, "", text, other], [text, text]):
+        assert {(h[0], h[2]) for h in items.search(texts)} == {(i, 18) for i, t in enumerate(texts) if t == text}
