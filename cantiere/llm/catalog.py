@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, chat, decontaminate, jaccard, language, quality, secrets, token_files, toxicity, warc
+from cantiere.llm import byte_bpe, chat, decontaminate, jaccard, language, quality, runs, secrets, token_files, toxicity, warc
 from cantiere.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_warc_salvage(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.digests(table(spark, sf, "documents"))
+
+
 ENTRIES = {
     "op1_perspective_rotation": (op1_perspective_rotation, chat.ROTATE_SQL),
     "op2_quality_rules": (op2_quality_rules, None),
@@ -61,4 +65,5 @@ ENTRIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_jaccard_join": (op9_jaccard_join, jaccard.COMPONENTS_SQL),
     "op10_warc_salvage": (op10_warc_salvage, warc.ROUND_TRIP_SQL),
+    "op12_periodic_runs": (op12_periodic_runs, None),
 }

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cantiere.session import scratch_dir
@@ -67,6 +68,17 @@ def blocks(batches: Iterator[pd.DataFrame], text: str, limit: int = BLOCK_CHARS)
     release_memory()
 
 
+def arrow_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows with about ``limit`` bytes of text (one row at least)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def split_sizes(lists: list[list]) -> np.ndarray:
     return np.fromiter(map(len, lists), np.int64, len(lists))
 
