@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, chat, decontaminate, jaccard, language, quality, runs, secrets, token_files, toxicity, warc
+from cantiere.llm import byte_bpe, chat, decontaminate, jaccard, language, packing, quality, runs, secrets, token_files, toxicity, warc
 from cantiere.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.digests(table(spark, sf, "documents"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 ENTRIES = {
     "op1_perspective_rotation": (op1_perspective_rotation, chat.ROTATE_SQL),
     "op2_quality_rules": (op2_quality_rules, None),
@@ -66,4 +70,5 @@ ENTRIES = {
     "op9_jaccard_join": (op9_jaccard_join, jaccard.COMPONENTS_SQL),
     "op10_warc_salvage": (op10_warc_salvage, warc.ROUND_TRIP_SQL),
     "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_best_fit_packing": (op13_best_fit_packing, None),
 }
