@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cantiere.llm import byte_bpe, chat, decontaminate, jaccard, language, packing, quality, runs, secrets, token_files, toxicity, warc
+from cantiere.llm import byte_bpe, chat, decontaminate, jaccard, language, packing, prefix_trie, quality, runs, secrets, token_files, toxicity, warc
 from cantiere.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_warc_salvage(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.digests(table(spark, sf, "documents"))
 
@@ -69,6 +73,7 @@ ENTRIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_jaccard_join": (op9_jaccard_join, jaccard.COMPONENTS_SQL),
     "op10_warc_salvage": (op10_warc_salvage, warc.ROUND_TRIP_SQL),
+    "op11_prefix_trie": (op11_prefix_trie, prefix_trie.NODES_SQL),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_best_fit_packing": (op13_best_fit_packing, None),
 }
