@@ -140,13 +140,16 @@ def _json_bytes() -> str:
     return " + ".join(out) + " + 1 + 2"
 
 
-_PARTS = f"""{S.PROJECTS},\n{S.BRANCH_MAP},\n{S.ASSIGNED},\n{S.COMMERCIAL},
+_PARTS = f"""RECURSIVE {S.PROJECTS},\n{S.BRANCH_MAP},\n{S.ASSIGNED},\n{S.COMMERCIAL},
 whole AS (SELECT a.*, c.phase, c.value_band, c.commercial_score, 1 AS band_order FROM assigned a JOIN commercial c USING (cup)),
 listed AS (SELECT w.*, unnest(CASE WHEN branch = 'AMBIGUA' THEN list_concat(['AMBIGUA'], string_split(branch_candidates, ' | ')) ELSE [branch] END) AS listed_branch FROM whole w),
 sized AS (SELECT listed_branch, cup, commercial_score, value_eur, {_json_bytes()} AS row_bytes FROM listed),
-placed AS (SELECT *, coalesce(sum(row_bytes) OVER (PARTITION BY listed_branch ORDER BY commercial_score DESC, value_eur DESC, cup
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, 200000 - max(row_bytes) OVER (PARTITION BY listed_branch) AS usable FROM sized),
-parts AS (SELECT listed_branch, cup, row_bytes, CAST(floor(start / usable) AS INTEGER) + 1 AS part FROM placed),
+placed AS (SELECT *, CAST(sum(row_bytes) OVER (PARTITION BY listed_branch ORDER BY commercial_score DESC, value_eur DESC, cup) AS BIGINT) - row_bytes AS start FROM sized),
+walk AS (SELECT listed_branch, CAST(0 AS BIGINT) AS start FROM placed GROUP BY listed_branch
+  UNION ALL SELECT w.listed_branch, min(p.start) FROM walk w JOIN placed p ON p.listed_branch = w.listed_branch AND p.start > w.start
+    AND p.start + p.row_bytes - w.start > 200000 GROUP BY w.listed_branch, w.start),
+parts AS (SELECT p.listed_branch, p.cup, p.row_bytes, count(*) AS part FROM placed p JOIN walk w ON w.listed_branch = p.listed_branch AND w.start <= p.start
+    GROUP BY p.listed_branch, p.cup, p.row_bytes),
 sizes AS (SELECT listed_branch, replace(listed_branch, ' ', '_') AS slug, part, count(*) AS count, CAST(sum(row_bytes) AS BIGINT) AS size_bytes FROM parts GROUP BY ALL)"""
 
 # -- register ----------------------------------------------------------------

@@ -225,27 +225,37 @@ def test_delta_and_upsert(spark):
     assert partial.filter("not is_active").count() == 0
 
 
-def cut(sizes, limit):
-    """Reference packing: the part in which a record starts, parts being limit - largest long."""
-    usable, start, parts = max(limit - max(sizes), 1), 0, []
-    for s in sizes:
-        parts.append(start // usable + 1)
-        start += s
+def walked(sizes, limit):
+    """Next fit by a sequential walk."""
+    parts, part, filled = [], 1, 0
+    for i, size in enumerate(sizes):
+        if i and filled + size > limit:
+            part, filled = part + 1, 0
+        filled += size
+        parts.append(part)
     return parts
 
 
-def test_pack_parts_is_one_rule_for_all_sizes(spark):
+@pytest.mark.parametrize("block", [3, 64, shards.BLOCK_ROWS])
+def test_pack_parts_equals_a_walk(spark, block):
     rnd = random.Random(7)
-    data = ([("B1", i, rnd.randint(0, 5), rnd.choice([3, 9, 40])) for i in range(1200)] + [("B2", i, 1, 50) for i in range(1200, 1204)]
-            + [("B3", i, 1, 120) for i in range(1204, 1206)])
+    data = [("B1", i, rnd.randint(0, 5), rnd.choice([3, 9, 40])) for i in range(400)]
+    data += [("B2", i, 1, 50) for i in range(400, 404)] + [("B3", i, 1, 120) for i in range(404, 406)] + [("B4", 406, 1, 1), (None, 407, 1, 7), (None, 408, 1, 99)]
+    data += [("B5", i, 1, 1) for i in range(500, 800)] + [("B6", i, i % 7, rnd.randint(1, 150)) for i in range(800, 1000)]
     df = spark.createDataFrame(data, "listed_branch string, id int, s int, row_bytes int").repartition(5)
-    got = {r["id"]: r["part"] for r in shards.pack_parts(df, [("s", True)], "id", 100).collect()}
+    got = {r["id"]: r["part"] for r in shards.pack_parts(df, [("s", True)], "id", 100, block=block).collect()}
     assert len(got) == len(data)
-    for b in ("B1", "B2", "B3"):
+    for b in {d[0] for d in data}:
         order = sorted((d for d in data if d[0] == b), key=lambda d: (-d[2], d[1]))
-        assert [got[d[1]] for d in order] == cut([d[3] for d in order], 100)
-        if b != "B3":
-            assert all(sum(d[3] for d in order if got[d[1]] == p) <= 100 for p in set(got[d[1]] for d in order))
+        assert [got[d[1]] for d in order] == walked([d[3] for d in order], 100)
+
+
+@pytest.mark.parametrize("unit, cap, more, parts", [(10, 100, [], 50), (10, 100, [90], 51), (10, 100, [150], 51), (5 << 20, 90 << 20, [200 << 20], 29)])
+def test_one_large_record_leaves_the_other_parts_full(spark, unit, cap, more, parts):
+    sizes = [unit] * 500 + more
+    df = spark.createDataFrame([("B", i, n) for i, n in enumerate(sizes)], "listed_branch string, id int, row_bytes long")
+    got = [r["part"] for r in shards.pack_parts(df, [], "id", cap, block=128).orderBy("id").collect()]
+    assert got == walked(sizes, cap) and max(got) == parts
 
 
 def test_json_flatten_depth(spark):
