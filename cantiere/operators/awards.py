@@ -11,6 +11,7 @@ from cantiere.functions import domain as D
 from cantiere.functions import presets as P
 from cantiere.functions.text import blank_to_null
 from cantiere.functions.values import has_text, pipe_text
+from cantiere.operators import sets
 from cantiere.operators.dedupe import top_per_key
 from cantiere.operators.scale import LIST_LIMIT, lists_per_key
 
@@ -40,11 +41,11 @@ def with_ratio(df: DataFrame, window: tuple[float, float] = P.RATIO_WINDOW) -> D
 
 
 def consolidate(rows: DataFrame, position: Sequence[Column], min_award: float = P.MIN_AWARD,
-                window: tuple[float, float] = P.RATIO_WINDOW) -> DataFrame:
-    """One row per (project, tender): attributes of the first row, all distinct contractors.
+                window: tuple[float, float] = P.RATIO_WINDOW) -> tuple[DataFrame, DataFrame]:
+    """One row per (project, tender) with the attributes of its first row, and the members of the contractor sets.
 
-    ``contractors`` is an array of (name, tax, role); use :func:`award_texts` for the
-    text columns.  Both aggregates combine map-side, so a task meets distinct contractors only.
+    A row carries ``contractor_set`` (an id, NULL without contractors) and ``contractors_count``; each distinct set
+    of (name, tax, role) is stored once, as rows ``(set_id, item)``.  Use :func:`award_texts` for the text columns.
     """
     from cantiere.operators.link import contractor_of
 
@@ -52,17 +53,28 @@ def consolidate(rows: DataFrame, position: Sequence[Column], min_award: float =
     first = top_per_key(valid, ["cup", "cig"], position).drop(
         "contractor_name", "contractor_tax_code", "contractor_vat", "contractor_role"
     )
-    lists = valid.withColumn("_who", contractor_of()).groupBy("cup", "cig").agg(F.array_sort(F.collect_set("_who")).alias("contractors"))
-    return with_ratio(first.join(lists, ["cup", "cig"], "left"), window)
+    ids, members = sets.intern(valid, ["cup", "cig"], contractor_of())
+    return with_ratio(with_set(first, ids, ["cup", "cig"]), window), members
 
 
-def award_texts(df: DataFrame) -> DataFrame:
-    """Contractor labels and sorted distinct tax codes as pipe lists."""
-    taxes = F.array_sort(F.array_distinct(F.array_compact(F.transform("contractors", lambda c: c["tax"]))))
-    return df.withColumns({
-        "contractors": pipe_text(F.transform("contractors", contractor_label)),
-        "contractor_tax_codes": pipe_text(taxes),
-    })
+def with_set(df: DataFrame, ids: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Attach id and size of each key's contractor set."""
+    named = ids.select(*keys, F.col("set_id").alias("contractor_set"), F.col("n_items").alias("contractors_count"))
+    return df.join(named, list(keys), how).withColumn("contractors_count", F.coalesce("contractors_count", F.lit(0).cast("long")))
+
+
+def set_texts(members: DataFrame, limit: int = sets.SET_LIMIT) -> DataFrame:
+    """Per set and ``part``: contractor labels and sorted distinct tax codes as pipe lists."""
+    taxes = F.array_sort(F.array_distinct(F.array_compact(F.transform("who", lambda c: c["tax"]))))
+    return sets.lists(members, "who", limit).select(
+        F.col("set_id").alias("contractor_set"), "part", pipe_text(F.transform("who", contractor_label)).alias("contractors"),
+        pipe_text(taxes).alias("contractor_tax_codes"))
+
+
+def award_texts(df: DataFrame, members: DataFrame, limit: int = sets.SET_LIMIT) -> DataFrame:
+    """Contractor labels and tax codes of each row as pipe lists; a set above ``limit`` fills several rows (``part``)."""
+    texts = df.join(set_texts(members, limit), "contractor_set", "left")
+    return texts.withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 def relevant(consolidated: DataFrame, ordered: bool = False) -> DataFrame:
@@ -92,11 +104,11 @@ def raw_master(award_rows: DataFrame, register_rows: DataFrame) -> DataFrame:
     return tag(award_rows, True).unionByName(tag(bare, False), allowMissingColumns=True)
 
 
-def group_projects(raw: DataFrame, base_columns: Sequence[str]) -> DataFrame:
+def group_projects(raw: DataFrame, base_columns: Sequence[str], members: DataFrame) -> DataFrame:
     """Project master: one row per project with its counts, sums and contractor summary.
 
     ``raw`` has ``cup, id, value_eur, has_award, cig, award_date, award_amount_eur`` and
-    ``contractors`` (array of structs).  The base row is the one with the largest value, then the
+    ``contractor_set`` (an id; ``members`` has the items).  The base row is the one with the largest value, then the
     smallest tender.  Everything is an aggregate that combines map-side; the awards
     themselves stay in a table of their own (:func:`award_lists`), see :func:`nested`.
     """
@@ -110,11 +122,12 @@ def group_projects(raw: DataFrame, base_columns: Sequence[str]) -> DataFrame:
         F.sum(of_award(F.col("award_amount_eur").cast("decimal(18,2)"))).cast("double").alias("awards_total_eur"),
         F.max(of_award(F.col("award_date"))).alias("last_award_date"),
     )
-    # distinct names first, so a project with very many awards is combined before it meets one task
+    # distinct sets, then distinct names, so a project with very many awards is combined before it meets one task
+    labels = members.select(F.col("set_id").alias("contractor_set"), contractor_label(F.col("item")).alias("who"))
     names = (
-        keyed.filter("has_award")
-        .select("project_key", "award_date", "cig", F.explode(F.transform("contractors", contractor_label)).alias("who"))
-        .groupBy("project_key", "who").agg(F.min(F.struct("award_date", "cig", "who")).alias("_at"))
+        keyed.filter("has_award").groupBy("project_key", "contractor_set").agg(F.min(F.struct("award_date", "cig")).alias("_when"))
+        .join(labels, "contractor_set")
+        .groupBy("project_key", "who").agg(F.min(F.struct("_when.award_date", "_when.cig", "who")).alias("_at"))
         .groupBy("project_key").agg(F.count(F.lit(1)).alias("contractors_count"), F.min("_at").alias("_first"))
     )
     more = F.col("contractors_count") - 1
@@ -139,10 +152,10 @@ def nested(master: DataFrame, raw: DataFrame, limit: int = LIST_LIMIT) -> DataFr
 
 
 def award_lists(awarded: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Awards per project as sorted arrays in bounded parts (by date, then tender)."""
+    """Awards per project as sorted arrays in bounded parts (by date, then tender); contractors by the id of their set."""
     entry = F.struct(
         "award_date", "cig", "award_amount_eur", "award_share_pct", "award_weight", "ratio_note", "award_result",
-        "contractors",
+        "contractor_set", "contractors_count",
     )
     return lists_per_key(awarded, ["project_key"], entry, "awards", limit)
 

@@ -11,6 +11,7 @@ from cantiere.functions import domain as D
 from cantiere.functions import presets as P
 from cantiere.functions.text import blank_to_null, find_column, first_alias
 from cantiere.functions.values import has_text, parse_date, percentage, pipe_list, pipe_text
+from cantiere.operators import sets
 from cantiere.operators.dedupe import top_per_key
 from cantiere.operators.scale import LIST_LIMIT, lists_per_key
 
@@ -166,14 +167,10 @@ def contractor_profile(contractors: DataFrame, limit: int = 1_000) -> DataFrame:
     return lists_per_key(named, ["cig"], contractor_of(), "contractors", limit).withColumnRenamed("n_items", "n_contractors")
 
 
-def contractor_lists(contractors: DataFrame) -> DataFrame:
-    """Per tender: the whole distinct contractor list in one cell, for tables that nest it.
-
-    Repeated rows are combined map-side, so a task holds distinct contractors of a tender only.
-    """
+def contractor_sets(contractors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per tender: the id and size of its set of distinct contractors; and the members of each distinct set, once."""
     named = contractors.filter(has_text(F.col("cig"))).withColumn("contractor_name", blank_to_null(F.col("contractor_name")))
-    return named.withColumn("_who", contractor_of()).filter("_who IS NOT NULL").groupBy("cig").agg(
-        F.array_sort(F.collect_set("_who")).alias("contractors"))
+    return sets.intern(named, ["cig"], contractor_of())
 
 
 def contractors_by_project(profile: DataFrame, links: DataFrame, meta: DataFrame) -> DataFrame:

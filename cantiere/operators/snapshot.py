@@ -64,7 +64,7 @@ def active_by_source(snapshot: DataFrame) -> DataFrame:
 
 def signature(df: DataFrame, has_contractor: Column, fields: Sequence[str] = P.SIGNATURE_FIELDS,
               awards: str | None = "awards",
-              award_fields: Sequence[str] = ("cig", "contractors", "contractor_tax_codes", "award_date", "award_result", "award_amount_eur")) -> Column:
+              award_fields: Sequence[str] = ("cig", "contractor_set", "contractors", "contractor_tax_codes", "award_date", "award_result", "award_amount_eur")) -> Column:
     """SHA-1 over the compared fields, the contractor flag and the awards in fixed order."""
     text = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit(""))
     parts = [text(F.col(c)).alias(c) for c in fields if c in df.columns]

@@ -132,6 +132,12 @@ def contractors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def published_contractors(spark: SparkSession, sf: str) -> DataFrame:
+    """Contractor rows as published: those of every fifth supplier have no name."""
+    named = F.col("contractor_tax_code").cast("long") % 5 != 0
+    return contractors(spark, sf).withColumn("contractor_name", F.when(named, F.col("contractor_name")))
+
+
 def awards(spark: SparkSession, sf: str, with_contractor: bool = True) -> DataFrame:
     """Award rows with project, tender, outcome and contractor."""
     li = table(spark, sf, "lineitem")
@@ -158,6 +164,11 @@ def award_position() -> list:
 
 def consolidated(spark: SparkSession, sf: str) -> DataFrame:
     """Awards consolidated per project and tender, with project value and ratio."""
+    return consolidated_sets(spark, sf)[0]
+
+
+def consolidated_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The consolidated awards, and the members of their contractor sets."""
     from cantiere.operators.awards import consolidate
 
     value = table(spark, sf, "orders").select(cup_of("o_orderkey").alias("cup"), F.col("o_totalprice").alias("value_eur"))

@@ -158,7 +158,8 @@ listed AS (SELECT a.*, unnest(CASE WHEN branch = 'AMBIGUA' THEN list_concat(['AM
 def _kpi_rows(spark, sf) -> DataFrame:
     """Assigned projects with segment and the contractor flag from nested awards."""
     p = B.segmented(B.assigned(spark, sf))
-    names = B.awards(spark, sf, with_contractor=False).filter(F.col("contractor_role") == "R").select("cup").distinct()
+    named = F.col("contractor_tax_code").cast("long") % 5 != 0  # as in B.published_contractors
+    names = B.awards(spark, sf, with_contractor=False).filter(named).select("cup").distinct()
     nested = F.when(F.col("_has"), F.array(F.struct(F.lit(" ").alias("contractors"), F.lit("7").alias("contractor_tax_codes"))))
     joined = p.join(names.withColumn("_has", F.lit(True)), "cup", "left").withColumn("awards", nested)
     present = D.contractor_present([F.when(F.col("year") >= 2001, F.col("client"))], F.col("awards"))
@@ -166,7 +167,7 @@ def _kpi_rows(spark, sf) -> DataFrame:
 
 
 _KPI = f"""{_FANOUT},
-kpi AS (SELECT l.*, year >= 2001 OR cup IN (SELECT {S.CUP.format('l_orderkey')} FROM lineitem WHERE l_returnflag = 'R') AS has_contractor FROM listed l),
+kpi AS (SELECT l.*, year >= 2001 OR cup IN (SELECT {S.CUP.format('l_orderkey')} FROM lineitem WHERE l_suppkey % 5 <> 0) AS has_contractor FROM listed l),
 kpi_unique AS (SELECT DISTINCT ON (cup) * FROM kpi)"""
 _KPI_COLUMNS = """count(*) AS count, count(*) FILTER (has_contractor) AS with_contractor, count(*) FILTER (NOT has_contractor) AS without_contractor,
   100.0 * count(*) FILTER (has_contractor) / count(*) AS coverage_pct, CAST(sum(CAST(value_eur AS DECIMAL(18,2))) AS DOUBLE) AS total_value_eur,

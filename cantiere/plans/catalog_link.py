@@ -274,15 +274,24 @@ _CONSOLIDATED = f"WITH {S.AWARDS},\n{S.CONSOLIDATED}\n"
 
 
 def award_consolidation(spark, sf) -> DataFrame:
-    return A.award_texts(B.consolidated(spark, sf)).select(*_AWARD_COLUMNS)
+    return A.award_texts(*B.consolidated_sets(spark, sf)).select(*_AWARD_COLUMNS)
 
 
 def relevant_awards(spark, sf) -> DataFrame:
-    return A.award_texts(A.relevant(B.consolidated(spark, sf), ordered=True)).select(*_AWARD_COLUMNS)
+    rows, members = B.consolidated_sets(spark, sf)
+    return A.relevant(A.award_texts(A.relevant(rows), members), ordered=True).select(*_AWARD_COLUMNS)
 
 
 def award_anomalies(spark, sf) -> DataFrame:
-    return A.award_texts(A.anomalies(B.consolidated(spark, sf), ordered=True)).select(*_AWARD_COLUMNS)
+    rows, members = B.consolidated_sets(spark, sf)
+    return A.anomalies(A.award_texts(A.anomalies(rows), members), ordered=True).select(*_AWARD_COLUMNS)
+
+
+def contractor_sets(spark, sf) -> DataFrame:
+    """Every distinct contractor set with its size and the number of awards that carry it."""
+    rows, members = B.consolidated_sets(spark, sf)
+    used = rows.groupBy("contractor_set", "contractors_count").agg(F.count(F.lit(1)).alias("n_awards"))
+    return A.award_texts(used, members).select("part", "contractors", "contractor_tax_codes", "contractors_count", "n_awards")
 
 
 # -- evidence ----------------------------------------------------------------
@@ -292,7 +301,7 @@ def _levels(spark, sf) -> DataFrame:
     targets = _targets(spark, sf)
     links = link.link_projects(B.links(spark, sf), targets)
     value = B.projects(spark, sf).select("cup", "value_eur")
-    known = B.contractors(spark, sf).filter(F.col("contractor_role") == "R").select("cig").distinct()
+    known, _ = link.contractor_sets(B.published_contractors(spark, sf))
     enriched = B.awards(spark, sf, with_contractor=False).select("cup", "cig", "award_result", "award_amount_eur")
     enriched = enriched.join(value, "cup").join(targets, "cup", "left_semi").join(known, "cig", "left_semi")
     c = B.consolidated(spark, sf)
@@ -302,7 +311,7 @@ def _levels(spark, sf) -> DataFrame:
 
 _LEVELS = f"""{S.SHORTLISTED},\n{S.LINKS},\n{S.AWARDS},\n{S.CONSOLIDATED},
 e AS (SELECT a.cup, a.cig, a.award_result, a.award_amount_eur AS amount, a.award_amount_eur / s.value_eur AS q
-      FROM awards a JOIN shortlist s USING (cup) WHERE a.cig IN (SELECT {S.CIG.format('l_partkey')} FROM lineitem WHERE l_returnflag = 'R')),
+      FROM awards a JOIN shortlist s USING (cup) WHERE a.cig IN (SELECT {S.CIG.format('l_partkey')} FROM lineitem WHERE l_suppkey % 5 <> 0)),
 ev AS (SELECT cup,
     (SELECT count(DISTINCT cig) FROM links l WHERE l.cup = p.cup AND l.cup IN (SELECT cup FROM shortlist)) AS match_cig_count,
     (SELECT count(DISTINCT cig) FROM e WHERE e.cup = p.cup) AS enriched_cig_count,
@@ -339,12 +348,13 @@ SELECT section, name, count, 100.0 * count / total AS pct FROM n, t"""
 def _master(spark, sf) -> DataFrame:
     p = B.assigned(spark, sf)
     text = ["cup", "title", "category", "region", "province", "municipality", "client", "branch", "branch_candidates", "year", "source_url"]
-    relevant = A.relevant(B.consolidated(spark, sf)).select(
-        "cup", "cig", "value_eur", "award_amount_eur", "award_date", "award_result", "award_share_pct", "award_weight", "ratio_note", "contractors")
+    awards, members = B.consolidated_sets(spark, sf)
+    relevant = A.relevant(awards).select("cup", "cig", "value_eur", "award_amount_eur", "award_date", "award_result", "award_share_pct", "award_weight",
+                                         "ratio_note", "contractor_set", "contractors_count")
     rows = relevant.join(p.select(*text), "cup").withColumn("id", F.concat_ws("::", F.lit("AWARD"), "cup", "cig"))
     register = p.select(*text, "value_eur").withColumn("id", F.concat_ws("::", F.lit("REGISTER"), "cup"))
     raw = B.land(A.raw_master(rows, register), "raw-master")
-    grouped = A.group_projects(raw, [*text, "value_eur", "id", "source"])
+    grouped = A.group_projects(raw, [*text, "value_eur", "id", "source"], members)
     return A.nested(A.with_quality(grouped.withColumn("code_year", F.col("year")), **B.QUALITY), raw)
 
 
@@ -422,6 +432,8 @@ FROM lineitem WHERE l_returnflag <> 'R' AND {S.CUP.format('l_orderkey')} IN (SEL
     "award_outcome_join": (award_outcome_join, OUTCOME_SQL),
     "register_without_awards": (register_without_awards, REGISTER_SQL),
     "award_consolidation": (award_consolidation, _CONSOLIDATED + f"SELECT {', '.join(_AWARD_COLUMNS)} FROM consolidated"),
+    "contractor_sets": (contractor_sets, _CONSOLIDATED + """SELECT 0 AS part, contractors, contractor_tax_codes, coalesce(contractors_count, 0) AS contractors_count,
+  count(*) AS n_awards FROM consolidated GROUP BY ALL"""),
     "relevant_awards": (relevant_awards, _CONSOLIDATED + f"SELECT {', '.join(_AWARD_COLUMNS)} FROM consolidated WHERE ratio_status = 'ok'"),
     "award_anomalies": (award_anomalies, _CONSOLIDATED + f"SELECT {', '.join(_AWARD_COLUMNS)} FROM consolidated WHERE ratio_status <> 'ok'"),
     "evidence_levels": (evidence_levels, f"""WITH {_LEVELS} SELECT cup, match_cig_count, enriched_cig_count, confirmed_awards_count,

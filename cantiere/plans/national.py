@@ -236,20 +236,23 @@ def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
         "award_date": V.parse_date(F.col("award_date"))}).join(tenders, "cig", "left_semi")
     best = link.best_outcome(outcomes, [F.asc("_file"), F.asc("_member"), F.asc("_row")])
 
-    # one row per project and tender; contractor lists are attached per tender, never exploded per pair
+    # one row per project and tender with the id of the tender's contractor set; each distinct set is written once
+    ids, members = link.contractor_sets(people)
+    members = _land(members, f"{out}/contractor_set_members")
+    contractor_sets = _land(A.set_texts(members), f"{out}/contractor_sets")
     value = shortlist.select("cup", "title", "primary_segment", "category", "region", "province", "municipality", "client",
                              "value_eur", "source_url")
-    enriched = links.join(link.contractor_lists(people), "cig").join(best.drop("_file", "_member", "_row"), "cig", "left").join(value, "cup")
+    enriched = A.with_set(links, ids, ["cig"], "inner").join(best.drop("_file", "_member", "_row"), "cig", "left").join(value, "cup")
     enriched = _land(enriched, f"{out}/enriched")
     consolidated = A.with_ratio(A.valid_awards(enriched))
     relevant, anomalies = A.relevant(consolidated), A.anomalies(consolidated)
 
-    master, raw = master_table(shortlist, relevant, inputs, out)
+    master, raw = master_table(shortlist, relevant, members, inputs, out)
     evidence = link.project_evidence(links, enriched, relevant, anomalies)
     levels = link.evidence_level(master, evidence)
     # the awards of a project in bounded parts: one row per project unless it has very many
     final = _land(A.nested(levels, raw), f"{out}/master")
-    return {"projects": projects, "shortlist": shortlist, "links": links, "tender_contractors": profile, "enriched": enriched,
+    return {"projects": projects, "shortlist": shortlist, "links": links, "tender_contractors": profile, "contractor_sets": contractor_sets, "enriched": enriched,
             "relevant": relevant, "anomalies": anomalies, "master": final}
 
 
@@ -257,14 +260,14 @@ BASE = ("cup", "title", "category", "segment", "region", "province", "municipali
         "branch_confidence", "branch_assignment_method", "value_eur", "source_url", "id", "source")
 
 
-def master_table(shortlist: DataFrame, relevant: DataFrame, inputs: Inputs, out: str) -> tuple[DataFrame, DataFrame]:
+def master_table(shortlist: DataFrame, relevant: DataFrame, members: DataFrame, inputs: Inputs, out: str) -> tuple[DataFrame, DataFrame]:
     """Master rows with branch and quality layer, and the landed raw rows with the awards."""
     place = lambda df: geo.assign_branch(df.withColumnRenamed("primary_segment", "segment"), inputs.branch_map,
                                          inputs.branch_position, **inputs.fallbacks)
     award_rows = place(relevant).withColumn("id", F.concat_ws("::", F.lit("AWARD"), "cup", "cig"))
     register_rows = place(shortlist.drop("segment_tags")).withColumn("id", F.concat_ws("::", F.lit("REGISTER"), "cup"))
     raw = _land(A.raw_master(award_rows, register_rows), f"{out}/raw_master")
-    grouped = A.group_projects(raw, BASE)
+    grouped = A.group_projects(raw, BASE, members)
     return A.with_quality(grouped.withColumn("code_year", V.code_year(F.col("cup")))), raw
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantiere.functions import presets as P
 from cantiere.operators import awards as A
-from cantiere.operators import dedupe, geo, jsonflat, link, pages, report, scale, search, shards, snapshot
+from cantiere.operators import dedupe, geo, jsonflat, link, pages, report, scale, search, sets, shards, snapshot
 
 
 def rows(df, *cols):
@@ -32,7 +32,7 @@ def test_large_tenders_and_projects_lose_nothing(spark):
     """A tender with many contractor rows, a project with many awards: a small limit changes the parts only."""
     people = [("T1", f"N{i % 4}", str(i % 4), None, None) for i in range(11)] + [("T2", "N0", "0", None, None)] * 11
     contractors = spark.createDataFrame(people, "cig string, contractor_name string, contractor_tax_code string, contractor_vat string, contractor_role string")
-    whole = {r["cig"]: r["contractors"] for r in link.contractor_lists(contractors).collect()}
+    whole = {r["cig"]: r["contractors"] for r in link.contractor_profile(contractors, 1000).collect()}
     for limit in (3, 1000):
         parts = link.contractor_profile(contractors, limit).collect()
         assert {k: sorted(c for p in parts if p["cig"] == k for c in p["contractors"]) for k in whole} == whole
@@ -41,9 +41,10 @@ def test_large_tenders_and_projects_lose_nothing(spark):
         assert {s["cig_count"] for s in sets} == {5} and len([c for s in sets for c in s["cigs"]]) == 5
     awards = spark.createDataFrame([("P1", f"T{i:02}", 10.0, True, "2020-01-01", float(i)) for i in range(11)], "cup string, cig string, value_eur double, "
                                    "has_award boolean, award_date string, award_amount_eur double")
-    who = F.array(F.struct(F.col("cig").alias("name"), F.lit("1").alias("tax"), F.lit(None).cast("string").alias("role")))
-    raw = awards.withColumns({"contractors": who, "id": F.lit("x"), "award_share_pct": F.lit(1.0), "award_weight": F.lit("w"), "ratio_note": F.lit("n"), "award_result": F.lit("r")})
-    master = A.group_projects(raw, ["cup", "value_eur", "cig"])
+    who = F.struct(F.col("cig").alias("name"), F.lit("1").alias("tax"), F.lit(None).cast("string").alias("role"))
+    members = awards.select(F.col("cig").alias("set_id"), who.alias("item"))
+    raw = awards.withColumns({"contractor_set": F.col("cig"), "contractors_count": F.lit(1), "id": F.lit("x"), "award_share_pct": F.lit(1.0), "award_weight": F.lit("w"), "ratio_note": F.lit("n"), "award_result": F.lit("r")})
+    master = A.group_projects(raw, ["cup", "value_eur", "cig"], members)
     assert rows(master, "awards_count", "awards_total_eur", "contractors_count", "cig", "contractors_summary") == [(11, 55.0, 11, "T00", "T00 + altri 10 OE")]
     for limit in (3, 100):
         parts = A.nested(master, raw, limit).collect()
@@ -51,6 +52,36 @@ def test_large_tenders_and_projects_lose_nothing(spark):
         assert {p["awards_count"] for p in parts} == {11} and (len(parts) > 1) == (limit == 3)
 
 
+def test_interned_sets(spark):
+    """A tender with a third of all rows has bounded rows, equal sets are stored once, order and repeats do not matter."""
+    data = [("hot", f"N{i}") for i in range(1000)] + [("copy", f"N{i}") for i in reversed(range(1000))] + [(f"c{i}", x) for i in range(300) for x in ("A", "B", "A")]
+    data += [("c9", "C"), ("none", None), (None, "A")]
+    df = spark.createDataFrame(data, "k string, v string").repartition(7)
+    ids, members = sets.intern(df, ["k"], F.col("v"))
+    of = {r["k"]: (r["set_id"], r["n_items"]) for r in ids.collect()}
+    assert of["hot"] == of["copy"] and of["hot"][1] == 1000 and of["c0"] == of["c299"] != of["c9"] and "none" not in of and None not in of
+    assert len(set(of.values())) == 3 and members.count() == 1000 + 2 + 3
+    parts = sets.lists(members, limit=100).collect()
+    assert max(len(p["items"]) for p in parts) < 150 and {p["n_items"] for p in parts if p["set_id"] == of["hot"][0]} == {1000}
+    assert sorted(x for p in parts if p["set_id"] == of["hot"][0] for x in p["items"]) == sorted(f"N{i}" for i in range(1000))
+    # missing fields do not make different contractors equal
+    people = spark.createDataFrame([("a", "N", None, "R"), ("b", "N", "R", None)], "k string, name string, tax string, role string")
+    assert sets.intern(people, ["k"], F.struct("name", "tax", "role"))[0].select("set_id").distinct().count() == 2
+
+
+def test_a_tender_with_a_third_of_all_rows(spark):
+    n = F.lit(None).cast("string")
+    hot = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "P0").otherwise(F.concat(F.lit("P"), F.col("id"))).alias("cup"), F.when(F.col("id") % 3 == 0, "T0").otherwise("T1").alias("cig"),
+        F.lit(1000.0).alias("value_eur"), F.lit(600.0).alias("award_amount_eur"), F.lit("AGGIUDICATA").alias("award_result"), F.concat(F.lit("N"), F.col("id") % 997).alias("contractor_name"),
+        n.alias("contractor_tax_code"), n.alias("contractor_vat"), n.alias("contractor_role"), F.lit("2020-01-01").cast("date").alias("award_date"), F.col("id").alias("pos"))
+    c, members = A.consolidate(hot, [F.asc("pos")], min_award=100.0)
+    out = A.award_texts(c, members, limit=50).filter("cup = 'P0'").collect()
+    names = [x for r in out for x in r["contractors"].split(" | ")]
+    assert len(out) == -(-out[0]["contractors_count"] // 50) and len(names) == len(set(names)) == out[0]["contractors_count"] == len({i % 997 for i in range(0, 3000, 3)})
+    assert max(len(r["contractors"].split(" | ")) for r in out) < 100
+
+
 def test_computed_once_is_not_inlined(spark):
     df = scale.computed_once(spark.range(10), {"x": F.sqrt(F.col("id"))}).filter("x > 2")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -160,8 +191,8 @@ def award_rows(spark):
 
 
 def test_consolidation_split(spark):
-    c = A.consolidate(award_rows(spark), [F.asc("pos")], min_award=100.0)
-    out = A.award_texts(c)
+    c, members = A.consolidate(award_rows(spark), [F.asc("pos")], min_award=100.0)
+    out = A.award_texts(c, members)
     assert rows(out, "cup", "cig", F.coalesce("contractors", F.lit("")), "ratio_status") == [
         ("P1", "T1", "Alfa | Beta (MANDANTE)", "ok"), ("P1", "T2", "", "anomalia"), ("P2", "T1", "Alfa", "anomalia")]
     assert rows(A.relevant(c), "cup", "cig") == [("P1", "T1")]
@@ -169,10 +200,11 @@ def test_consolidation_split(spark):
 
 
 def test_group_projects(spark):
-    c = A.relevant(A.consolidate(award_rows(spark), [F.asc("pos")], min_award=100.0)).withColumn("title", F.lit("t")).withColumn("id", F.lit("x"))
+    c, members = A.consolidate(award_rows(spark), [F.asc("pos")], min_award=100.0)
+    c = A.relevant(c).withColumn("title", F.lit("t")).withColumn("id", F.lit("x"))
     register = spark.createDataFrame([("p1", "r", 1.0, "a"), ("P9", "r", 2.0, "b"), (None, "r", 3.0, "REGISTER::x")], "cup string, title string, value_eur double, id string")
     raw = A.raw_master(c, register)
-    m = A.group_projects(raw, ["cup", "title", "value_eur", "source"])
+    m = A.group_projects(raw, ["cup", "title", "value_eur", "source"], members)
     assert rows(m, "project_key", "has_award", "awards_count", F.coalesce("contractors_summary", F.lit("-"))) == [
         ("P1", True, 1, "Alfa + altri 1 OE"), ("P9", False, 0, "-"), ("REGISTER::x", False, 0, "-")]
 

@@ -177,6 +177,9 @@ def test_national_run(spark, tmp_path):
     assert {c: r["evidence_level"] for c, r in m.items()} == {"F24H20000820001": "confirmed", "G11B21000000002": "review", "G11B21000000003": "technical"}
     a = m["F24H20000820001"]
     assert (a["awards_count"], a["contractors_summary"], a["branch"], a["awards"][0]["cig"]) == (1, "Alfa srl + altri 1 OE", "B1", "T1")
+    texts = {r["contractor_set"]: (r["part"], r["contractors"]) for r in out["contractor_sets"].collect()}
+    assert texts[a["awards"][0]["contractor_set"]] == (0, "Alfa srl | Beta spa (MANDANTE)") and a["awards"][0]["contractors_count"] == 2
+    assert len(texts) == 2  # T2 and T3 have the same contractor
     assert a["awards"][0]["award_amount_eur"] == 500000.5 and a["awards"][0]["award_weight"] == "Lotto rilevante"
     assert m["G11B21000000002"]["branch"] == "AMBIGUA" and "BRANCH_AMBIGUOUS" in m["G11B21000000002"]["quality_flags"]
     index = national.write_branch_shards(out["master"], str(tmp_path / "shards"))
