@@ -66,6 +66,35 @@ def kpis(df: DataFrame, by: Sequence[str], value: str = "value_eur", contractor:
     )
 
 
+def kpi_sums(df: DataFrame, by: Sequence[str], value: str = "value_eur", contractor: str = "has_contractor", sign: Column | None = None,
+             flags: Sequence[str] = ()) -> DataFrame:
+    """What :func:`kpis` is made of, and the number of rows with each flag; with ``sign`` (1 or -1) as a change of it."""
+    sign = F.lit(1) if sign is None else sign
+    number = lambda flag: F.sum(F.when(F.col(flag), sign).otherwise(0)).cast("long").alias(flag)
+    return df.groupBy(*by).agg(
+        F.sum(sign).cast("long").alias("count"), number(contractor).alias("with_contractor"),
+        F.sum(F.coalesce(F.col(value), F.lit(0.0)).cast("decimal(18,2)") * sign.cast("decimal(1,0)")).cast("decimal(38,2)").alias("total_value_eur"),
+        *[number(f) for f in flags],
+    )
+
+
+def add_sums(stored: DataFrame, change: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stored sums after a change; groups without rows go."""
+    both = stored.unionByName(change)
+    sums = [F.sum(c).cast(stored.schema[c].dataType).alias(c) for c in stored.columns if c not in by]
+    return both.groupBy(*by).agg(*sums).filter(F.col("count") > 0)
+
+
+def kpis_of_sums(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The columns of :func:`kpis`, from sums."""
+    total = F.col("total_value_eur").cast("double")
+    return sums.select(
+        *by, "count", "with_contractor", (F.col("count") - F.col("with_contractor")).alias("without_contractor"),
+        percentage(F.col("with_contractor"), F.col("count")).alias("coverage_pct"),
+        total.alias("total_value_eur"), _average(total, F.col("count")).alias("avg_value_eur"),
+    )
+
+
 def area_of(region: Column, areas: Mapping[str, str] = P.AREA_BY_REGION) -> Column:
     table = F.create_map(*[F.lit(x) for pair in areas.items() for x in pair])
     return F.coalesce(F.try_element_at(table, F.upper(F.trim(region))), F.lit(P.NO_AREA))

@@ -10,9 +10,10 @@ from cantiere.functions import presets as P
 from cantiere.functions import rules as R
 from cantiere.functions import text as T
 from cantiere.functions import values as V
-from cantiere.operators import dedupe, geo, report, search, snapshot, topk
+from cantiere.operators import dedupe, geo, report, search, snapshot, store, topk
 from cantiere.plans import bindings as B
 from cantiere.plans import sqltext as S
+from cantiere.session import scratch_dir
 
 _ASSIGNED = f"WITH {S.PROJECTS},\n{S.BRANCH_MAP},\n{S.ASSIGNED}"
 
@@ -347,6 +348,60 @@ MANIFEST_SQL = f"""WITH {_DELTA} SELECT branch, count(*) FILTER (change_status =
   count(*) FILTER (change_status <> 'unchanged') AS total_changes FROM delta GROUP BY branch HAVING total_changes > 0"""
 
 
+def _stored_states(spark, sf) -> store.SnapshotTable:
+    """Two versions of the keyed state in one table: the second writes only the buckets that changed."""
+    table = store.SnapshotTable(spark, scratch_dir(spark, "states"), STORED_ROWS, "identity_key")
+    for day in (B.PREVIOUS_DAY, B.CURRENT_DAY):
+        table.replace(_state(B.register_as_of(spark, sf, day)), day)
+    return table
+
+
+#: Rows of a bucket in the queries on stored states: several buckets from a scale of 0.01 on.
+STORED_ROWS = 2_000
+
+
+def stored_delta(spark, sf) -> DataFrame:
+    table = _stored_states(spark, sf)
+    return store.stored_delta(table, table, 1, 2)
+
+
+def stored_manifest(spark, sf) -> DataFrame:
+    table = _stored_states(spark, sf)
+    return snapshot.manifest(store.stored_delta(table, table, 1, 2, unchanged=False)).orderBy(*snapshot.manifest_order())
+
+
+MONTHS = ("2000-09-30", "2000-10-31", "2000-11-30", B.CURRENT_DAY)
+
+
+def _sums_after_changes(spark, sf, by: str, group: F.Column) -> DataFrame:
+    """Sums of the first month, and the signed changes of the months after it."""
+    table, sums = store.SnapshotTable(spark, scratch_dir(spark, "months"), STORED_ROWS, "cup"), None
+    for version, day in enumerate(MONTHS, 1):
+        rows = B.register_as_of(spark, sf, day).withColumn("has_contractor", F.col("contractors").isNotNull())
+        table.replace(rows.select("cup", "branch", "region", "value_eur", "has_contractor"), day)
+        if sums is None:
+            sums = report.kpi_sums(table.read().withColumn(by, group), [by])
+        else:
+            signed = store.signed_changes(table, table, version - 1, version)
+            sums = report.add_sums(sums, report.kpi_sums(signed.withColumn(by, group), [by], sign=F.col("sign")), [by])
+        sums = B.land(sums, "sums")
+    return sums
+
+
+def kpis_after_changes(spark, sf) -> DataFrame:
+    """Branch KPIs and the national row after three months of changes, without a full pass."""
+    group = F.explode(F.array(F.col("branch"), F.lit("*")))
+    return report.kpis_of_sums(_sums_after_changes(spark, sf, "name", group), ["name"])
+
+
+def area_kpis_after_changes(spark, sf) -> DataFrame:
+    group = report.area_of(F.col("region"), B.AREAS)
+    return report.kpis_of_sums(_sums_after_changes(spark, sf, "area", group), ["area"])
+
+
+_CURRENT = f"WITH {S.PROJECTS},\n{S.AWARDS},\n{S.register_as_of('cur', B.CURRENT_DAY)}, kpi AS (SELECT *, contractors IS NOT NULL AS has_contractor FROM cur)"
+
+
 def change_filter(spark, sf) -> DataFrame:
     """Current records of one branch that are new, with their badge (change links of the update page)."""
     current = B.register_as_of(spark, sf, B.CURRENT_DAY).withColumn("change_status", F.lit("stale")).withColumn("branch_candidates", F.lit(""))
@@ -454,6 +509,12 @@ ORDER BY commercial_score DESC, value_eur DESC, last_seen DESC, record_key LIMIT
     "snapshot_active": (snapshot_active, f"WITH {_UPSERT} SELECT source, count(*) FILTER (is_active) AS active_records FROM snap GROUP BY source"),
     "snapshot_delta": (snapshot_delta, f"WITH {_DELTA} SELECT identity_key, change_status, branch FROM delta"),
     "delta_manifest": (delta_manifest, MANIFEST_SQL),
+    "stored_delta": (stored_delta, f"WITH {_DELTA} SELECT identity_key, change_status, branch FROM delta"),
+    "stored_manifest": (stored_manifest, MANIFEST_SQL),
+    "kpis_after_changes": (kpis_after_changes, f"""{_CURRENT} SELECT branch AS name, {_KPI_COLUMNS} FROM kpi GROUP BY branch
+UNION ALL SELECT '*', {_KPI_COLUMNS} FROM kpi"""),
+    "area_kpis_after_changes": (area_kpis_after_changes, f"""{_CURRENT} SELECT CASE region WHEN 'AFRICA' THEN 'Sud' WHEN 'ASIA' THEN 'Nord-Est'
+  WHEN 'EUROPE' THEN 'Centro' WHEN 'MIDDLE EAST' THEN '{P.NO_AREA}' ELSE 'Nord-Ovest' END AS area, {_KPI_COLUMNS} FROM kpi GROUP BY 1"""),
     "change_filter": (change_filter, f"""WITH {_DELTA} SELECT substring(identity_key, 6) AS cup, branch, change_status, 'Nuovo' AS badges, '2000-12' AS change_run
 FROM delta WHERE change_status = 'new' AND branch = 'BR_3'"""),
     "faceted_search": (faceted_search, SEARCH_SQL.replace("WITH WITH", "WITH")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cantiere.functions import values as V
 from cantiere.operators import geo, shards
+from cantiere.operators.store import SnapshotTable
 from cantiere.plans import bindings as B
 from cantiere.plans import fixtures, national
 from cantiere.plans import sqltext as S
@@ -84,17 +85,14 @@ def incremental_ingest(spark, sf) -> DataFrame:
         return df.select(F.col("user_id").cast("string").alias("record_key"), F.col("event_type").alias("source"), "event_id", "ts", "value")
 
     def load() -> None:
-        ingest_available(spark, f"{folder}/in/*", schema, f"{folder}/table", f"{folder}/checkpoint", "events", prepare, [F.asc("ts"), F.asc("event_id")])
+        ingest_available(spark, f"{folder}/in/*", schema, f"{folder}/table", f"{folder}/checkpoint", "events", prepare, [F.asc("ts"), F.asc("event_id")], bucket_rows=200)
 
     events.filter(~late).write.partitionBy("day").parquet(f"{folder}/in")
     load()
     events.filter(late).write.mode("append").partitionBy("day").parquet(f"{folder}/in")
     load()
     load()  # nothing new: no batch
-    from cantiere.operators.snapshot import SnapshotTable
-
-    table = SnapshotTable(spark, f"{folder}/table").read()
-    return table.select("record_key", "source", "event_id", "value", "is_active", "last_run_id")
+    return SnapshotTable(spark, f"{folder}/table").read().select("record_key", "source", "event_id", "value", "is_active", "last_run_id")
 
 
 INGEST_SQL = """WITH e AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS wave FROM events),

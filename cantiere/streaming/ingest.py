@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cantiere.operators.snapshot import SnapshotTable
 from cantiere.operators.dedupe import first_per_key
+from cantiere.operators.store import BUCKET_ROWS, SnapshotTable
 
 
 def ingest_available(spark: SparkSession, folder: str, schema: StructType, table_path: str, checkpoint: str, source: str,
-                     prepare: Callable[[DataFrame], DataFrame], order: Sequence[Column], fmt: str = "parquet") -> SnapshotTable:
+                     prepare: Callable[[DataFrame], DataFrame], order: Sequence[Column], fmt: str = "parquet", bucket_rows: int = BUCKET_ROWS) -> SnapshotTable:
     """Process the files that arrived since the last call, then stop.
 
     The stream checkpoint remembers the files, so a second call without new files changes nothing.
@@ -21,7 +21,7 @@ def ingest_available(spark: SparkSession, folder: str, schema: StructType, table
     the source, so records that are missing from it stay active; only the buckets of its keys are rewritten.  A batch that is run again after
     a failure is merged again with the same result.
     """
-    table = SnapshotTable(spark, table_path)
+    table = SnapshotTable(spark, table_path, bucket_rows)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         run_id = f"batch-{batch_id}"

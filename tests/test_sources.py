@@ -7,7 +7,6 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from cantiere.operators.snapshot import SnapshotTable
 from cantiere.sources import files
 from cantiere.sources.zipcsv import pick_delimiter
 
@@ -112,32 +111,6 @@ def test_run_log_and_peek(spark, tmp_path):
         (1, "k", "0"), (2, "k", "1"), (2, "v", "x"), (3, "k", "2"), (3, "v", "x")]
 
 
-def test_snapshot_table_ignores_unlisted_versions(spark, tmp_path):
-    t = SnapshotTable(spark, str(tmp_path / "t"))
-    assert t.read() is None
-    t.write(spark.range(3), "a")
-    spark.range(99).write.parquet(str(tmp_path / "t" / "v=2"))  # a run that died before its log row
-    assert t.read().count() == 3
-    assert t.write(t.read().filter("id > 0"), "b") == 2 and t.read().count() == 2
-
-
-def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
-    t = SnapshotTable(spark, str(tmp_path / "t"), buckets=8)
-    rows = lambda *ks, v=0: spark.createDataFrame([(k, "s", v) for k in ks], "record_key string, source string, v int")
-    now = F.current_timestamp()
-    t.merge(rows(*"abcdefghijklmnopqrst"), "r1", now, "s", [F.asc("v")])
-    places = t._places()
-    before = {f: f.read_bytes() for f in (tmp_path / "t").rglob("*.parquet")}
-    t.merge(rows("a", "zz", v=1), "r2", now, "s", [F.asc("v")])
-    touched = {r[0] for r in rows("a", "zz").select(t._bucket(rows("a"))).collect()}
-    assert {b for b, v in t._places().items() if v == 2} == touched and all(t._places()[b] == v for b, v in places.items() if b not in touched)
-    assert all(f.read_bytes() == old for f, old in before.items())
-    got = {r["record_key"]: (r["v"], r["last_run_id"]) for r in t.read().collect()}
-    assert len(got) == 21 and got["a"] == (1, "r2") and got["zz"] == (1, "r2") and got["b"] == (0, "r1")
-    t.merge(rows(), "r3", now, "s", [F.asc("v")])
-    assert t.read().count() == 21
-
-
 def register_line(cup, title, region, province, town, client, cost, year, status="ATTIVO", text="LAVORI PUBBLICI"):
     row = [""] * 80
     for i, v in {0: cup, 1: f"{title}*{town}*{title}", 2: year, 3: status, 4: cost, 11: region, 14: province, 16: town, 17: client, 33: text, 58: "Statale"}.items():
