@@ -6,8 +6,9 @@ are delta or dictionary encoded (they rise or repeat), ids dictionary encoded un
 packed by delta; row groups and pages have a set size, and the page index lets a filter on ``doc_id`` skip
 pages. Positions over all files need only one total per part.
 
-Words are encoded by the tokenizers library once and reused: this vocabulary drops white space and
-merges never cross it, so the ids of a text are those of its words (split at ASCII white space) in order.
+Words are encoded once and reused: this vocabulary drops white space and merges never cross it, so the ids of a text are
+those of its words (split at ASCII white space) in order. The special strings of the file are cut out of a text first, as the
+library does, whatever stands beside them.
 
 NULL and empty texts have the end id only. Repeated rows and equal ids each keep a row; their order within
 equal ids follows the text. NULL ids come first.
@@ -15,23 +16,27 @@ equal ids follows the text. NULL ids come first.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cantiere.llm.common import blocks
+from cantiere.llm.common import arrow_blocks, release_memory
 from cantiere.session import scratch_dir
 
 #: Cached words per worker; the cache is emptied beyond it.
 CACHE_WORDS = 500_000
+#: Bytes of text encoded at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
 #: A word that texts hardly hold and that is one token.
 MARK = "\x01"
+#: What stands for the end of a word of letters.
+END = "\x01"
 #: A word of Latin letters, which normalisation leaves alone but for lower case, and marks behind it.
 LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: fixed values: the letter that stands for each byte in byte-level vocabularies
@@ -55,11 +60,48 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        if any(token[flag] for token in told["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: special strings that depend on their neighbours")
+        self.special = {token["content"]: np.array([token["id"]], "<u4").tobytes() for token in told["added_tokens"]}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
+        self._merges(told["model"])
         self.cache: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.mark = self._ids([MARK])[0]
 
+    def _merges(self, model: dict) -> None:
+        """The file's merges for the tiktoken core, which knows no word ends: END stands behind each word and joins its last
+        byte first, by the lowest ranks of all pairs."""
+        import tiktoken
+
+        end, vocab = model["end_of_word_suffix"], model["vocab"]
+        byte_of = {letter: i for i, letter in enumerate(BYTE_LETTERS)}
+
+        def spelt(token: str) -> bytes:
+            stem, closed = (token[:-len(end)], END) if token.endswith(end) else (token, "")
+            return bytes(map(byte_of.__getitem__, stem)) + closed.encode()
+
+        ranks, ids = {bytes([i]): i for i in range(256)}, [vocab[c] for c in BYTE_LETTERS]
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        for token in [c + end for c in BYTE_LETTERS] + merged:
+            ranks[spelt(token)] = len(ids)
+            ids.append(vocab[token])
+        self.ids = np.array(ids, "<u4")
+        self.closes = np.zeros(len(ids), bool)
+        self.closes[[rank for token, rank in ranks.items() if token.endswith(END.encode()) and len(token) > 1]] = True
+        self.core = tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
+
+    def _pieces(self, stems: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters, each a single piece."""
+        if not stems:
+            return []
+        ranks = self.core.encode_to_numpy(END.join(stems) + END)
+        raw, cuts = self.ids[ranks].tobytes(), (4 * (np.flatnonzero(self.closes[ranks]) + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -77,37 +119,40 @@ class WordTokenizer:
     def _stems(self, words: list[bytes]) -> list[bytes]:
         """Ids of new words. The vocabulary is lower case and starts a new piece between a letter and a mark, so
         Latin words share the ids of their lower-case stem, which is a single piece for the model."""
-        stems, out = self.stems, []
+        stems, out = self.stems, [b""] * len(words)
         if len(stems) > CACHE_WORDS:
             stems.clear()
-        rest = []
+        rest, latin = [], []
         for i, word in enumerate(words):
-            latin = LATIN.fullmatch(word.decode("utf-8", "surrogatepass"))
-            if latin is None:
+            found = LATIN.fullmatch(word.decode("utf-8", "surrogatepass"))
+            if found is None:
                 rest.append(i)
-                out.append(b"")
-                continue
-            stem, marks = latin[1].lower(), latin[2]
-            ids = stems.get(stem)
-            if ids is None:
-                ids = stems[stem] = self._piece(stem)
-            if marks:
-                if marks not in stems:
-                    stems[marks] = np.array(self._ids([marks])[0], "<u4").tobytes()
-                ids += stems[marks]
-            out.append(ids)
+            else:
+                latin.append((i, found[1].lower(), found[2]))
+        new = list({stem for _, stem, _ in latin}.difference(stems))
+        stems.update(zip(new, self._pieces(new)))
+        for i, stem, marks in latin:
+            if marks and marks not in stems:
+                stems[marks] = np.array(self._ids([marks])[0], "<u4").tobytes()
+            out[i] = stems[stem] + stems[marks] if marks else stems[stem]
         for at in range(0, len(rest), 512):
             some = rest[at:at + 512]
             for i, ids in zip(some, self._words([words[i] for i in some])):
                 out[i] = ids
         return out
 
-    def _piece(self, stem: str) -> bytes:
-        plain = stem if stem.isascii() else "".join(map(BYTE_LETTERS.__getitem__, stem.encode()))
-        return array("I", [token.id for token in self.tokenizer.model.tokenize(plain)]).tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        split = [i for i, t in enumerate(texts) if self.cut is not None and self.cut.search(t)]
+        out = self._encode(texts)
+        for i in split:
+            parts = self._encode(self.cut.split(texts[i]))
+            named = [self.special[found] for found in self.cut.findall(texts[i])]
+            out[i] = parts[0] + b"".join(a + b for a, b in zip(named, parts[1:]))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The same for texts without special strings."""
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
@@ -127,25 +172,27 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, part
     """Encode ``doc_id, text`` and write the files, in ascending doc_id order over parts and rows."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, seq, start, part = tokenizer(tokenizer_file), 0, 0, None
-        for pdf in blocks(batches, "text"):
-            part = int(pdf["part"].iloc[0]) if part is None else part
-            ids = [np.frombuffer(one + end, "<i4") for one in coder.encode(pdf["text"].tolist())]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, seq, start = tokenizer(tokenizer_file), 0, 0
+        for block in arrow_blocks(batches, "text", BLOCK_BYTES):
+            found = coder.encode([t or "" for t in block["text"].to_pylist()])
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
+            # one buffer of ids for the whole block
+            bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(end.join(found) + end)])
             starts = start + np.cumsum(sizes) - sizes
-            yield pd.DataFrame({
-                "part": np.int32(part), "seq": np.arange(seq, seq + len(ids)), "doc_id": pdf["doc_id"].astype("Int64").to_numpy(),
-                "start_in_part": starts, "n_tokens": sizes, "ids": ids,
-            })
-            seq, start = seq + len(ids), int(starts[-1] + sizes[-1])
+            yield pa.RecordBatch.from_arrays(
+                [block["part"], pa.array(np.arange(seq, seq + len(found))), block["doc_id"], pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(bounds, ids)],
+                names=["part", "seq", "doc_id", "start_in_part", "n_tokens", "ids"])
+            seq, start = seq + len(found), int(starts[-1] + sizes[-1])
+        release_memory()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows of one id may lie on both sides of a range bound only if the bound is finer than the id: the text decides
     keys = ("doc_id", F.xxhash64("text"))
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     sorted_rows = ranged.sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
-    writer = sorted_rows.mapInPandas(run, FILE_SCHEMA).write
+    writer = sorted_rows.mapInArrow(run, FILE_SCHEMA).write
     for key, value in LAYOUT.items():
         writer = writer.option(key, value)
     writer.parquet(path)
@@ -176,12 +223,14 @@ def _part_starts(rows: DataFrame) -> DataFrame:
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            crc = np.fromiter((zlib.crc32(np.asarray(ids, "<u4").tobytes()) for ids in pdf["ids"]), np.int64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "start": pdf["start"], "n_tokens": pdf["n_tokens"], "ids_crc32": crc})
-
-    return read_tokens(spark, path).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["ids"]
+            raw, bounds = memoryview(ids.values.to_numpy().astype("<i4", copy=False)).cast("B"), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return read_tokens(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFrame:

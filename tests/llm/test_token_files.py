@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -14,9 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    out = Tokenizer.from_file(PATH)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(PATH)
 
 
 def want(docs, library):
@@ -25,10 +24,21 @@ def want(docs, library):
 
 
 def test_words_encode_like_whole_texts(library):
-    for text in ("don't they'LL say...", "\x01 a\x01b \x01", "Ünḯ ÉÉ, ΣΑΣ! 12.5 <|endoftext|>", "end. End! end?! (end). a.b,c", " x　y\u0085z", ""):
+    for text in ("don't they'LL say...", "\x01 a\x01b \x01", "Ünḯ ÉÉ, ΣΑΣ! 12.5 <|endoftext|>", "hello <|endoftext|> world", "in<|endoftext|>side<|startoftext|><|endoftext|>",
+                 "<|startoftext|>", "<|ENDOFTEXT|> <|endoftext", "a\n<|startoftext|>\tb. <|endoftext|>", "end. End! end?! (end). a.b,c", " x　y\u0085z", ""):
         assert np.frombuffer(token_files.tokenizer(PATH).encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_word_of_letters_encodes_like_the_library(documents, library):
+    """The tiktoken core with the file's merges, against the library, on all words of the documents and random ones."""
+    rng, coder = random.Random(4), token_files.tokenizer(PATH)
+    words = {w.lower() for r in documents.select("text").collect() for w in (r.text or "").split() if token_files.LATIN.fullmatch(w) and w.isalpha()}
+    letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()] + list("etaoinshrdlucmfwypvbgkjqxz" * 3)
+    words |= {"".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(20_000)} | {"the" * 50}
+    words = sorted(words)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder._pieces(words)] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+
+
 def test_files_hold_all_rows_in_order(spark, documents, odd_documents, library):
     for docs in (documents, odd_documents):
         path = scratch_dir(spark, "tokens")
