@@ -4,7 +4,8 @@ Pre-tokenisation gives exactly the matches of the published pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` without a regex: every code point
 becomes a symbol (its class and what follows it), every symbol a function state -> state, and since
 composing functions is associative, a blocked scan yields the state before every code point of many
-texts at once. A table then says whether a match begins there.
+texts at once. A table then says whether a match begins there. Matches stay byte ranges of one buffer; where each begins, in bytes and in
+ids, is kept beside the ids, so that any range of a text is decoded from the ids of its pieces alone.
 
 NULL and empty texts have no ids; repeated rows and ids are encoded row by row; other columns are ignored.
 """
@@ -17,12 +18,13 @@ import heapq
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cantiere.llm.common import blocks, release_memory, split_sizes
+from cantiere.llm.common import arrow_blocks, release_memory, split_sizes
 
 # classes of code points
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
@@ -34,7 +36,9 @@ IN_OTHER, IN_LETTER, IN_NUMBER, IN_BLANK, AFTER_SPACE, DUE_2, DUE_1, FRESH = ran
 #: fixed values: white space of the pattern's \\s
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Cached pieces per task; the cache is emptied beyond it.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
+#: Bytes of text encoded at once; a longer text is a block of its own.
+BLOCK_BYTES = 250_000
 #: Code points per row of the blocked scan.
 SCAN_WIDTH = 64
 
@@ -44,11 +48,13 @@ def code_classes() -> np.ndarray:
     """Class of every code point, by the character tables that the tiktoken library itself uses."""
     import tiktoken
 
-    points = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     for name, kind in (("L", LETTER), ("N", NUMBER)):
         single = tiktoken.Encoding(name, pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        out[np.frombuffer(bytes(single.encode_ordinary(points)).decode().encode("utf-32-le"), np.uint32)] = kind
+        for first in range(0, sys.maxunicode + 1, 1 << 14):  # few at a time: workers have little memory
+            points = "".join(chr(c) for c in range(first, min(first + (1 << 14), sys.maxunicode + 1)) if not 0xD800 <= c < 0xE000)
+            found = single.encode_to_numpy(points).astype(np.uint8).tobytes()
+            out[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = kind
     out[list(WHITE)] = BLANK
     out[32] = SPACE
     return out
@@ -122,26 +128,41 @@ def _states_before(symbols: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:len(symbols)]
 
 
-def match_starts(texts: list[str]) -> list[np.ndarray]:
-    """Positions (code points) at which matches begin, per text."""
+def match_bounds(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The matches of all texts as byte ranges of one buffer: the buffer, starts, ends, matches per text, byte at which each text begins."""
     sizes = split_sizes(texts)
-    if not sizes.sum():
-        return [np.empty(0, np.int64) for _ in texts]
-    codes = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum(sizes + 1) - 1
-    symbols = _symbols(codes, ends)
+    joined = "\0".join(texts) + "\0"
+    raw = joined.encode("utf-8", "surrogatepass")
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    lasts = np.cumsum(sizes + 1) - 1
+    symbols = _symbols(codes, lasts)
     starts = np.flatnonzero(BEGINS.ravel()[symbols.astype(np.int16) * 8 + _states_before(symbols)])
-    cuts = np.searchsorted(starts, ends)
-    return [s - at for s, at in zip(np.split(starts, cuts[:-1]), ends - sizes)]
+    upto = np.searchsorted(starts, lasts)
+    counts = np.diff(upto, prepend=0)
+    width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(width)])  # byte at which each code point begins
+    ends = np.empty(len(starts), np.int64)
+    ends[:-1] = at[starts[1:]]
+    some = counts > 0
+    ends[upto[some] - 1] = at[lasts[some]]
+    return raw, at[starts], ends, counts, at[lasts - sizes]
 
 
 def pieces(texts: list[str]) -> list[list[str]]:
     """The matches of every text, in order."""
-    out = []
-    for text, starts in zip(texts, match_starts(texts)):
-        cuts = starts.tolist() + [len(text)]
-        out.append([text[a:b] for a, b in zip(cuts, cuts[1:])])
-    return out
+    raw, starts, ends, counts, _ = match_bounds(texts) if texts else (b"", *[np.empty(0, np.int64)] * 4)
+    found = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist())]
+    cuts = np.cumsum(counts).tolist()
+    return [found[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+class Encoded(NamedTuple):
+    """Ids (unsigned 32-bit little-endian) of a text, and for each of its pieces, with the end behind the last: the byte at which it begins
+    and the number of ids before it."""
+
+    ids: bytes
+    piece_bytes: np.ndarray
+    piece_ids: np.ndarray
 
 
 class ByteBpe:
@@ -155,7 +176,7 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the adjacent pair of lowest rank merges first, the leftmost of equals."""
@@ -207,24 +228,43 @@ class ByteBpe:
             i = end[i]
         return out
 
-    def encode_pieces(self, lists: list[list[str]]) -> list[bytes]:
-        """Ids of every list of pieces as little-endian unsigned 32-bit integers."""
-        cache = self.cache
+    def encoded(self, texts: list[str]) -> list[Encoded]:
+        """Every text's ids with the offsets of its pieces; pieces are byte ranges of one buffer."""
+        if not texts:
+            return []
+        raw, starts, ends, counts, begin = match_bounds(texts)
+        cache, slices = self.cache, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        for piece in set().union(*lists).difference(cache):
-            cache[piece] = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, one)) for one in lists]
+        for piece in set(slices).difference(cache):
+            cache[piece] = np.array(self.merge(piece), "<u4").tobytes()
+        found = list(map(cache.__getitem__, slices))
+        n_ids = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        out, cuts = [], np.cumsum(counts).tolist()
+        for first, last, at in zip([0, *cuts], cuts, begin.tolist()):
+            stop = int(ends[last - 1]) if last > first else at
+            out.append(Encoded(b"".join(found[first:last]), np.append(starts[first:last], stop) - at, np.append(0, np.cumsum(n_ids[first:last]))))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.encode_pieces(pieces(texts))
+        return [one.ids for one in self.encoded(texts)]
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """Byte position at which each token begins in the decoded text, and the total length last."""
         return np.concatenate([[0], np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, one: Encoded, start: int = 0, stop: int | None = None) -> bytes:
+        """Bytes ``start`` to ``stop`` of the text, from the ids of the pieces that hold them."""
+        at, n = one.piece_bytes, int(one.piece_bytes[-1])
+        start, stop, _ = slice(start, stop).indices(n)
+        if start >= stop:
+            return b""
+        first, last = int(np.searchsorted(at, start, "right")) - 1, int(np.searchsorted(at, stop, "left"))
+        ids = np.frombuffer(one.ids, "<u4")[one.piece_ids[first]:one.piece_ids[last]]
+        found = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        if len(found) != at[last] - at[first]:
+            raise ValueError("ids and offsets do not belong together")
+        return found[start - int(at[first]):stop - int(at[first])]
 
 
 @lru_cache(maxsize=2)
@@ -232,36 +272,54 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-ENCODED = "doc_id long, ids binary, n_tokens long, decoded binary"
+def encode(docs: DataFrame, rank_file: str, doc_id: str = "doc_id", text: str = "text", offsets: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (unsigned 32-bit little-endian), the sha256 of them and of the bytes decoded from them.
 
+    With ``offsets`` also the byte at which each piece begins and the ids before it (unsigned 32-bit little-endian, the end of the
+    text last), by which :meth:`ByteBpe.decode` reads any range.  Every executor must be able to read ``rank_file``.
+    """
+    def columns(coder: ByteBpe, found: list[Encoded]) -> dict:
+        out = {"ids": pa.array([one.ids for one in found], pa.binary()), **_digests(coder, found)}
+        if offsets:
+            out |= {name: pa.array([getattr(one, name).astype("<u4").tobytes() for one in found], pa.binary()) for name in ("piece_bytes", "piece_ids")}
+        return out
 
-def encode(docs: DataFrame, rank_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (unsigned 32-bit little-endian), their number and the bytes decoded from them.
+    kinds = "ids binary, ids_sha256 string, decoded_sha256 string" + (", piece_bytes binary, piece_ids binary" if offsets else "")
+    return _mapped(docs, rank_file, doc_id, text, kinds, columns)
 
-    Every executor must be able to read ``rank_file``.
-    """
-    return _mapped(docs, rank_file, doc_id, text, ENCODED, lambda coder, ids: (ids, len(ids) // 4, coder.decode(ids)))
+
+def decode(encoded: DataFrame, rank_file: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id and the bytes ``start`` to ``stop`` of each text, from the rows of :func:`encode`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(rank_file)
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("ids", "piece_bytes", "piece_ids")))
+            found = [coder.decode(Encoded(ids, np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)), start, stop) for ids, a, b in rows]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids", "piece_bytes", "piece_ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
 def digests(docs: DataFrame, rank_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens and the sha256 of ids and decoded bytes, without moving the ids out of the task."""
-    def row(coder: ByteBpe, ids: bytes) -> tuple:
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+    return _mapped(docs, rank_file, doc_id, text, "ids_sha256 string, decoded_sha256 string", _digests)
 
-    return _mapped(docs, rank_file, doc_id, text, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
+def _digests(coder: ByteBpe, found: list[Encoded]) -> dict:
+    return {"ids_sha256": pa.array([hashlib.sha256(one.ids).hexdigest() for one in found], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(coder.decode(one)).hexdigest() for one in found], pa.string())}
 
-def _mapped(docs: DataFrame, rank_file: str, doc_id: str, text: str, schema: str, row) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _mapped(docs: DataFrame, rank_file: str, doc_id: str, text: str, kinds: str, columns) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(rank_file)
-        for pdf in blocks(batches, "text"):
-            found = [row(coder, ids) for ids in coder.encode(pdf["text"].tolist())]
-            out = pd.DataFrame(found, columns=names[1:])
-            out.insert(0, names[0], pdf["doc_id"].astype("Int64").to_numpy())
-            yield out
+        for block in arrow_blocks(batches, "text", BLOCK_BYTES):
+            found = coder.encoded([t or "" for t in block["text"].to_pylist()])
+            n = pa.array([len(one.ids) // 4 for one in found], pa.int64())
+            more = columns(coder, found)
+            yield pa.RecordBatch.from_arrays([block["doc_id"], n, *more.values()], names=["doc_id", "n_tokens", *more])
         coder.cache.clear()  # the worker lives on beside others; the next task learns its own words
         release_memory()
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInPandas(run, schema)
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")

@@ -6,7 +6,7 @@ Each stage reads what its predecessor kept. All stages but the last return the c
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cantiere.llm import byte_bpe, decontaminate, jaccard, quality, secrets
 from cantiere.llm.common import bounded_batches, landed, table
@@ -38,8 +38,8 @@ def safe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and their sha256."""
     bounded_batches(spark)
-    encoded = byte_bpe.encode(docs, public_tokenizers.path(RANKS))
-    return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode(docs, public_tokenizers.path(RANKS), offsets=False)
+    return encoded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

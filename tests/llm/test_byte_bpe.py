@@ -29,11 +29,19 @@ def test_matches_are_those_of_the_pattern(texts):
 @settings(max_examples=200, deadline=None)
 @given(TEXT)
 def test_ids_and_round_trip(library, text):
+    coder, raw = byte_bpe.codec(PATH), text.encode()
+    before, one, after = coder.encoded(["x y", text, ""])
+    assert np.frombuffer(one.ids, "<u4").tolist() == library.encode_ordinary(text)
+    assert coder.decode(one) == raw and coder.decode(before) == b"x y" and coder.decode(after) == b""
+    assert coder.offsets(one.ids)[-1] == len(raw) == one.piece_bytes[-1] and 4 * one.piece_ids[-1] == len(one.ids)
+    assert coder.offsets(one.ids)[one.piece_ids].tolist() == one.piece_bytes.tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(TEXT, st.integers(0, 90), st.integers(0, 90))
+def test_ranges_decode_from_their_pieces(text, start, stop):
     coder = byte_bpe.codec(PATH)
-    ids = coder.encode([text])[0]
-    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
-    assert coder.decode(ids) == text.encode()
-    assert coder.offsets(ids)[-1] == len(text.encode())
+    assert coder.decode(coder.encoded([text])[0], start, stop) == text.encode()[start:stop]
 
 
 def test_long_pieces_merge_as_short_ones_do(library):
@@ -50,4 +58,6 @@ def test_digests_of_tables(documents, odd_documents, library):
         assert sorted(map(tuple, byte_bpe.digests(docs, PATH).collect()), key=str) == sorted(want, key=str)
     encoded = byte_bpe.encode(odd_documents, PATH).collect()
     assert all(len(r.ids) == 4 * r.n_tokens for r in encoded)
+    cut = {(r.doc_id, bytes(r.decoded)) for r in byte_bpe.decode(byte_bpe.encode(odd_documents, PATH), PATH, 3, 40).collect()}
+    assert cut == {(r.doc_id, (r.text or "").encode()[3:40]) for r in odd_documents.collect()}
     assert byte_bpe.digests(documents.limit(0), PATH).count() == 0

@@ -48,5 +48,5 @@ def test_stages_keep_the_columns(spark, sf, odd_documents):
 
 def test_registered():
     names = entry.queries()
-    assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in names}
+    assert {"pipeline", *(f"op{n}" for n in range(1, 14))} <= {n.split("_")[0] for n in names}
     assert set(entry.oracle_sql()) <= set(names)
