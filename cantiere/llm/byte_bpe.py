@@ -39,6 +39,8 @@ WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
 CACHE_PIECES = 100_000
 #: Bytes of text encoded at once; a longer text is a block of its own.
 BLOCK_BYTES = 250_000
+#: Bytes up to which pieces merge together; longer ones merge each with a heap of its own.
+LONG_PIECE = 48
 #: Code points per row of the blocked scan.
 SCAN_WIDTH = 64
 
@@ -176,30 +178,77 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.pair_keys, self.pair_ranks = self._pairs()
         self.cache: dict[bytes, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: the adjacent pair of lowest rank merges first, the leftmost of equals."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        if len(piece) > 48:
-            return self._merge_long(piece)
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        none = len(self.bytes_of)
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == none:
-                break
-            i = pairs.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make a token, as sorted keys, and the rank of what they make."""
+        ranks, size, keys, made = self.ranks, len(self.bytes_of), [], []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    keys.append(a * size + b)
+                    made.append(rank)
+        order = np.argsort(keys) if keys else np.empty(0, np.int64)
+        # a key above all others, so that every search ends inside
+        return np.append(np.array(keys, np.int64)[order], size * size), np.append(np.array(made, np.int64)[order], size)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of tokens where it makes none."""
+        key = left * len(self.bytes_of) + right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.bytes_of))
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece: the adjacent pair of lowest rank merges first, the leftmost of equals.
+
+        All pieces make one merge in each round; those that have no pair left are done.
+        """
+        ranks, out, rest = self.ranks, [b""] * len(pieces), []
+        for i, piece in enumerate(pieces):
+            if (whole := ranks.get(piece)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(piece) > LONG_PIECE:
+                out[i] = np.array(self._merge_long(piece), "<u4").tobytes()
+            else:
+                rest.append(i)
+        if not rest:
+            return out
+        none, sizes = len(self.bytes_of), split_sizes([pieces[i] for i in rest])
+        token = self.single[np.frombuffer(b"".join([pieces[i] for i in rest]), np.uint8)]
+        owner = np.repeat(np.arange(len(rest)), sizes)
+        rank = np.full(len(token), none)  # of the pair of each token with the next one
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inner] = self._rank(token[inner], token[inner + 1])
+        while len(token):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(token)))
+            done = least == none
+            if done.any():
+                ended = np.flatnonzero(np.diff(owner[done], prepend=-1))
+                raw, cuts = token[done].astype("<u4").tobytes(), (4 * np.append(ended, done.sum())).tolist()
+                for k, a, b in zip(owner[done][ended].tolist(), cuts, cuts[1:]):
+                    out[rest[k]] = raw[a:b]
+                token, owner, rank, least = token[~done], owner[~done], rank[~done], least[~done]
+                if not len(token):
+                    break
+            at = np.flatnonzero(rank == least)
+            at = at[np.flatnonzero(np.diff(owner[at], prepend=-1))]
+            token[at] = least[at]
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            rank[at] = rank[at + 1]  # whether a token follows is told by its owner below
+            token, owner, rank = token[keep], owner[keep], rank[keep]
+            at -= np.arange(len(at))
+            for side in (at, at - 1):
+                side = side[(side >= 0) & (side < len(token) - 1)]
+                side = side[owner[side] == owner[side + 1]]
+                rank[side] = self._rank(token[side], token[side + 1])
+            ends = at[(at == len(token) - 1) | (owner[at] != owner[np.minimum(at + 1, len(token) - 1)])]
+            rank[ends] = none
+        return out
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same merges with a heap, n log n for pieces of any length."""
@@ -236,8 +285,8 @@ class ByteBpe:
         cache, slices = self.cache, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        for piece in set(slices).difference(cache):
-            cache[piece] = np.array(self.merge(piece), "<u4").tobytes()
+        new = list(set(slices).difference(cache))
+        cache.update(zip(new, self.merge(new)))
         found = list(map(cache.__getitem__, slices))
         n_ids = np.fromiter(map(len, found), np.int64, len(found)) // 4
         out, cuts = [], np.cumsum(counts).tolist()
