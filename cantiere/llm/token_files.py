@@ -143,7 +143,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [i for i, t in enumerate(texts) if self.cut is not None and self.cut.search(t)]
+        split = [i for i, t in enumerate(texts) if any(special in t for special in self.special)]
         out = self._encode(texts)
         for i in split:
             parts = self._encode(self.cut.split(texts[i]))
@@ -157,10 +157,9 @@ class WordTokenizer:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        found = [list(map(cache.get, one)) for one in words]
-        new = list({w for one, ids in zip(words, found) if None in ids for w, i in zip(one, ids) if i is None})
+        new = list(set().union(*words).difference(cache))
         cache.update(zip(new, self._stems(new)))
-        return [b"".join([cache[w] if i is None else i for w, i in zip(one, ids)] if None in ids else ids) for one, ids in zip(words, found)]
+        return [b"".join(map(cache.__getitem__, one)) for one in words]
 
 
 @lru_cache(maxsize=2)
