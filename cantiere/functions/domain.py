@@ -21,8 +21,9 @@ def clean_status(c: Column) -> Column:
     return F.when(~v.isin(*P.NOT_A_STATUS) & R.contains_any(v, P.STATUS_WORDS), v)
 
 
-def phase(status: Column) -> Column:
-    return R.first_match(F.upper(squeeze(status)), P.PHASES, P.DEFAULT_PHASE)
+def phase(status: Column | R.Matched) -> Column:
+    text = status if isinstance(status, R.Matched) else F.upper(squeeze(status))
+    return R.first_match(text, P.PHASES, P.DEFAULT_PHASE)
 
 
 def category(text: Column, rules: R.Rules = P.NATIONAL_CATEGORIES) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cantiere.functions import automaton
 from cantiere.functions import domain as D
 from cantiere.functions import presets as P
 from cantiere.functions import rules as R
@@ -219,18 +220,19 @@ _SAID = f"[{', '.join(S.quoted(w) for w in PRESET_WORDS)}][CAST(doc_id // 2 % {l
 _DOC = f"(SELECT doc_id, source, lang, lower({S.squeeze('text')}) || CASE WHEN doc_id % 2 = 0 THEN ' ' || {_SAID} ELSE '' END AS t FROM documents)"
 
 
-def _searched(docs: DataFrame, *tables) -> tuple[DataFrame, R.Matched]:
+def _searched(docs: DataFrame, *tables, text="t", found="found") -> tuple[DataFrame, R.Matched]:
     """Texts with the terms of all tables that they hold, searched once."""
     words = R.distinct_terms(*tables)
-    return computed_once(docs, {"found": R.found_terms(F.col("t"), words)}), R.Matched(F.col("found"), words)
+    return computed_once(docs, {found: automaton.found_terms(F.expr(text), words)}), R.Matched(F.col(found), words)
 
 
 def taxonomy_first_match(spark, sf) -> DataFrame:
     d, found = _searched(_docs(spark, sf), DOC_RULES, P.NATIONAL_CATEGORIES, P.CATEGORIES, P.INTERVENTION_TYPES)
+    d, phases = _searched(d, P.PHASES, text="upper(t)", found="phases")
     return d.select("doc_id", R.first_match(found, DOC_RULES, P.OTHER).alias("label"),
                     D.category(found).alias("category"), D.category(found, P.CATEGORIES).alias("regional_category"),
                     D.intervention_type(found).alias("intervention_type"),
-                    D.phase(F.upper("t")).alias("phase"))
+                    D.phase(phases).alias("phase"))
 
 
 TAXONOMY_SQL = f"""SELECT doc_id, {S.case_rules('t', DOC_RULES, "'Altro'")} AS label,
