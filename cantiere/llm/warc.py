@@ -38,6 +38,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
 _STEP = 1 << 16
+_FIRST = 48
 
 
 # writing
@@ -117,36 +118,86 @@ class Damaged(Exception):
     pass
 
 
-def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
+class _Scan:
+    """Bytes of an archive or of a member's content with what a search has learnt: each mark is searched and each header read once.
+
+    Places are asked for in ascending order. ``dead`` is the place before which no further plain record begins: candidates that share the end
+    of a header share its lines from the end, so what fails for one of them fails for all before ``dead``.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.dead, self._marks, self._lines = data, 0, {}, (-1, -1, -1, {})
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from a position on; the length if there is none."""
+        low, place = self._marks.get(mark, (0, -1))
+        if not low <= at <= place:
+            place = self.data.find(mark, at)
+            place = len(self.data) if place < 0 else place
+            self._marks[mark] = at, place
+        return place
+
+    def next_plain(self, at: int) -> int:
+        return self.find(b"WARC/1.", max(at, self.dead))
+
+    def lines(self, at: int, top: int) -> tuple[int, dict[str, tuple[int, str]]]:
+        """Header lines before an end, read backwards: where the last line without a colon begins (-1: none behind ``at``), and place and value by name."""
+        known, low, bad, fields = self._lines
+        if known != top or (at < low and bad < at):
+            bad, fields, end = -1, {}, top
+            while end > at:
+                start = self.data.rfind(b"\r\n", at, end)
+                if start < 0:
+                    break
+                name, colon, value = self.data[start + 2:end].decode("utf-8", "replace").partition(":")
+                if not colon:
+                    bad = start + 2
+                    break
+                fields.setdefault(name.strip().lower(), (start + 2, value.strip()))
+                end = start
+            self._lines = top, at, bad, fields
+        return bad, fields
+
+
+def _plain(scan: _Scan, at: int) -> tuple[int, dict[str, str], bytes]:
     """The record at a position: its end, headers and block."""
+    data = scan.data
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    top = data.find(b"\r\n\r\n", at)
-    if top < 0:
+    top = scan.find(b"\r\n\r\n", at)
+    if top == len(data):
+        scan.dead = top
         raise Damaged("header not ended")
-    headers = {}
-    for line in data[at:top].split(b"\r\n")[1:]:
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if not colon:
-            raise Damaged("header line")
-        headers[name.strip().lower()] = value.strip()
+    bad, fields = scan.lines(at, top)
+    if bad > at:
+        scan.dead = bad
+        raise Damaged("header line")
+    headers = {name: value for name, (place, value) in fields.items() if place > at}
+    scan.dead = top  # but for a wrong digest, no later candidate of this header can do better
     if not headers.get("content-length", "").isdecimal():
         raise Damaged("no length")
     if "warc-type" not in headers or "warc-record-id" not in headers:
         raise Damaged("no type or id")
     start = top + 4
     end = start + int(headers["content-length"])
-    block = data[start:end]
     if data[end:end + 4] != b"\r\n\r\n":
         raise Damaged("record not ended")
+    block = data[start:end]
     if _agrees(headers.get("warc-block-digest", ""), block) is False:
+        scan.dead = fields["warc-block-digest"][0] + 1
         raise Damaged("block digest")
+    scan.dead = at
     return end + 4, headers, block
 
 
 def _member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
     """The gzip member at a position: its end, its content, and what is wrong; then both reach up to the damage."""
     unzip, parts, read = zlib.decompressobj(31), [], at
+    try:  # a false mark mostly fails here; so few bytes hold no whole record with a digest
+        parts.append(unzip.decompress(data[read:read + _FIRST]))
+        read += _FIRST
+    except zlib.error:
+        return at, b"", "gzip member"
     try:
         while not unzip.eof and read < len(data):
             parts.append(unzip.decompress(data[read:read + _STEP]))
@@ -172,17 +223,16 @@ def _before_error(data: bytes, at: int) -> tuple[int, bytes]:
 
 def _inside(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
     """Records and gaps of decompressed content, as salvage gives them, by positions in the content."""
-    at = 0
+    at, scan = 0, _Scan(content)
     while at < len(content):
         place, reason = at, None
         while place < len(content):
             try:
-                end, headers, block = _plain(content, place)
+                end, headers, block = _plain(scan, place)
                 break
             except Damaged as damage:
                 reason = reason or str(damage)
-                found = content.find(b"WARC/1.", place + 1)
-                place = found if found >= 0 else len(content)
+                place = scan.next_plain(place + 1)
         if place > at:
             yield "gap", at, place, reason, b""
         if place < len(content):
@@ -192,21 +242,20 @@ def _inside(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | st
             return
 
 
-def _next_start(data: bytes, at: int) -> int:
+def _next_start(scan: _Scan, at: int) -> int:
     """The next place that looks like a member or a version line; the length if there is none."""
-    places = [p for p in (data.find(_GZIP, at), data.find(b"WARC/1.", at)) if p >= 0]
-    return min(places, default=len(data))
+    return min(scan.find(_GZIP, at), scan.next_plain(at))
 
 
-def _found_at(data: bytes, at: int) -> tuple[int, str | None, list[tuple]]:
+def _found_at(scan: _Scan, at: int) -> tuple[int, str | None, list[tuple]]:
     """Where the member or plain record at a position ends, what is wrong with a member, and what it holds.
 
     Raises Damaged if not one record is valid there.
     """
-    if not data.startswith(_GZIP, at):
-        end, headers, block = _plain(data, at)
+    if not scan.data.startswith(_GZIP, at):
+        end, headers, block = _plain(scan, at)
         return end, None, [("record", at, end, headers, block)]
-    end, content, wrong = _member(data, at)
+    end, content, wrong = _member(scan.data, at)
     inner = list(_inside(content))
     if wrong:
         inner = [_vouched(one, wrong, len(content)) for one in inner]
@@ -233,28 +282,28 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str,
     content. A cut or damaged member gives the records that are whole in the part before the damage and do not border on it,
     then a gap from the damage to the next valid place.
     """
-    at = 0
+    at, scan = 0, _Scan(data)
     while at < len(data):
         place, reason, found = at, "", []
         while place < len(data):
             try:
-                end, wrong, found = _found_at(data, place)
+                end, wrong, found = _found_at(scan, place)
                 break
             except Damaged as damage:
                 reason = reason or str(damage)
-                place = _next_start(data, place + 1)
+                place = _next_start(scan, place + 1)
         if place > at:
             yield "gap", at, place, reason, b""
         if place >= len(data):
             return
         if wrong:  # the rest of the member ends where something valid begins
-            rest, end = end, _next_start(data, place + 1)
+            rest, end = end, _next_start(scan, place + 1)
             while end < len(data):
                 try:
-                    _found_at(data, end)
+                    _found_at(scan, end)
                     break
                 except Damaged:
-                    end = _next_start(data, end + 1)
+                    end = _next_start(scan, end + 1)
             rest = min(rest, end)
             found = [(kind, start, rest, head, block) for kind, start, _, head, block in found] + [("gap", rest, end, wrong, b"")]
         yield from found

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import random
+import re
+import time
 
 import pytest
 
@@ -150,3 +152,28 @@ def test_digests_of_other_algorithms_and_names_of_archives(spark, tmp_path):
     assert kinds.count(("part-1.x", "record")) == 1 and "notes.txt" not in dict(kinds)
     assert {r.payload_digest for r in rows if r.kind == "record"} == {hashlib.sha1(payload).hexdigest()}
     assert {r.file.rsplit("/", 1)[1] for r in warc.read(spark, str(tmp_path), files="*.warc").collect()} == {"b.warc"}
+
+
+@pytest.mark.parametrize("mark", [b"WARC/1.0\r\n", b"x: WARC/1.1\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\n",
+                                  b"WARC/1.", b"\x1f\x8b\x08junk-junk"])
+@pytest.mark.parametrize("zipped", [True, False])
+def test_false_marks_take_linear_time(mark, zipped):
+    parts = archive(zipped)
+    junk = mark * (2_000_000 // len(mark))
+    for data in (b"".join(parts[:6]) + junk + b"".join(parts[6:]), warc.member(b"".join(archive(False)[:6]) + junk + b"".join(archive(False)[6:]))):
+        began = time.perf_counter()
+        assert ids(warc.salvage(data)) == list(range(12))
+        assert time.perf_counter() - began < 15
+
+
+def test_a_version_line_inside_a_damaged_header_begins_a_record():
+    """Candidates that share a header's end: the first has a bad line, a wrong digest, or no damage at all."""
+    good = warc.record(1, "u", b"payload", "response", None)
+    for before, reason in ((b"WARC/1.1\r\nno colon\r\n", "header line"), (b"WARC/1.1\r\n", "header line"),
+                           (b"WARC/1.0\r\nWARC-Block-Digest: sha1:" + b"0" * 40 + b"\r\n", "header line")):
+        found = list(warc.salvage(before + good))
+        assert [(kind, start) for kind, start, *_ in found] == [("gap", 0), ("record", len(before))] and found[0][3] == reason
+    plain = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", good)
+    wrong = b"WARC/1.0\r\nWARC-Block-Digest: sha1:" + b"0" * 40 + b"\r\nx: "
+    found = list(warc.salvage(wrong + plain))
+    assert [(kind, start) for kind, start, *_ in found] == [("gap", 0), ("record", len(wrong))] and found[0][3] == "block digest"
