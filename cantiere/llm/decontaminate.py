@@ -4,8 +4,8 @@ The random-walk embedding maps a word sequence to one of fixed length: step t wr
 if bit t of that word's random bits is set. Sequences at a small edit distance get embeddings at a small Hamming
 distance, because two walks that an edit has set apart meet again. Every word of a document starts a window, and
 so does every word of an item that is long enough to fill it: windows have the size of the smallest item
-taken (MIN_ITEM_WORDS), longer items give one window per word. WALKS independent walks, each with two samples of
-SAMPLED positions, are looked up in the items' keys; regions around the hits are verified by the exact edit
+taken (MIN_ITEM_WORDS), longer items give one window per word. Independent walks, each with two samples of
+SAMPLED positions, are looked up in the items' keys; their number follows from TARGET_RECALL (``walks_needed``). Regions around the hits are verified by the exact edit
 distance between the item's words and any stretch of the document. An item is found if it is within
 MAX_EDITS of its words.
 
@@ -18,6 +18,7 @@ rows, ids and items each count. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,13 +31,17 @@ from cantiere.llm.words import word_hashes
 MIN_ITEM_WORDS = 8
 #: Largest share of an item's words that edits may concern.
 MAX_EDITS = 0.2
-WALKS = 2
+#: Share of copies with as many random edits as MAX_EDITS allows that the keys are to reach, for items of any size in TRIAL_WORDS.
+TARGET_RECALL = 0.95
+TRIAL_WORDS = (8, 9, 10, 11, 12, 13, 14, 15)
+TRIALS = 1500
+MOST_WALKS = 24
 #: Positions of the embedding that one key samples; a walk of 15 steps passes about 8 words.
 SAMPLED = ((0, 4, 8, 12), (2, 6, 10, 14))
 STEPS = 15
 #: Code points of items held by a task; more items are searched group by group.
 ITEM_CHARS = 32_000_000
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, (WALKS, 5), dtype=np.uint64)
+_SEEDS = np.random.default_rng(7).integers(1, 2**63, (MOST_WALKS, 5), dtype=np.uint64)
 
 
 def padded(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,18 +52,59 @@ def padded(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, starts
 
 
-def keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sampled embeddings of the windows that start at ``at``: one row per walk and sample."""
-    out = np.zeros((WALKS * len(SAMPLED), len(at)), np.uint64)
-    for walk in range(WALKS):
-        bits = (mix64(words + _SEEDS[walk, 0]) >> np.uint64(40)).astype(np.uint32)
+def keys(words: np.ndarray, at: np.ndarray, walks: int) -> Iterator[np.ndarray]:
+    """Sampled embeddings of the windows that start at ``at``: an array for each sample of each walk."""
+    for seeds in _SEEDS[:walks]:
+        out = np.zeros((len(SAMPLED), len(at)), np.uint64)
+        bits = (mix64(words + seeds[0]) >> np.uint64(40)).astype(np.uint32)
         here = at.astype(np.int32)
         for step in range(STEPS):
             for s, sampled in enumerate(SAMPLED):
                 if step in sampled:
-                    out[walk * len(SAMPLED) + s] += words[here] * _SEEDS[walk, 1 + sampled.index(step)]
+                    out[s] += words[here] * seeds[1 + sampled.index(step)]
             here += ((bits[here] >> np.uint32(step)) & np.uint32(1)).astype(np.int32)
-    return mix64(out)
+        yield from mix64(out)
+
+
+def edited(item: list, edits: int, other, rng: np.random.Generator) -> list:
+    """The item with words at distinct random places replaced, left out, or followed by another."""
+    out = [[word] for word in item]
+    for i in rng.choice(len(item), edits, replace=False):
+        out[i] = ([], [other()], [*out[i], other()])[rng.integers(3)]
+    return [word for part in out for word in part]
+
+
+@lru_cache
+def walks_needed(target: float) -> int:
+    """The least number of walks whose keys meet in at least ``target`` of the trials for every item size.
+
+    A trial is an item of random words and a copy with the most edits allowed, between other words. The trials are the same at every
+    call, so that all runs search alike.
+    """
+    rng = np.random.default_rng(11)
+    new = lambda: int(rng.integers(1, 2**63))
+    most = 1
+    for size in TRIAL_WORDS:
+        items = rng.integers(1, 2**63, (TRIALS, size)).tolist()
+        copies = [[new() for _ in range(9)] + edited(item, int(MAX_EDITS * size), new, rng) + [new() for _ in range(9)] for item in items]
+        sides = []
+        for lists, last in ((items, MIN_ITEM_WORDS - 1), (copies, 0)):
+            sizes = np.array([len(one) for one in lists])
+            flat, starts = padded(np.array([w for one in lists for w in one], np.uint64), sizes)
+            trial = np.repeat(np.arange(TRIALS), sizes - last)
+            at = np.arange(len(trial)) + np.repeat(starts - (np.cumsum(sizes - last) - (sizes - last)), sizes - last)
+            sides.append((trial, keys(flat, at, MOST_WALKS)))
+        (trial, ours), (where, theirs) = sides
+        met = np.zeros(TRIALS, bool)
+        for n, (one, two) in enumerate(zip(ours, theirs)):
+            mark = lambda key, of: key ^ mix64(of.astype(np.uint64))
+            met[where[np.isin(mark(two, where), mark(one, trial))]] = True
+            if met.mean() >= target:
+                break
+        else:
+            raise ValueError(f"{MOST_WALKS} walks do not reach a recall of {target} for items of {size} words")
+        most = max(most, n // len(SAMPLED) + 1)
+    return most
 
 
 def nearest(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -95,7 +141,8 @@ def folded(texts: list[str]) -> list[str]:
 class Items:
     """Keys of all item windows."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], target: float = TARGET_RECALL):
+        self.walks = walks_needed(target)
         words, sizes = word_hashes(folded(texts))
         cuts = np.cumsum(sizes)
         self.ids, self.words = [], []
@@ -107,7 +154,7 @@ class Items:
         windows = [(start + i, number, i) for number, (start, one) in enumerate(zip(starts.tolist(), self.words)) for i in range(len(one) - MIN_ITEM_WORDS + 1)]
         at, number, offset = (np.array(c, np.int64) for c in zip(*windows)) if windows else (np.empty(0, np.int64),) * 3
         self.tables = []
-        for key in keys(flat, at):
+        for key in keys(flat, at, self.walks):
             order = np.argsort(key, kind="stable")
             maybe = np.zeros(1 << 20, bool)
             maybe[(key >> np.uint64(44)).astype(np.int64)] = True
@@ -116,13 +163,13 @@ class Items:
     def hits(self, flat: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (item number, start of the whole item in ``flat``, text of the window) of all windows with an equal key."""
         found = [np.empty((0, 3), np.int64)]
-        for key, (sorted_keys, number, offset, maybe) in zip(keys(flat, at), self.tables):
+        for key, (sorted_keys, number, offset, maybe) in zip(keys(flat, at, self.walks), self.tables):
             some = np.flatnonzero(maybe[(key >> np.uint64(44)).astype(np.int64)])
             low, high = (np.searchsorted(sorted_keys, key[some], side) for side in ("left", "right"))
             count = high - low
             source = np.repeat(np.arange(len(some)), count)
             entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[source]
-            found.append(np.column_stack([number[entry], at[some[source]] - offset[entry], row[some[source]]]))
+            found.append(np.unique(np.column_stack([number[entry], at[some[source]] - offset[entry], row[some[source]]]), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 
