@@ -194,7 +194,11 @@ class Items:
             low = max(int(starts[r]), b - slack)
             high = min(int(ends[r]), b + len(item) + 2 * slack + STEPS)
             reach = (r, k, b + slack)
-            distance, end = nearest(item, flat[low:high].tolist())
+            near = flat[low:high].tolist()
+            there = set(near)
+            if sum(word not in there for word in item) > slack:  # each such word is an edit
+                continue
+            distance, end = nearest(item, near)
             if distance <= slack:
                 old = best.get((r, k))
                 if old is None or distance < old[0]:
