@@ -39,6 +39,8 @@ MOST_WALKS = 24
 #: Positions of the embedding that one key samples; a walk of 15 steps passes about 8 words.
 SAMPLED = ((0, 4, 8, 12), (2, 6, 10, 14))
 STEPS = 15
+#: Bits that a table of hashes has beyond its number of entries' own, and the most bits of a table.
+SPARE_BITS, MOST_BITS = 6, 22
 #: Code points of items held by a task; more items are searched group by group.
 ITEM_CHARS = 32_000_000
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (MOST_WALKS, 5), dtype=np.uint64)
@@ -52,18 +54,36 @@ def padded(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, starts
 
 
-def keys(words: np.ndarray, at: np.ndarray, walks: int) -> Iterator[np.ndarray]:
-    """Sampled embeddings of the windows that start at ``at``: an array for each sample of each walk."""
-    for seeds in _SEEDS[:walks]:
-        out = np.zeros((len(SAMPLED), len(at)), np.uint64)
-        bits = (mix64(words + seeds[0]) >> np.uint64(40)).astype(np.uint32)
-        here = at.astype(np.int32)
-        for step in range(STEPS):
-            for s, sampled in enumerate(SAMPLED):
-                if step in sampled:
-                    out[s] += words[here] * seeds[1 + sampled.index(step)]
-            here += ((bits[here] >> np.uint32(step)) & np.uint32(1)).astype(np.int32)
-        yield from mix64(out)
+def walk_bits(words: np.ndarray, walks: int) -> Iterator[np.ndarray]:
+    """The random bits of every word for each walk (bit t: whether step t moves on)."""
+    for walk in range(walks):
+        if walk % 4 == 0:
+            mixed = mix64(words + _SEEDS[walk, 0])
+        yield (mixed >> np.uint64(16 * (walk % 4))).view(np.int64)
+
+
+def walked(bits: np.ndarray, here: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Where walks stand that come to ``here`` before step ``first``, before step ``last``."""
+    for step in range(first, last):
+        move = bits.take(here)
+        move >>= step
+        move &= 1
+        move += here
+        here = move
+    return here
+
+
+def keys(words: np.ndarray, at: np.ndarray, walks: int) -> Iterator[list[np.ndarray]]:
+    """Sampled embeddings of the windows that start at ``at``, for each sample of each walk: the key of the first two sampled words, and of all."""
+    for seeds, bits in zip(_SEEDS, walk_bits(words, walks)):
+        for sampled in SAMPLED:
+            total, here, before, out = np.zeros(len(at), np.uint64), at, 0, []
+            for i, step in enumerate(sampled):
+                here, before = walked(bits, here, before, step), step
+                total = total + words.take(here) * seeds[1 + i]
+                if i in (1, len(sampled) - 1):
+                    out.append(mix64(total))
+            yield out
 
 
 def edited(item: list, edits: int, other, rng: np.random.Generator) -> list:
@@ -96,7 +116,7 @@ def walks_needed(target: float) -> int:
             sides.append((trial, keys(flat, at, MOST_WALKS)))
         (trial, ours), (where, theirs) = sides
         met = np.zeros(TRIALS, bool)
-        for n, (one, two) in enumerate(zip(ours, theirs)):
+        for n, ((_, one), (_, two)) in enumerate(zip(ours, theirs)):
             mark = lambda key, of: key ^ mix64(of.astype(np.uint64))
             met[where[np.isin(mark(two, where), mark(one, trial))]] = True
             if met.mean() >= target:
@@ -138,6 +158,19 @@ def folded(texts: list[str]) -> list[str]:
     return [t.casefold() for t in texts]
 
 
+class Seen:
+    """Bits of hashes that occur: one that does not is nearly always known from its first bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = min(max(len(hashes).bit_length() + SPARE_BITS, 10), MOST_BITS)
+        self.shift = np.uint64(64 - bits)
+        self.bits = np.zeros(1 << bits, bool)
+        self.bits[(hashes >> self.shift).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits.take((hashes >> self.shift).astype(np.int64))
+
+
 class Items:
     """Keys of all item windows."""
 
@@ -153,23 +186,43 @@ class Items:
         flat, starts = padded(np.array([w for one in self.words for w in one], np.uint64), np.array([len(w) for w in self.words], np.int64))
         windows = [(start + i, number, i) for number, (start, one) in enumerate(zip(starts.tolist(), self.words)) for i in range(len(one) - MIN_ITEM_WORDS + 1)]
         at, number, offset = (np.array(c, np.int64) for c in zip(*windows)) if windows else (np.empty(0, np.int64),) * 3
+        self.vocabulary = Seen(flat)  # with the empty word behind every item
         self.tables = []
-        for key in keys(flat, at, self.walks):
+        for pair, key in keys(flat, at, self.walks):
             order = np.argsort(key, kind="stable")
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(key >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((key[order], number[order], offset[order], maybe))
+            self.tables.append((Seen(pair), key[order], number[order], offset[order]))
 
     def hits(self, flat: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (item number, start of the whole item in ``flat``, text of the window) of all windows with an equal key."""
+        """Distinct (item number, start of the whole item in ``flat``, text of the window) of all windows with an equal key.
+
+        A window is followed only as far as its sampled words can be those of an item's window: an equal key has an item's word at the
+        first sampled position and an item's pair at the first two.
+        """
+        known = self.vocabulary(flat)
         found = [np.empty((0, 3), np.int64)]
-        for key, (sorted_keys, number, offset, maybe) in zip(keys(flat, at, self.walks), self.tables):
-            some = np.flatnonzero(maybe[(key >> np.uint64(44)).astype(np.int64)])
-            low, high = (np.searchsorted(sorted_keys, key[some], side) for side in ("left", "right"))
-            count = high - low
-            source = np.repeat(np.arange(len(some)), count)
-            entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[source]
-            found.append(np.unique(np.column_stack([number[entry], at[some[source]] - offset[entry], row[some[source]]]), axis=0))
+        tables = iter(self.tables)
+        for seeds, bits in zip(_SEEDS, walk_bits(flat, self.walks)):
+            reached, before = at, 0
+            for sampled in SAMPLED:
+                seen_pairs, sorted_keys, number, offset = next(tables)
+                reached, before = walked(bits, reached, before, sampled[0]), sampled[0]
+                some = np.flatnonzero(known.take(reached))
+                here = reached.take(some)
+                total = flat.take(here) * seeds[1]
+                for i in range(1, len(sampled)):
+                    here = walked(bits, here, sampled[i - 1], sampled[i])
+                    fits = np.flatnonzero(known.take(here))
+                    some, here, total = some.take(fits), here.take(fits), total.take(fits)
+                    total += flat.take(here) * seeds[1 + i]
+                    if i == 1:
+                        fits = np.flatnonzero(seen_pairs(mix64(total)))
+                        some, here, total = some.take(fits), here.take(fits), total.take(fits)
+                key = mix64(total)
+                low, high = (np.searchsorted(sorted_keys, key, side) for side in ("left", "right"))
+                count = high - low
+                source = np.repeat(np.arange(len(some)), count)
+                entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[source]
+                found.append(np.unique(np.column_stack([number[entry], at[some[source]] - offset[entry], row[some[source]]]), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 

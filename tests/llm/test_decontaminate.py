@@ -152,3 +152,23 @@ def test_walks_follow_the_target():
     assert 0 < walks[0] < walks[1] < walks[2] == decontaminate.Items([], []).walks
     with pytest.raises(ValueError):
         decontaminate.walks_needed(1.1)
+
+
+def test_pruned_walks_find_the_windows_of_whole_walks():
+    """Few words, so that many windows share their first sampled words: the hits are those of all keys of all windows."""
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{min(rng.integers(300), rng.integers(300))}"
+    given = [[word() for _ in range(rng.integers(8, 40))] for _ in range(60)]
+    items = decontaminate.Items(list(range(60)), [" ".join(one) for one in given])
+    texts = [" ".join([word() for _ in range(rng.integers(400))] + given[i % 60][: rng.integers(9, 41)]) for i in range(120)] + [""]
+    words, sizes = decontaminate.word_hashes(texts)
+    flat, _ = decontaminate.padded(words, sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(words)) + row * decontaminate.STEPS
+    want = set()
+    for (_, key), (_, sorted_keys, number, offset) in zip(decontaminate.keys(flat, at, items.walks), items.tables):
+        entries = {}
+        for k, *entry in zip(sorted_keys.tolist(), number.tolist(), offset.tolist()):
+            entries.setdefault(k, []).append(entry)
+        want |= {(n, a - o, r) for k, a, r in zip(key.tolist(), at.tolist(), row.tolist()) for n, o in entries.get(k, [])}
+    assert set(zip(*(c.tolist() for c in items.hits(flat, at, row)))) == want and len(want) > 1000
