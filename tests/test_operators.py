@@ -1,5 +1,6 @@
 """Table operators on small literal tables."""
 
+import json
 import random
 
 import pytest
@@ -299,6 +300,34 @@ def test_json_flatten_depth(spark):
         ("a_0", "NULL"), ("a_1", "1"), ("b_0", "NULL"), ("c", "NULL"), ("e_0", "NULL"), ("e_1", "NULL"), ("n", "[]"), ("s", "{[")])
 
 
+def test_json_flatten_to_a_depth_of_60_in_one_plan(spark):
+    deep, want = "0", {}
+    for i in range(60):
+        deep = '{"k":%s,"n":%d}' % (deep, i) if i % 2 else "[%s,%d]" % (deep, i)
+    def walk(v, path):
+        if isinstance(v, (dict, list)):
+            for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+                walk(x, [*path, str(k)])
+        else:
+            want["_".join(path)] = str(v)
+    walk(json.loads(deep), [])
+    df = spark.createDataFrame([(1, deep), (2, '{"x":1}')], "id int, j string")
+    flat = jsonflat.flatten_json(df, "j", ["id"])
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("UnionLoop ") <= 2 and plan.count("Generate") <= 2
+    got = flat.collect()
+    assert {r.key: r.value for r in got if r.id == 1} == want and len(got) == len(want) + 1 and [(r.key, r.value) for r in got if r.id == 2] == [("x", "1")]
+
+
+def test_json_flatten_with_a_known_depth(spark):
+    texts = ['{"a":{"b":[1,{"c":"x"}]},"e":{},"f":[[]],"g":null}', '[true,[null],"[]",""]', "not json", "7", None, '{"":{"":2},"s":"{}"}', "[]", '{"a":[[1],[2,[3]]]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    every = lambda **known: sorted((tuple(r) for r in jsonflat.flatten_json(df, "j", ["id"], **known).collect()), key=str)
+    assert every(max_depth=4) == every(max_depth=6) == every()
+    assert (0, "a_b", '[1,{"c":"x"}]') in every(max_depth=2) and (7, "a_1_1", "[3]") in every(max_depth=3)
+    assert "Exchange" not in jsonflat.flatten_json(df, "j", ["id"], max_depth=4)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_page_extraction(spark):
     html = ("<html><head><style>p{}</style><script>var t='<h1>no</h1>';</script></head><body><h1> Impianto <b>eolico</b> &amp; BESS </h1>"
             "<a href='/Oggetti/Info/9'>x</a><a class=k href=\"/Oggetti/Info/8\">y</a><a href='/altro'>z</a><a href='/Oggetti/Info/9'>x</a>"
