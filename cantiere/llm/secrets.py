@@ -1,8 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-Candidates are runs of at least 16 letters, digits and ``_+/-`` with a digit among their first 201 characters; runs
-without one that begin with an issuer's prefix; and every value of at least 6 characters, of any kind and up to
-VALUE_CHARS, that a secret word and an assignment sign introduce. Their
+Candidates are runs of at least 16 letters, digits and ``_+/-`` with a digit; runs of any kind
+that begin with an issuer's prefix; every value of at least 6 characters, of any kind and length, that a name with a secret word of
+its own and an assignment sign introduce; and passwords of URLs. Their
 features are length, changes of character class, shares of digits, capitals, vowels and distinct characters, how much
 of it dictionary words cover, path signs, and the words around it. The forest is trained by Spark ML on labelled
 findings and rewritten as one SQL expression, so that a text is scanned, judged and redacted inside its row: there
@@ -22,24 +22,37 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cantiere.llm.common import landed
+
 RUN = "[A-Za-z0-9_+/-]"
-CANDIDATE = f"(?<!{RUN})(?={RUN}{{0,200}}[0-9]){RUN}{{16,}}={{0,2}}"
+CANDIDATE = f"(?<!{RUN})(?=[A-Za-z_+/-]*+[0-9]){RUN}{{16,}}={{0,2}}"
 WHITE = r"[\x20\x09-\x0D]+"
 #: Words that name a secret, and words that name other runs of characters.
-SECRET_WORDS = "token|secret|passw|pwd|key|auth|bearer|credential|login"
+SECRET_WORDS = ("token tokens secret secrets password passwords passwd passwort passphrase passcode pass pwd key keys apikey apikeys secretkey accesskey "
+                "auth authtoken authorization bearer credential credentials login").split()
 OTHER_WORDS = "commit|sha1|sha256|md5|hash|digest|checksum|uuid|guid|version|order|number|invoice|build|revision|example|sample|placeholder|path|file"
-#: Code points of a value behind a secret word; of a longer one only so many are judged.
+#: Assigned values up to so many characters are looked for behind every name, also inside of other values; longer ones one behind the other.
 VALUE_CHARS = 1000
 ISSUERS = "AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk-|sk_live|AIza|eyJ|glpat-"
-#: A run that CANDIDATE leaves out for want of a digit.
-ISSUED = f"(?<![A-Za-z0-9])(?!{RUN}{{0,200}}[0-9])(?:{ISSUERS}){RUN}{{12,}}={{0,2}}"
-#: A name with a secret word in it, the sign and what may stand before the value; and the value, with its quotes or up to white space.
-_NAME = f"(?i:{SECRET_WORDS}|pass)[A-Za-z0-9_.-]{{0,40}}"
-_SIGN = r"[\x22\x27\]]{0,2}\s{0,4}(?:=>|:=|==?|:)\s{0,4}(?:(?i:bearer|basic)\s{1,4})?[\x22\x27`]?"
+ISSUED = f"(?<![A-Za-z0-9])(?:{ISSUERS}){RUN}{{12,}}={{0,2}}"
+_WORDS, _CAPITAL = "|".join(SECRET_WORDS), "|".join(w.capitalize() for w in SECRET_WORDS)
+#: A secret word that is a word of its own in a name: between other signs, or set off by capitals.
+NAMED = f"(?:(?<![A-Za-z])(?i:{_WORDS})(?![A-Za-z])|(?<![A-Za-z])(?:{_WORDS}|{_CAPITAL})(?=[A-Z])|(?<=[A-Za-z0-9])(?:{_CAPITAL})(?![a-z]))"
+#: The name to its end, the sign and what may stand before the value; and the value, within quotes or up to white space.
+_NAME = f"{NAMED}[A-Za-z0-9_.-]{{0,40}}"
+_SIGN = r"[\x22\x27\]]{0,2}\s{0,4}(?:=>|:=|==?|:)\s{0,4}(?:(?i:bearer|basic)\s{1,4})?+[\x22\x27`]?"
 _VALUE = (rf"(?:(?<=\x22)[^\x22\r\n]{{6,{VALUE_CHARS}}}(?=\x22)|(?<=\x27)[^\x27\r\n]{{6,{VALUE_CHARS}}}(?=\x27)|"
-          rf"[^\s\x22\x27`]{{5,{VALUE_CHARS - 1}}}[^\s\x22\x27`,;.)\]}}>])")
+          rf"[^\s\x22\x27`]{{6,{VALUE_CHARS}}}(?![^\s\x22\x27`]))")
+_LONG_VALUE = (rf"(?:(?<=\x22)[^\x22\r\n]{{{VALUE_CHARS + 1},}}+(?=\x22)|(?<=\x27)[^\x27\r\n]{{{VALUE_CHARS + 1},}}+(?=\x27)|"
+               rf"[^\s\x22\x27`]{{{VALUE_CHARS + 1},}}+)")
 #: Only the name is consumed, so that an assignment inside a value is found as well.
 ASSIGNED = f"(?=({_NAME}{_SIGN}{_VALUE})){_NAME}"
+ASSIGNED_LONG = f"{_NAME}{_SIGN}{_LONG_VALUE}"
+#: What stands before an assigned value, once a match is cut out of its text; and signs that end a sentence, not a value.
+_INTRODUCED = f"^[A-Za-z0-9_.-]+{_SIGN}"
+_CLOSING = ",;.)]}>"
+#: The password of a URL with the user before it.
+URL = r"://[^\s/:@]{0,200}:[^\s/@]{3,}+(?=@)"
 #: Words that identifiers and paths are made of.
 DICTIONARY = ("about access account action address admin array base block body build button cache call change check class client code color "
               "column command config content context control count create current data date default delete detail device dir display doc "
@@ -71,7 +84,7 @@ FEATURES = {
     "dictionary_share": f"1 - length(regexp_replace(f.text, '(?i){'|'.join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w)))}', '')) / {_LEN}",
     "path_signs": f"length(regexp_replace(f.text, '[^/]', '')) / {_LEN} * 10",
     "in_path": r"IF(f.word RLIKE '://|^[.~/]|[\\\\]|[.](com|org|net|py|js|html?|png|jpe?g|txt)\\b', 1.0D, 0.0D)",
-    "secret_before": f"IF(f.before RLIKE '(?i){SECRET_WORDS}', 1.0D, 0.0D)",
+    "secret_before": f"IF(f.before RLIKE '{NAMED}', 1.0D, 0.0D)",
     "assigned": r"""IF(f.before RLIKE '[=:]\\s*["\\x27]?$', 1.0D, 0.0D)""",
     "other_near": f"IF(concat(f.before, ' ', f.after) RLIKE '(?i){OTHER_WORDS}', 1.0D, 0.0D)",
     "hex_only": "IF(f.text RLIKE '^([0-9a-f]+|[0-9A-F]+)$', 1.0D, 0.0D)",
@@ -79,6 +92,7 @@ FEATURES = {
     "mark_share": f"length(regexp_replace(f.text, '[A-Za-z0-9]', '')) / {_LEN}",
     "space_share": f"length(regexp_replace(f.text, '[^ ]', '')) / {_LEN}",
     "code_signs": r"IF(f.text RLIKE '[(){}<>\\[\\]$|]|[A-Za-z_][.][A-Za-z_]|^[*.x]+$', 1.0D, 0.0D)",
+    "in_url": "IF(f.before LIKE '://%', 1.0D, 0.0D)",
     "issuer": f"IF(f.text RLIKE '^({ISSUERS})', 1.0D, 0.0D)",
 }
 
@@ -101,17 +115,32 @@ def _findings(text: str, pattern: str) -> str:
 
 def _assigned(text: str) -> str:
     """Values that a secret word and a sign introduce; the name and the sign are the words before them."""
-    value = f"regexp_replace(m, '^{_sql(_NAME + _SIGN)}', '')"
-    parts = f"transform(regexp_extract_all(`{text}`, '{_sql(ASSIGNED)}', 1), m -> struct(m, {value} AS v))"
-    one = "struct(p.v AS text, left(p.m, length(p.m) - length(p.v)) AS before, p.v AS word, '' AS after)"
+    matches = (f"concat(regexp_extract_all(`{text}`, '{_sql(ASSIGNED)}', 1), "
+               f"IF(length(`{text}`) > {VALUE_CHARS}, regexp_extract_all(`{text}`, '{_sql(ASSIGNED_LONG)}', 0), CAST(array() AS array<string>)))")
+    split = f"transform({matches}, m -> struct(m, regexp_replace(m, '{_sql(_INTRODUCED)}', '') AS v))"
+    named = f"transform({split}, p -> struct(left(p.m, length(p.m) - length(p.v)) AS before, p.v AS v))"
+    # a value without quotes ends before the signs of its sentence
+    parts = f"transform({named}, p -> struct(p.before, IF(ascii(right(p.before, 1)) IN (34, 39), p.v, TRIM(TRAILING '{_CLOSING}' FROM p.v)) AS v))"
+    return _values(parts, 6)
+
+
+def _in_urls(text: str) -> str:
+    """Passwords of URLs; the scheme's end and the user are the words before them."""
+    matches = f"regexp_extract_all(`{text}`, '{_sql(URL)}', 0)"
+    at = "locate(':', m, 4)"
+    return _values(f"transform({matches}, m -> struct(left(m, {at}) AS before, substr(m, {at} + 1) AS v))", 3)
+
+
+def _values(parts: str, least: int) -> str:
     # what redaction has written is no value
-    return f"transform(filter({parts}, p -> p.v <> '' AND NOT contains('{MASK}', p.v)), p -> {one})"
+    kept = f"filter({parts}, p -> length(p.v) >= {least} AND NOT contains('{MASK}', p.v))"
+    return f"transform({kept}, p -> struct(p.v AS text, p.before AS before, p.v AS word, '' AS after))"
 
 
 def candidates(text: str) -> Column:
-    """All candidates of the text column: runs, issued runs without a digit, and assigned values that are neither."""
-    runs = f"concat({_findings(text, CANDIDATE)}, {_findings(text, ISSUED)})"
-    more = f"filter({_assigned(text)}, a -> NOT exists(runs, r -> r.text = a.text))"
+    """All candidates of the text column: runs; issued runs, assigned values and passwords of URLs that are not among them."""
+    runs = _findings(text, CANDIDATE)
+    more = f"filter(concat({_findings(text, ISSUED)}, {_assigned(text)}, {_in_urls(text)}), a -> NOT exists(runs, r -> r.text = a.text))"
     return F.expr(f"CASE WHEN `{text}` IS NULL THEN CAST(array() AS {_KIND}) ELSE flatten(transform(array({runs}), runs -> concat(runs, {more}))) END")
 
 
@@ -120,14 +149,16 @@ def _sql(pattern: str) -> str:
 
 
 class Forest:
-    """A trained forest as SQL: the share of trees that vote for a secret, over a finding ``f``."""
+    """A trained forest as SQL: the share of trees that vote for a secret, over the features of a finding ``g``."""
 
     def __init__(self, score: str):
         self.score = score
 
     def secrets(self, found: str) -> Column:
-        """Distinct secrets among an array of findings, longest first."""
-        kept = f"array_distinct(transform(filter({found}, f -> {self.score} >= {THRESHOLD}), f -> f.text))"
+        """Distinct secrets among an array of findings, longest first. The features of a finding are computed once."""
+        seen = ", ".join(f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in FEATURES.items())
+        judged = f"filter(transform({found}, f -> struct(f.text AS text, {seen})), g -> {self.score} >= {THRESHOLD})"
+        kept = f"array_distinct(transform({judged}, g -> g.text))"
         return F.expr(f"array_sort({kept}, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
 
 
@@ -138,19 +169,20 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Forest:
     table = each.select("label", *(F.expr(f"CAST({sql} AS DOUBLE)").alias(name) for name, sql in FEATURES.items()))
     # one ordered partition of at most ``rows`` rows: the same forest on any cluster
     sample = table.orderBy(F.xxhash64(*FEATURES, "label"), *FEATURES, "label").limit(rows).coalesce(1)
+    sample = landed(labelled.sparkSession, sample, "findings")  # the fit reads it several times
     kinds = sorted(r.label for r in sample.select("label").distinct().collect())
     if len(kinds) < 2:
         return Forest(f"{kinds[0] if kinds else 1.0}D")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("label", "features")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, featureSubsetStrategy="onethird").fit(vectors)
-    votes = " + ".join(_tree_sql(tree.toDebugString) for tree in model.trees)
+    votes = " + ".join(_tree_sql(tree.toDebugString, "g.") for tree in model.trees)
     return Forest(f"(({votes}) / {TREES}D)")
 
 
-def _tree_sql(printed: str) -> str:
-    """One tree as a nested CASE, from its printed form."""
+def _tree_sql(printed: str, of: str = "") -> str:
+    """One tree as nested conditions over the features ``of`` a finding, from its printed form."""
     lines = iter([line.strip() for line in printed.splitlines()[1:] if line.strip()])
-    features = list(FEATURES.values())
+    features = list(FEATURES)
 
     def node() -> str:
         line = next(lines)
@@ -159,7 +191,7 @@ def _tree_sql(printed: str) -> str:
         feature, bound = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
         left = node()
         next(lines)  # Else
-        return f"IF({features[int(feature)]} <= {float(bound)!r}D, {left}, {node()})"
+        return f"IF({of}{features[int(feature)]} <= {float(bound)!r}D, {left}, {node()})"
 
     return node()
 
@@ -184,6 +216,8 @@ def examples(spark: SparkSession, per_kind: int = 120) -> DataFrame:
         (1, f"concat('password=', substr({mixed}, 1, 6), '!', substr({mixed}, 7, 4))"), (1, f"concat('db_pass: ', {made(1)}, id % 10, {made(2)}, id % 10)"),
         (1, f"concat('passwd: ', {made(3)}, id % 1000)"), (1, f"concat('password = \"', concat_ws('-', {made(1)}, {made(2)}, {made(3)}, {made(4)}), '\"')"),
         (1, f"concat('pwd=\\'', {made(4)}, '#', upper({made(5)}), id % 100, '\\'')"), (1, f"concat('secret_key = \"', substr({mixed}, 1, 10), '%', substr({mixed}, 11, 12), '\"')"),
+        (1, f"concat('postgres://', {made(1)}, ':', substr({mixed}, 1, 14), '@db.example.org/', {word(1)})"), (1, f"concat({prose}, 'amqp://', {word(1)}, ':', initcap({made(2)}), id % 1000, '@', {made(3)}, ':5672')"),
+        (0, f"concat('https://', {word(1)}, ':', element_at(array('password', 'pass', '<password>', '$PASSWORD', 'xxxx', '***'), CAST(1 + id % 6 AS INT)), '@example.org/', {word(2)})"),
         (0, f"concat('password: ', {made(1)}, {word(1)}, ' ', {word(2)})"), (0, f"concat('key: ', {made(1)}, {made(2)}, ' ', {word(2)})"),
         (0, f"concat('author: ', initcap({made(1)}), {made(2)}, ' ', initcap({made(3)}))"), (0, f"concat('author = \"', initcap({made(4)}), ' ', initcap({made(5)}), '\"')"),
         (0, f"concat('token = ', {word(1)}, initcap({word(2)}), '()')"), (0, f"concat('password = ${{', upper({word(1)}), '_PASSWORD}}')"),
@@ -196,6 +230,7 @@ def examples(spark: SparkSession, per_kind: int = 120) -> DataFrame:
         (0, f"concat('commit ', substr({h}, 1, 40), ' ', {word(5)})"), (0, f"concat('md5 checksum ', substr({h}, 1, 32))"),
         (0, f"concat('https://www.example.org/', {word(1)}, '/', {word(2)}, '/', substr({h}, 1, 20))"), (0, f"concat('see /usr/lib/', {word(1)}, id % 9, '/', {word(2)}, '/', {word(3)}, '.py')"),
         (0, f"concat({prose}, {camel}, ' ', {word(7)})"), (0, f"concat({prose}, {word(1)}, '_', {word(2)}, '_', {word(3)}, '_', {word(4)}, '_', id % 50)"),
+        (0, f"concat({prose}, initcap({made(1)}), initcap({made(2)}), initcap({made(3)}), id % 97, ' ', {word(7)})"), (0, f"concat('the ', {made(1)}, '_', {made(2)}, '-', {made(3)}, '/', {made(4)}, id % 50)"),
         (0, f"concat('uuid ', substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 12))"),
         (0, f"concat('order number ', 1000000000000000 + pmod(xxhash64(id), 900000000000000))"), (0, f"concat({prose}, repeat({word(1)}, 4), id % 7)"),
         (0, f"concat('token = \"your-', {word(1)}, '-token-here-', id % 1000, '\"')"), (0, f"concat('password=', repeat('x', 16), id % 10)"),
@@ -204,7 +239,8 @@ def examples(spark: SparkSession, per_kind: int = 120) -> DataFrame:
     cases = " ".join(f"WHEN {k} THEN {sql}" for k, (_, sql) in enumerate(kinds))
     labels = ", ".join(str(label) for label, _ in kinds)
     n = len(kinds)
-    return spark.range(per_kind * n).selectExpr(f"CASE id % {n} {cases} END AS text", f"element_at(array({labels}), CAST(id % {n} AS INT) + 1) AS label")
+    made_up = spark.range(per_kind * n).selectExpr(f"CASE id % {n} {cases} END AS text", f"element_at(array({labels}), CAST(id % {n} AS INT) + 1) AS label")
+    return landed(spark, made_up, "examples")  # else every use of a text in an expression would make it anew
 
 
 def scan(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -218,7 +254,11 @@ def scan(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def _masked(text: str, secrets: str) -> Column:
-    return F.expr(f"aggregate(`{secrets}`, `{text}`, (t, s) -> replace(t, s, '{MASK}'))")
+    """Every place of a secret is masked, but not where it is a part of a longer word."""
+    own = r"regexp_replace(s, '[^A-Za-z0-9]', '\\\\$0')"
+    edge = lambda end, look: f"IF({end}(s, 1) RLIKE '[A-Za-z0-9]', '{look}', '')"
+    pattern = f"concat({edge('left', '(?<![A-Za-z0-9])')}, {own}, {edge('right', '(?![A-Za-z0-9])')})"
+    return F.expr(f"aggregate(`{secrets}`, `{text}`, (t, s) -> regexp_replace(t, {pattern}, '{MASK}'))")
 
 
 def redact(docs: DataFrame, forest: Forest) -> DataFrame:
