@@ -37,7 +37,9 @@ ISSUERS = "AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk-|sk_live|AIza|eyJ|glpat-"
 ISSUED = f"(?<![A-Za-z0-9])(?:{ISSUERS}){RUN}{{12,}}={{0,2}}"
 _WORDS, _CAPITAL = "|".join(SECRET_WORDS), "|".join(w.capitalize() for w in SECRET_WORDS)
 #: A secret word that is a word of its own in a name: between other signs, or set off by capitals.
-NAMED = f"(?:(?<![A-Za-z])(?i:{_WORDS})(?![A-Za-z])|(?<![A-Za-z])(?:{_WORDS}|{_CAPITAL})(?=[A-Z])|(?<=[A-Za-z0-9])(?:{_CAPITAL})(?![a-z]))"
+_FIRST = "".join(sorted({w[0] for w in SECRET_WORDS}))
+NAMED = (f"(?=[{_FIRST}{_FIRST.upper()}])(?:(?<![A-Za-z])(?:(?i:{_WORDS})(?![A-Za-z])|(?:{_WORDS}|{_CAPITAL})(?=[A-Z]))|"
+         f"(?=[{_FIRST.upper()}])(?<=[A-Za-z0-9])(?:{_CAPITAL})(?![a-z]))")
 #: The name to its end, the sign and what may stand before the value; and the value, within quotes or up to white space.
 _NAME = f"{NAMED}[A-Za-z0-9_.-]{{0,40}}"
 _SIGN = r"[\x22\x27\]]{0,2}\s{0,4}(?:=>|:=|==?|:)\s{0,4}(?:(?i:bearer|basic)\s{1,4})?+[\x22\x27`]?"
