@@ -179,7 +179,7 @@ def test_a_secret_is_masked_as_a_whole_word(spark):
 
 
 def unseen(rng):
-    """Text and label of kinds that training does not know."""
+    """Text and label of kinds that training does not know, but for identifiers of unknown words, of which it has similar ones."""
     word = lambda: rng.choice("harbour meadow lantern copper violin saddle orchid pepper walnut glacier ribbon canyon".split())
     some = lambda n, signs=string.ascii_letters + string.digits: "".join(rng.choices(signs, k=n))
     return rng.choice([
