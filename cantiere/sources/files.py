@@ -26,7 +26,8 @@ def file_heads(spark: SparkSession, path: str) -> DataFrame:
                     text = "\n".join(rows["value"])
                     parts.setdefault(name, []).append(text)
                     sizes[name] = sizes.get(name, 0) + len(text) + 1
-        yield pd.DataFrame({"file": list(parts), "head": ["\n".join(p)[:HEAD] for p in parts.values()]})
+        if parts:  # a task may hold no file's first block; a frame without rows has no text columns
+            yield pd.DataFrame({"file": list(parts), "head": ["\n".join(p)[:HEAD] for p in parts.values()]})
 
     # the first block of every file holds its head
     first = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
