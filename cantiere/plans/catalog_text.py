@@ -299,7 +299,7 @@ def page_features(spark, sf) -> DataFrame:
     f = pages.page_features(p, r"/[a-z]+/(\d+)", "PAGE-", sectors={"azione": ["tion"], "altro": ["ment"]}, default_sector="nessuno")
     found = V.pipe_text(pages.links(F.col("html"), "^/", "https://portal.example"))
     f = f.withColumn("links", found)
-    f = pages.dedupe_pages(f, [F.asc("url")])
+    f = pages.dedupe_pages(f, [F.asc("url"), F.asc("page_id")])  # one url may have been fetched several times
     return f.select("external_id", "url", "title", "description", "sector", "phase", "power_mw", "municipality", "province",
                     "client_type", "links")
 
