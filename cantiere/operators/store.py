@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantiere.operators.snapshot import as_snapshot, delta, upsert
+from cantiere.session import scratch_dir
 
 #: Rows of a bucket above which it is split when it is written again.
 BUCKET_ROWS = 1_000_000
@@ -40,13 +41,18 @@ class SnapshotTable:
     """Parquet snapshot kept as numbered versions; every version lists its buckets and where each was last written.
 
     Buckets are those of an extendible hash: each has a depth of its own, and one that has outgrown ``bucket_rows`` is
-    split into children when it is rewritten, so no task ever holds much more.  A batch rewrites only the buckets of its
+    split into children when it is rewritten.  A batch rewrites only the buckets of its
     keys, a new state only those whose digest differs; all other files stay as they are.  The list (one row per
     bucket) is written last: a run that dies half-way leaves an unlisted folder, readers keep the last listed version.
+
+    The buckets a version writes lie side by side in its files, in order and named in a column, so the number of files
+    follows from the size of the data and not from that of the buckets.
     """
 
     LOG = "version long, run_id string, depth int, code long, written_in long, rows long, hash_sum decimal(38,0), hash_xor long"
-    DIGEST = "_digest"
+    DIGEST, PLACE = "_digest", "_place"
+    #: Buckets that a reader names in a filter, which parquet can use to pass over row groups; more are joined.
+    NAMED = 1_000
 
     def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS, key: str = "record_key"):
         self.spark, self.path, self.bucket_rows, self.key = spark, path.rstrip("/"), bucket_rows, key
@@ -103,16 +109,36 @@ class SnapshotTable:
         if not stored:
             return None
         names = None if only is None else {b.name for b in only}
-        paths = [self._path(b) for b in stored if names is None or b.name in names]
-        if not paths:
-            return self.spark.createDataFrame([], self.spark.read.parquet(self._path(stored[0])).schema).drop(self.DIGEST)
-        return self.spark.read.parquet(*paths).drop(self.DIGEST)
-
-    def _path(self, b: Bucket) -> str:
-        return f"{self.path}/v={b.written_in}/bucket={b.name}"
+        wanted = [b for b in stored if names is None or b.name in names]
+        versions = sorted({b.written_in for b in wanted or stored[:1]})
+        rows = self.spark.read.parquet(*[f"{self.path}/v={v}" for v in versions])
+        if not wanted:
+            rows = self.spark.createDataFrame([], rows.schema)
+        elif len(wanted) < self._written(versions):
+            places = [self._place(b) for b in wanted]
+            if len(places) <= self.NAMED:
+                rows = rows.filter(F.col(self.PLACE).isin(places))
+            else:  # one row per bucket
+                rows = rows.join(F.broadcast(self.spark.createDataFrame([(p,) for p in places], f"{self.PLACE} string")), self.PLACE, "left_semi")
+        return rows.drop(self.DIGEST, self.PLACE)
+
+    def _written(self, versions: Sequence[int]) -> int:
+        """Buckets that the files of some versions hold, also those that a later version has written again."""
+        return self._log().filter(F.col("version").isin(*versions) & (F.col("version") == F.col("written_in"))).count()
+
+    @staticmethod
+    def _place(b: Bucket) -> str:
+        return f"{b.written_in}:{b.name}"
+
+    def _landed(self, df: DataFrame) -> DataFrame:
+        """Rows written down once, so that counting or comparing them does not compute them again."""
+        path = scratch_dir(self.spark, "state")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def write(self, df: DataFrame, run_id: str) -> int:
         """Write all rows as a new version in buckets of their own."""
+        df = self._landed(df)
         return self._store(df, run_id, Bucket(0, 0).parts(df.count(), self.bucket_rows), [])
 
     def _store(self, df: DataFrame, run_id: str, targets: Sequence[Bucket], keep: Sequence[Bucket]) -> int:
@@ -121,8 +147,10 @@ class SnapshotTable:
         folder, listed = f"{self.path}/v={version}", list(keep)
         if targets:
             rows = self._with_digest(df)
-            self._bucket(rows, targets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-            written = self._digests(self.spark.read.schema(f"{self.DIGEST} long, bucket string").parquet(folder))
+            placed = self._bucket(rows, targets).withColumn(self.PLACE, F.concat_ws(":", F.lit(str(version)), "bucket")).drop("bucket")
+            placed.repartition(self.PLACE).sortWithinPartitions(self.PLACE).write.mode("overwrite").parquet(folder)
+            stored = self.spark.read.schema(f"{self.DIGEST} long, {self.PLACE} string").parquet(folder)
+            written = self._digests(stored.withColumn("bucket", F.substring_index(self.PLACE, ":", -1)))
             listed += [written[t.name]._replace(written_in=version) if t.name in written else t for t in targets]
         entries = [(version, run_id, *b._replace(hash_sum=Decimal(b.hash_sum))) for b in sorted(listed, key=lambda b: b[:2])]
         log = self.spark.createDataFrame(entries, self.LOG)
@@ -142,13 +170,11 @@ class SnapshotTable:
         return self._store(rows, run_id, targets, [b for b in listed if b.name not in added])
 
     def replace(self, df: DataFrame, run_id: str) -> int:
-        """A new state of the whole table; only buckets whose digest differs from the stored one are written.
-
-        ``df`` is read twice, first for its digests; it must give the same rows both times.
-        """
+        """A new state of the whole table; only buckets whose digest differs from the stored one are written."""
         listed = self.directory()
         if not listed:
             return self.write(df, run_id)
+        df = self._landed(df)
         now = self._digests(self._bucket(self._with_digest(df), listed))
         same = lambda b: b[3:] == (now[b.name][3:] if b.name in now else (0, 0, 0))
         changed = [b for b in listed if not same(b)]

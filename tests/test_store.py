@@ -138,3 +138,16 @@ def test_sums_after_changes_equal_a_full_pass(spark, tmp_path):
             rows[k] = value()
         rows = {k: v for k, v in rows.items() if rng.random() > 0.02 and (month < 2 or v[0] != "B2")}
         rows |= {f"m{month}-{i}": value() for i in range(4)}
+
+
+def test_files_follow_from_the_data_not_from_the_buckets(spark, tmp_path):
+    t = table(spark, tmp_path / "t", 5)
+    rows = batch(spark, [f"k{i}" for i in range(1000)])
+    t.replace(rows, "a")
+    t.replace(rows.withColumn("v", F.when(F.col("record_key") == "k9", 1).otherwise(F.col("v"))), "b")
+    assert len(t.directory()) >= 128 and len(list((tmp_path / "t").rglob("v=*/**/*.parquet"))) <= 16
+    assert t.read().count() == 1000 and {r["record_key"] for r in t.read().filter("v = 1").collect()} == {"k9"}
+    some = [b for b in t.directory() if b.written_in == 1][:3]
+    assert t.read(some).count() == sum(b.rows for b in some) and t.read(version=1).filter("v = 1").count() == 0
+    t.NAMED = 2
+    assert t.read(some).count() == sum(b.rows for b in some)
