@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cantiere.operators import geo
 from cantiere.sources import files
 from oracle import TABLES, compare, duck
 
@@ -50,3 +51,15 @@ def test_postal_codes_of_six_digits(spark, sf, tables):
     folder = tables(customer=customer.unionByName(more))
     name = "postal_place_resolution"
     assert compare(duck(folder), entry.oracle_sql()[name], entry.queries()[name](spark, folder)) is None
+
+
+def test_places_are_assigned_once(spark):
+    town = [("alfa", "uno", "R"), ("beta", None, "R"), (None, None, None), ("gamma", "due", None)]
+    df = spark.createDataFrame([(i, *town[i % 4]) for i in range(40)], "i int, municipality string, province string, region string")
+    rows = spark.createDataFrame([("ALFA", "UNO", "alfa", "uno", "B1", "B1", "alta", 1), ("BETA", "TRE", "beta", "tre", "B2", "B2", "alta", 2)],
+                                 "municipality_norm string, province_norm string, municipality string, province string, branch string, branch_candidates string, confidence string, pos int")
+    want = sorted(map(tuple, geo.assign_branch(df, rows, ["pos"]).collect()), key=str)
+    for limit in (0, 100):
+        assert sorted(map(tuple, geo.assign_places(df, rows, ["pos"], limit).collect()), key=str) == want
+    plan = geo.assign_places(df, rows, ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("BroadcastHashJoin") == 1
