@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cantiere.functions import text as T
 from cantiere.operators import geo
+from cantiere.plans import bindings as B
 from cantiere.sources import files
 from oracle import TABLES, compare, duck
 
@@ -63,3 +65,26 @@ def test_places_are_assigned_once(spark):
         assert sorted(map(tuple, geo.assign_places(df, rows, ["pos"], limit).collect()), key=str) == want
     plan = geo.assign_places(df, rows, ["pos"])._jdf.queryExecution().executedPlan().toString()
     assert "regexp_replace" not in plan and plan.count("BroadcastHashJoin") == 1
+
+
+def test_squeeze_of_even_and_uneven_texts(spark):
+    texts = [None, "", " ", "a", " a", "a ", "a b", "a  b", "a\n", "\na", "a\tb", "a\x1fb", "a\xa0b", "\u2003", "è", "è b", "a\r\n b", "x " * 30_000, "~ !", "\x01", "a \x01 b"]
+    want = [None if t is None else " ".join(t.split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.squeeze(F.col("t")).alias("s"))
+    assert [r["s"] for r in df.orderBy("i").collect()] == want
+
+
+def test_segments_are_generated_code(spark, sf):
+    plan = B.segmented(B.projects(spark, sf)).select("primary_segment")._jdf.queryExecution().executedPlan().toString()
+    assert "primary_segment" in plan and "arrays_overlap" not in plan and "lambdafunction" not in plan
+
+
+@pytest.mark.parametrize("name, scans", [("award_consolidation", 2), ("project_contractors", 2)])
+def test_contractor_rows_are_read_once(spark, sf, name, scans):
+    """Readers of one intermediate result share its exchange: no more scans of the large table than different uses of it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) == scans
