@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cantiere.functions import text as T
 from cantiere.operators import geo
+from cantiere.operators.scale import TASK_BYTES, bounded_tasks
 from cantiere.plans import bindings as B
 from cantiere.sources import files
 from oracle import TABLES, compare, duck
@@ -88,3 +89,17 @@ def test_contractor_rows_are_read_once(spark, sf, name, scans):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) == scans
+
+
+@pytest.mark.parametrize("name", ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"])
+def test_tasks_are_bounded(spark, sf, name):
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "128m")
+        B.table(spark, sf, "nation")
+        assert spark.conf.get(name) == str(TASK_BYTES)
+        spark.conf.set(name, "32k")
+        bounded_tasks(spark)
+        assert spark.conf.get(name) == "32k"
+    finally:
+        spark.conf.set(name, before)
