@@ -16,6 +16,7 @@ equal ids follows the text. NULL ids come first.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -173,17 +174,21 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seq, start = tokenizer(tokenizer_file), 0, 0
-        for block in arrow_blocks(batches, "text", BLOCK_BYTES):
-            found = coder.encode([t or "" for t in block["text"].to_pylist()])
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
-            # one buffer of ids for the whole block
-            bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            ids = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(end.join(found) + end)])
-            starts = start + np.cumsum(sizes) - sizes
-            yield pa.RecordBatch.from_arrays(
-                [block["part"], pa.array(np.arange(seq, seq + len(found))), block["doc_id"], pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(bounds, ids)],
-                names=["part", "seq", "doc_id", "start_in_part", "n_tokens", "ids"])
-            seq, start = seq + len(found), int(starts[-1] + sizes[-1])
+        gc.disable()  # nothing here forms cycles, and each search for them passes over all cached words
+        try:
+            for block in arrow_blocks(batches, "text", BLOCK_BYTES):
+                found = coder.encode([t or "" for t in block["text"].to_pylist()])
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
+                # one buffer of ids for the whole block
+                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                ids = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(end.join(found) + end)])
+                starts = start + np.cumsum(sizes) - sizes
+                yield pa.RecordBatch.from_arrays(
+                    [block["part"], pa.array(np.arange(seq, seq + len(found))), block["doc_id"], pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(bounds, ids)],
+                    names=["part", "seq", "doc_id", "start_in_part", "n_tokens", "ids"])
+                seq, start = seq + len(found), int(starts[-1] + sizes[-1])
+        finally:
+            gc.enable()
         release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
