@@ -39,6 +39,20 @@ def test_every_word_of_letters_encodes_like_the_library(documents, library):
     assert [np.frombuffer(x, "<u4").tolist() for x in coder._pieces(words)] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
 
 
+def test_letters_digits_and_marks_pass_the_core_at_once(documents, library):
+    """Only other words ask the library and are remembered; before, every distinct word was."""
+    rng, coder = random.Random(5), token_files.WordTokenizer(PATH)
+    marks = [chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]
+    plain = ["The cat, 12.5 $$$ (sat)! ÉÀß_x7", *("".join(rng.choices(["a", "Né", "the", "7", " ", "\n"] + marks, k=rng.randint(0, 40))) for _ in range(3000))]
+    odd = ["don't", "\x02", "\x00", "a\x03b", "a×b", "中文", "e\u0301", "x" * 1001, "ab," * 334]
+    for some, asked in ((plain, 0), ([x for pair in zip(plain, odd) for x in (pair[0] + " ", f"a {pair[1]} b. {pair[1]}")], len(odd))):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert len(coder.cache) == asked
+    texts = [r.text or "" for r in documents.collect()]
+    ids, sizes = coder.closed(texts, 1)
+    assert ids.tolist() == [i for e in library.encode_batch(texts, add_special_tokens=False) for i in (*e.ids, 1)] and sizes.sum() == len(ids)
+
+
 def test_files_hold_all_rows_in_order(spark, documents, odd_documents, library):
     for docs in (documents, odd_documents):
         path = scratch_dir(spark, "tokens")
