@@ -1,13 +1,14 @@
 """Inputs that the small test tables do not hold: files of several splits, repeated urls, long codes."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cantiere.functions import text as T
-from cantiere.operators import geo
+from cantiere.operators import awards, geo, scale
 from cantiere.operators.scale import TASK_BYTES, bounded_tasks
 from cantiere.plans import bindings as B
 from cantiere.sources import files
@@ -103,3 +104,53 @@ def test_tasks_are_bounded(spark, sf, name):
         assert spark.conf.get(name) == "32k"
     finally:
         spark.conf.set(name, before)
+
+
+def shuffle_files(spark) -> set[str]:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for d in blocks.localDirs() for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+
+
+def test_landing_leaves_no_shuffle_files(spark, tmp_path):
+    before, setting = shuffle_files(spark), spark.conf.get(B.SHUFFLE_CLEANUP)
+    out = B.land(spark.range(1000).groupBy((F.col("id") % 97).alias("k")).count().orderBy("k"), "kept")
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and out.count() == 97 and spark.conf.get(B.SHUFFLE_CLEANUP) == setting
+
+
+def test_awards_of_a_project_are_sent_once(spark):
+    """Consolidation of rows that lie together by project needs no further exchange; both results come from the kept table."""
+    rows = spark.createDataFrame(
+        [("P1", "T1", 900.0, "N1", 1), ("P1", "T1", 900.0, "N2", 0), ("P1", "T1", 900.0, "N1", 3), ("P1", "T2", 700.0, None, 0), ("P2", "T1", 10.0, "N1", 0)],
+        "cup string, cig string, award_amount_eur double, contractor_name string, pos int").withColumns({
+            **{c: F.lit(None).cast("string") for c in ("contractor_tax_code", "contractor_vat", "contractor_role")}, "value_eur": F.lit(1000.0), "award_result": F.lit("AGGIUDICATA")})
+    kept = []
+    c, members = awards.consolidate(rows.repartition(3, "cup"), [F.asc("pos")], 100.0, keep=lambda df: kept.append(df) or df)
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 1 and plan.count("Exchange") == 1 and "hashpartitioning(cup" in plan
+    found = {(r["cup"], r["cig"]): (r["pos"], r["contractors_count"], r["contractor_set"]) for r in c.collect()}
+    assert set(found) == {("P1", "T1"), ("P1", "T2")} and found["P1", "T2"] == (0, 0, None) and found["P1", "T1"][:2] == (0, 2)
+    assert sorted((r["set_id"], r["item"]["name"]) for r in members.collect()) == [(found["P1", "T1"][2], n) for n in ("N1", "N2")]
+
+
+def test_lists_are_gathered_after_one_join(spark):
+    """Items are sent for being distinct and for the totals, and a third time only for keys of several parts. NULL keys have lists, too."""
+    df = spark.createDataFrame([("a", None, 2), ("a", None, 1), (None, "x", 3), (None, "x", 3), *[("hot", "y", i) for i in range(30)], ("b", "z", None)], "k string, l string, v int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = scale.lists_per_key(df, ["k", "l"], F.col("v"), limit=10)
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+        found = lists.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    made = [x for x in plan.splitlines() if "collect_list(" in x or "Exchange hashpartitioning(" in x]
+    first = next(i for i, x in enumerate(made) if "collect_list(" in x)
+    assert "partial_collect_list(" in made[first + 1]
+    assert sorted(((r["k"], r["l"], r["part"], r["items"], r["n_items"]) for r in found if r["k"] != "hot"), key=str) == [("a", None, 0, [1, 2], 2), (None, "x", 0, [3], 1)]
+    hot = [r for r in found if r["k"] == "hot"]
+    assert {r["n_items"] for r in hot} == {30} and len({r["part"] for r in hot}) == len(hot) > 1 and sorted(v for r in hot for v in r["items"]) == list(range(30))
