@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cantiere.functions import text as T
-from cantiere.operators import awards, geo, scale
+from cantiere.operators import awards, geo, link, scale
 from cantiere.operators.scale import TASK_BYTES, bounded_tasks
 from cantiere.plans import bindings as B
 from cantiere.sources import files
@@ -154,3 +154,27 @@ def test_lists_are_gathered_after_one_join(spark):
     assert sorted(((r["k"], r["l"], r["part"], r["items"], r["n_items"]) for r in found if r["k"] != "hot"), key=str) == [("a", None, 0, [1, 2], 2), (None, "x", 0, [3], 1)]
     hot = [r for r in found if r["k"] == "hot"]
     assert {r["n_items"] for r in hot} == {30} and len({r["part"] for r in hot}) == len(hot) > 1 and sorted(v for r in hot for v in r["items"]) == list(range(30))
+
+
+def test_lists_are_sent_once_per_tender(spark, sf):
+    """Pairs get their metadata before the lists, so no exchange by project carries a list; the lists are computed once."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        profile = spark.createDataFrame([("T1", 0, ["a", "b"], 2), ("T2", 0, ["c"], 1), ("T3", 0, ["d"], 1)], "cig string, part int, contractors array<string>, n_contractors long")
+        links = spark.createDataFrame([("P1", "T1"), ("P1", "T1"), ("P2", "T1"), ("P2", "T2"), ("P9", "T2"), ("P1", "T8")], "cup string, cig string")
+        meta = spark.createDataFrame([("P1", "x"), ("P2", "y"), ("P2", "z")], "cup string, title string")
+        out = link.contractors_by_project(profile, links, meta)
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        found = sorted((tuple(r) for r in out.select("cup", "cig", "title", "contractors").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_project = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(cup" in line]
+    lists = [i for i, line in enumerate(plan) if "Scan" in line and "contractors#" in line]
+    deep = lambda i: len(plan[i]) - len(plan[i].lstrip(" :+-*"))
+    below = [(i, j) for i in by_project for j in lists if i < j and all(deep(k) > deep(i) for k in range(i + 1, j + 1))]
+    assert by_project and lists and not below
+    assert found == sorted([("P1", "T1", "x", ["a", "b"]), ("P2", "T1", "y", ["a", "b"]), ("P2", "T1", "z", ["a", "b"]), ("P2", "T2", "y", ["c"]),
+                            ("P2", "T2", "z", ["c"]), ("P9", "T2", None, ["c"]), (None, "T3", None, ["d"])], key=str)
