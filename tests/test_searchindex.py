@@ -1,5 +1,6 @@
 """Search index: the same rows as a scan, from fewer blocks."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,22 @@ def test_only_candidate_blocks_are_read(index):
     assert index.candidates(narrow).count() <= 3
     plan = index.search(narrow, [F.asc("cup")])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "block" in plan.split("PartitionFilters")[1][:120]
+
+
+def test_neighbouring_blocks_share_a_folder(spark, table, tmp_path):
+    """900 rows in blocks of 20 are few files, and a reader of one block passes over the others of its folder."""
+    index = SearchIndex(spark, str(tmp_path), COLUMNS)
+    index.build(table, ["branch", "value_eur", "cup"], 20)
+    files = list(tmp_path.glob("rows/**/*.parquet"))
+    assert len(files) <= 8 and len(list(tmp_path.glob("rows/*=*"))) == 1
+    metadata = pq.ParquetFile(max(files, key=lambda f: f.stat().st_size)).metadata
+    assert metadata.row_group(0).column(0).has_offset_index or metadata.row_group(0).num_rows <= 20
+    assert {r["n"] for r in index.read().groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()} == {20}
+
+
+def test_grams_of_odd_texts(spark, tmp_path):
+    texts = [(0, "ab"), (0, ""), (1, "Perché è così"), (0, "perché"), (1, "😀😀😀 x\u0000y"), (0, "aaaa"), (1, "x" * 40_000)]
+    found = SearchIndex(spark, str(tmp_path), ["t"])._terms(spark.createDataFrame(texts, "block long, t string").coalesce(1)).collect()
+    low = [(b, t.lower()) for b, t in texts]
+    want = {(b, t[i:i + 3]) for b, t in low for i in range(max(len(t) - 2, 1))}
+    assert {(r["block"], r["value"]) for r in found} == want and len(found) == len(want) and {r["facet"] for r in found} == {"text"}
